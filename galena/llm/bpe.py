@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -259,7 +260,7 @@ def _binary(data: np.ndarray, counts: np.ndarray) -> pa.Array:
 def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
     """The batches cut so that column `at` holds about CHUNK_BYTES; one value may hold more."""
     for batch in batches:
-        sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes, dtype=np.int64) // CHUNK_BYTES
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         for a, b in zip(cuts, cuts[1:], strict=False):
