@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import bpe, minhash, suffixes, toxicity
+from galena.llm import bpe, langid, minhash, quality, suffixes, toxicity
 from galena.llm.common import table
 
 
@@ -32,5 +32,13 @@ def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op4_suffix_dedup": op4_suffix_dedup, "op6_minhash": op6_minhash}
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.languages(table(spark, sf_dir, "documents"))
+
+
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op4_suffix_dedup": op4_suffix_dedup, "op6_minhash": op6_minhash, "op8_language": op8_language, "op10_quality": op10_quality}
 SQL: dict[str, str] = {}
