@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import bpe, langid, minhash, quality, suffixes, toxicity
+from galena.llm import bpe, conversations, decontamination, langid, licenses, minhash, quality, suffixes, toxicity
 from galena.llm.common import table
 
 
@@ -28,17 +28,39 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.formatted(table(spark, sf_dir, "conversations"))
+
+
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.languages(table(spark, sf_dir, "documents"))
 
 
+def op9_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents")).drop("found")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_toxicity": op2_toxicity, "op4_suffix_dedup": op4_suffix_dedup, "op6_minhash": op6_minhash, "op8_language": op8_language, "op10_quality": op10_quality}
-SQL: dict[str, str] = {}
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_toxicity": op2_toxicity,
+    "op4_suffix_dedup": op4_suffix_dedup,
+    "op5_decontamination": op5_decontamination,
+    "op6_minhash": op6_minhash,
+    "op7_conversations": op7_conversations,
+    "op8_language": op8_language,
+    "op9_licenses": op9_licenses,
+    "op10_quality": op10_quality,
+}
+SQL: dict[str, str] = {"op7_conversations": conversations.FORMATTED_SQL}
