@@ -27,15 +27,18 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, id_col: str,
     return stored(texts.join(F.broadcast(chosen), "id").select("text", "y", F.pmod("mark", F.lit(1000)).cast("int").alias("lot")), "sample")
 
 
-def scored(df: DataFrame, id_col: str, text_col: str, score, fields: str) -> DataFrame:
-    """Each row's id beside what score(list of texts) returns: a list of arrays, one for each of
-    the fields. Nulls count as empty texts; rows are independent."""
+def scored(df: DataFrame, id_col: str, text_col: str, score, fields: str, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Each row's id and `keep` beside what score(list of texts) returns: a list of arrays, one for
+    each of the fields. Nulls count as empty texts; rows are independent."""
+    kept = (id_col, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = score([x or "" for x in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), *map(pa.array, made)], names=["id", *names])
+            made = score([x or "" for x in batch.column(0).to_pylist()])
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, made)], names=[*codes, *names])
 
     names = [f.split()[0] for f in fields.split(", ")]
-    source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, {fields}").withColumnRenamed("id", id_col)
+    codes = [f"k{i}" for i in range(len(kept))]
+    source = df.select(df[text_col].cast("string").alias("t"), *[df[c].alias(k) for c, k in zip(kept, codes, strict=True)])
+    schema = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[1:]]
+    return source.mapInArrow(run, ", ".join([*schema, fields])).withColumnsRenamed(dict(zip(codes, kept, strict=True)))

@@ -193,3 +193,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     out = sketched.select("id", "n_shingles", "set_id").join(by_set, "set_id", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, of which one stays for each group."""
+    stay = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("galena_id")).distinct()
+    return docs.join(stay, docs[id_col].eqNullSafe(stay["galena_id"]), "left_semi")

@@ -61,9 +61,10 @@ def runs(data: bytes, depth: int, anchor: int) -> Iterator[np.ndarray]:
         yield np.stack([hashes[spot].astype(np.int64), whole.astype(np.int64), first + at, many, spot - first])
 
 
-def _documents(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id, body (UTF-8), mark; id and mark name a text: rows that share both are equal."""
-    return df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("body")).withColumn("mark", F.hash("body"))
+def _documents(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...]) -> DataFrame:
+    """id, body, mark and what is kept; id and mark name a text: rows that share both are equal."""
+    more = [df[c].alias(f"k{i}") for i, c in enumerate(keep)]
+    return df.select(df[id_col].alias("id"), F.coalesce(df[text_col].cast("string"), F.lit("")).alias("body"), *more).withColumn("mark", F.hash("body"))
 
 
 def _runs_table(docs: DataFrame, depth: int, anchor: int) -> DataFrame:
@@ -121,15 +122,16 @@ def _bins_table(docs: DataFrame, open_runs: DataFrame, depth: int) -> DataFrame:
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark int, bin long, alone boolean, place long, low int, fine array<long>")
 
 
-def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, anchor: int = ANCHOR) -> DataFrame:
+def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, anchor: int = ANCHOR, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte inside a `depth`-byte string that also starts anywhere else.
 
     Texts are taken as UTF-8, null as empty; matches never cross texts, and strings are judged on
     the input. Returns id_col, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary,
-    the bytes left) and spans (array of start and end, bytes). Rows that repeat an id and a text
+    the bytes left), spans (array of start and end, bytes) and the columns `keep`. Rows that repeat an id and a text
     are repeats of one another. Other columns are not read; an empty table gives an empty table.
     """
-    docs = _documents(df, id_col, text_col)
+    docs = _documents(df, id_col, text_col, keep)
+    more = [f"k{i}" for i in range(len(keep))]
     all_runs = stored(_runs_table(docs, depth, anchor), "runs")
     sample = [F.first(c).alias(c) for c in ("id", "mark", "first", "many", "off")]
     distinct = all_runs.groupBy("a", "s").agg(F.count("*").alias("n"), *sample)
@@ -147,7 +149,7 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     edges = single.filter("alone").join(twice, ["bin", "o", "fine"], "left_semi").select("id", "mark", "start", (F.col("start") + depth).alias("end"))
 
     spans = whole.union(edges).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(F.col("id").alias("i"), F.col("mark").alias("m"), "spans")
-    joined = docs.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select("id", "body", "spans")
+    joined = docs.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select("id", "body", "spans", *more)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +173,18 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
                 kept.append(left)
                 listed.append([{"start": a, "end": b} for a, b in union])
             spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(list(map(len, listed)), pa.int64()), pa.array(kept, pa.binary()), pa.array(listed, spans_type)], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "spans"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(gone, pa.int64()), pa.array(list(map(len, listed)), pa.int64()), pa.array(kept, pa.binary()), pa.array(listed, spans_type), *batch.columns[3:]], names=["id", "n_bytes", "n_removed", "n_spans", "kept", "spans", *more])
 
-    out = joined.mapInArrow(cut, f"id {joined.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>")
-    return out.withColumnRenamed("id", id_col)
+    schema = [f"id {joined.schema['id'].dataType.simpleString()}, n_bytes long, n_removed long, n_spans long, kept binary, spans array<struct<start:int,end:int>>", *[f"{k} {joined.schema[k].dataType.simpleString()}" for k in more]]
+    return joined.mapInArrow(cut, ", ".join(schema)).withColumnsRenamed({"id": id_col, **dict(zip(more, keep, strict=True))})
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH) -> DataFrame:
+    """All documents with all their columns; texts without their repeated strings. A code point that
+    was cut apart becomes U+FFFD; a null text stays null."""
+    rest = tuple(c for c in docs.columns if c != id_col and c != text_col)
+    names = {c: f"galena_{i}" for i, c in enumerate(rest)}
+    was = docs.withColumnsRenamed(names).withColumn("galena_null", F.col(text_col).isNull())
+    out = removed(was, id_col, text_col, depth, keep=(*names.values(), "galena_null"))
+    text = F.when(~F.col("galena_null"), F.make_valid_utf8(F.col("kept").cast("string")))
+    return out.select(F.col(id_col), text.alias(text_col), *[F.col(n).alias(c) for c, n in names.items()]).select(*docs.columns)
