@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import shutil
 import tempfile
 import uuid
@@ -43,10 +44,22 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back, which cuts its lineage.
 
-    The copy survives lost executors. Spark's own cleaner does not know it, so whoever owns
-    the shared folder empties it after the job, as with reliable checkpoints.
+    The copy survives lost executors. Shuffle files of what led to it are of no more use; the
+    driver's garbage is collected so that Spark removes them now and not at some later time.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/galena-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.galena_path = path
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Remove the files of a stored table that no unfinished DataFrame reads any more."""
+    spark = df.sparkSession
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.galena_path)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)

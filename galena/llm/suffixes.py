@@ -7,11 +7,11 @@ and drops suffixes that are alone:
 1. the anchor: the least hash among all `anchor`-byte strings inside the first `depth` bytes.
    Neighbouring suffixes mostly share it, so a run of suffixes travels as one row;
 2. the run: all bytes that the run's suffixes see. Runs that are equal are whole repeats;
-3. the bin: the bytes common to BIN neighbouring suffixes of a run;
-4. the suffix's `depth` bytes themselves.
+3. the bin: the bytes common to BIN neighbouring suffixes of a run, and the few beside them;
+4. the suffix itself: of those few bytes the ones that are its own.
 
-Digits are 64-bit hashes, and a group is told apart by at least two of them. Equal suffixes have
-equal digits, so the groups that are left are exactly the repeated strings.
+The first three digits are 64-bit hashes, and a group is told apart by at least two of them.
+Equal suffixes have equal digits, so the groups that are left are exactly the repeated strings.
 """
 
 from __future__ import annotations
@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import stored
+from galena.llm.common import discard, stored
 from galena.llm.rolling import Rolling, mixed
 
-#: Bytes of the strings whose repeats go, bytes of the anchors within, suffixes of a bin.
+#: Bytes of the strings whose repeats go (below 2**16), bytes of the anchors within, suffixes of a bin.
 DEPTH, ANCHOR, BIN = 400, 128, 16
 #: Suffixes that are worked on at once; longer texts are taken in overlapping blocks.
 BLOCK = 1 << 22
@@ -68,58 +68,60 @@ def _documents(df: DataFrame, id_col: str, text_col: str, keep: tuple[str, ...])
 
 
 def _runs_table(docs: DataFrame, depth: int, anchor: int) -> DataFrame:
+    """(id, mark, a, s, at): anchor and run hashes, and the run's place in one number."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, found = [], []
             for i, body in enumerate(batch.column(2).cast(pa.binary())):
-                for block in runs(body.as_py(), depth, anchor):
-                    rows.append(np.full(block.shape[1], i))
-                    found.append(block)
+                for a, s, first, many, off in runs(body.as_py(), depth, anchor):
+                    rows.append(np.full(len(a), i))
+                    found.append(np.stack([a, s, first << 32 | many << 16 | off]))
             if found:
                 at, made = pa.array(np.concatenate(rows)), np.concatenate(found, axis=1)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array(c, t) for c, t in zip(made, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32()), strict=True)]], names=["id", "mark", "a", "s", "first", "many", "off"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *map(pa.array, made)], names=["id", "mark", "a", "s", "at"])
 
     source = docs.filter(F.octet_length("body") >= depth).select("id", "mark", "body")
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark int, a long, s long, first int, many int, off int")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark int, a long, s long, at long")
 
 
 def _bins_table(docs: DataFrame, open_runs: DataFrame, depth: int) -> DataFrame:
-    """Third digits of the runs that share only their anchor, with the fourth of each suffix."""
+    """Bins of the runs that share only their anchor. bin is the hash of the bytes that all its
+    suffixes share; left and right are the bytes beside those, of which the suffix that starts j
+    before the shared bytes has j and BIN - 1 - j. low and high are the least and greatest j, and
+    place is the start of the suffix with j = 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(batch.num_rows):
-                data = np.frombuffer(batch.column(2).cast(pa.binary())[i].as_py(), np.uint8)
+                body = batch.column(2).cast(pa.binary())[i].as_py()
+                data = np.frombuffer(body, np.uint8)
                 listed = batch.column(3)[i].values
-                a, n, first, many, off = (listed.field(k).to_numpy(zero_copy_only=False) for k in ("a", "n", "first", "many", "off"))
-                # Far offsets would need powers as long as the text: each run is hashed by itself.
-                keys, runs_at, lows, fines, counts = [], [], [], [], []
+                a, n, at = (listed.field(k).to_numpy(zero_copy_only=False) for k in ("a", "n", "at"))
+                first, many, off = at >> 32, at >> 16 & 0xFFFF, at & 0xFFFF
+                rows = []
                 for r in range(len(a)):
                     begin = int(first[r])
                     rolling = Rolling(data[begin : begin + int(many[r]) - 1 + depth])
-                    hashes = rolling.windows(depth)[::-1]  # by rising distance to the anchor
-                    near, far = int(off[r]) - int(many[r]) + 1, int(off[r])
+                    near, far = int(off[r] - many[r]) + 1, int(off[r])
                     bins = np.arange(near // BIN, far // BIN + 1)
-                    low = np.maximum(bins * BIN, near)
-                    high = np.minimum(bins * BIN + BIN - 1, far)
-                    common = off[r] - bins * BIN
-                    common_end = common + depth - BIN + 1
-                    keys.append(mixed(rolling.of(common, common_end) + mixed(a[r : r + 1].astype(np.uint64) + np.uint64(1)) + bins.astype(np.uint64)))
-                    runs_at.append(np.full(len(bins), r))
-                    lows.append(low)
-                    counts.append(high - low + 1)
-                    fines.append(hashes)
-                at = np.concatenate(runs_at)
-                ends = np.concatenate([[0], np.cumsum(np.concatenate(counts))]).astype(np.int32)
-                low = np.concatenate(lows)
-                row = pa.array(np.full(len(at), i))
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(np.concatenate(keys).astype(np.int64)), pa.array(n[at] == 1), pa.array((first[at] + off[at]).astype(np.int64)), pa.array(low.astype(np.int32)), pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(fines).astype(np.int64)))], names=["id", "mark", "bin", "alone", "place", "low", "fine"])
-
-    lists = open_runs.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "n", "first", "many", "off")).alias("runs"))
+                    common = far - bins * BIN
+                    keys = mixed(rolling.of(common, common + depth - BIN + 1) + mixed(a[r : r + 1].astype(np.uint64) + np.uint64(1)) + bins.astype(np.uint64))
+                    low = np.maximum(near - bins * BIN, 0)
+                    high = np.minimum(far - bins * BIN, BIN - 1)
+                    rows.append((keys.astype(np.int64), np.full(len(bins), n[r] == 1), common + begin, low, high))
+                keys, alone, place, low, high = (np.concatenate(c) for c in zip(*rows, strict=True))
+                ends = place + depth - BIN + 1
+                left = [body[p - h : p] for p, h in zip(place.tolist(), high.tolist(), strict=True)]
+                right = [body[e : e + BIN - 1 - k] for e, k in zip(ends.tolist(), low.tolist(), strict=True)]
+                row = pa.array(np.full(len(keys), i))
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(keys), pa.array(alone), pa.array(place.astype(np.int32)), pa.array(low.astype(np.int32)), pa.array(high.astype(np.int32)), pa.array(left, pa.binary()), pa.array(right, pa.binary())], names=["id", "mark", "bin", "alone", "place", "low", "high", "left", "right"])
+
+    lists = open_runs.groupBy("id", "mark").agg(F.collect_list(F.struct("a", "n", "at")).alias("runs"))
     lists = lists.select(F.col("id").alias("i"), F.col("mark").alias("m"), "runs")
     # Rows that repeat an id and a text give bins twice, but none of their runs is alone.
     source = docs.join(lists, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))).select("id", "mark", "body", "runs")
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark int, bin long, alone boolean, place long, low int, fine array<long>")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark int, bin long, alone boolean, place int, low int, high int, left binary, right binary")
 
 
 def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, anchor: int = ANCHOR, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -127,28 +129,40 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
 
     Texts are taken as UTF-8, null as empty; matches never cross texts, and strings are judged on
     the input. Returns id_col, n_bytes, n_removed, n_spans (maximal removed runs), kept (binary,
-    the bytes left), spans (array of start and end, bytes) and the columns `keep`. Rows that repeat an id and a text
-    are repeats of one another. Other columns are not read; an empty table gives an empty table.
+    the bytes left), spans (array of start and end, bytes) and the columns `keep`. Rows that
+    repeat an id and a text are repeats of one another. Other columns are not read; an empty
+    table gives an empty table.
     """
     docs = _documents(df, id_col, text_col, keep)
     more = [f"k{i}" for i in range(len(keep))]
     all_runs = stored(_runs_table(docs, depth, anchor), "runs")
-    sample = [F.first(c).alias(c) for c in ("id", "mark", "first", "many", "off")]
-    distinct = all_runs.groupBy("a", "s").agg(F.count("*").alias("n"), *sample)
-    shared = distinct.groupBy("a").agg(F.count("*").alias("d")).filter("d > 1").select("a")
-    open_runs = stored(distinct.join(shared, "a", "left_semi"), "open")
-
-    repeats = all_runs.groupBy("a", "s").agg(F.count("*").alias("n")).filter("n > 1").select("a", "s")
-    whole = all_runs.join(repeats, ["a", "s"], "left_semi").select("id", "mark", F.col("first").alias("start"), (F.col("first") + F.col("many") + (depth - 1)).alias("end"))
-
+    # First pass: anchors that are found once only are dropped.
+    anchors = all_runs.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
+    met = stored(all_runs.join(anchors, "a", "left_semi"), "met")
+    discard(all_runs)
+    # Second: equal runs are whole repeats; where an anchor has several runs, their bins go on.
+    distinct = met.groupBy("a", "s").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "mark", "at")])
+    distinct = stored(distinct, "distinct")
+    several = distinct.groupBy("a").agg(F.count("*").alias("d")).filter("d > 1").select("a")
+    open_runs = distinct.join(several, "a", "left_semi")
+    repeats = distinct.filter("n > 1").select("a", "s")
+    first, many = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF)
+    whole = met.join(repeats, ["a", "s"], "left_semi").select("id", "mark", first.cast("int").alias("start"), (first + many + (depth - 1)).cast("int").alias("end"))
+    # Third: equal bins are repeats of all their suffixes; where shared bytes have several bins, the suffixes go on.
     bins = stored(_bins_table(docs, open_runs, depth), "bins")
-    met = bins.groupBy("bin").agg(F.count("*").alias("c")).filter("c > 1").select("bin")
-    single = bins.join(met, "bin", "left_semi").select("id", "mark", "bin", "alone", "place", "low", F.posexplode("fine").alias("j", "fine")).withColumn("o", F.col("low") + F.col("j"))
-    single = stored(single.select("id", "mark", "bin", "o", "fine", "alone", (F.col("place") - F.col("o")).cast("int").alias("start")), "single")
-    twice = single.groupBy("bin", "o", "fine").agg(F.count("*").alias("c")).filter("c > 1").select("bin", "o", "fine")
-    edges = single.filter("alone").join(twice, ["bin", "o", "fine"], "left_semi").select("id", "mark", "start", (F.col("start") + depth).alias("end"))
-
-    spans = whole.union(edges).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(F.col("id").alias("i"), F.col("mark").alias("m"), "spans")
+    by_bin = ["bin", "low", "high", "left", "right"]
+    kinds = stored(bins.groupBy(*by_bin).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "mark", "place", "alone")]), "kinds")
+    equal = bins.filter("alone").join(kinds.filter("n > 1").select(*by_bin), by_bin, "left_semi")
+    equal = equal.select("id", "mark", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + depth).alias("end"))
+    # Fourth: the suffixes themselves, told apart by the bytes beside the shared ones.
+    mixed_bins = kinds.groupBy("bin").agg(F.count("*").alias("d")).filter("d > 1").select("bin")
+    single = kinds.join(mixed_bins, "bin", "left_semi").withColumn("j", F.explode(F.sequence("low", "high")))
+    own = F.concat(F.substring("left", F.octet_length("left") - F.col("j") + 1, F.col("j")), F.substring("right", F.lit(1), BIN - 1 - F.col("j")))
+    single = single.select("id", "mark", "bin", "j", own.alias("own"), (F.col("alone") & (F.col("n") == 1)).alias("alone"), (F.col("place") - F.col("j")).alias("start"))
+    twice = single.groupBy("bin", "j", "own").agg(F.count("*").alias("c")).filter("c > 1").select("bin", "j", "own")
+    edges = single.filter("alone").join(twice, ["bin", "j", "own"], "left_semi").select("id", "mark", "start", (F.col("start") + depth).alias("end"))
+
+    spans = stored(whole.union(equal).union(edges).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(F.col("id").alias("i"), F.col("mark").alias("m"), "spans"), "spans")
     joined = docs.join(spans, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select("id", "body", "spans", *more)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
