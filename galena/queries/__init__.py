@@ -1,3 +1,3 @@
 """Queries over the driver's tables, by group; importing this registers them all."""
 
-from galena.queries import relational  # noqa: F401
+from galena.queries import relational, texts  # noqa: F401
