@@ -116,7 +116,7 @@ def baseline_differences(baseline: DataFrame, candidate: DataFrame, keys: list[s
     return both.withColumn("verdict", verdict)
 
 
-def remembered(memory: DataFrame, queries: DataFrame, k: int = 2) -> DataFrame:
+def remembered(memory: DataFrame, queries: DataFrame, k: int = 2, least: float = LIKENESS) -> DataFrame:
     """Clusters (cluster, scope, centroid, support) that serve a query (query, required, vector): the
     scope holds all that is required, and the likeness is enough; by likeness, then support."""
     from galena.functions.vectors import cosine
@@ -126,7 +126,7 @@ def remembered(memory: DataFrame, queries: DataFrame, k: int = 2) -> DataFrame:
     q = queries.withColumn("first", F.element_at("required", 1))
     m = memory.withColumn("first", F.explode(F.array_distinct("scope")))
     pairs = q.join(m, "first").filter(F.size(F.array_except("required", "scope")) == 0)
-    scored = pairs.withColumn("likeness", F.round(cosine(F.col("vector"), F.col("centroid")), 6)).filter(F.col("likeness") >= LIKENESS)
+    scored = pairs.withColumn("likeness", F.round(cosine(F.col("vector"), F.col("centroid")), 6)).filter(F.col("likeness") >= least)
     return top_k(scored, ["query"], [F.desc("likeness"), F.desc("support"), F.col("cluster")], k).select("query", "cluster", "likeness", "support", "rank")
 
 
