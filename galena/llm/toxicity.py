@@ -103,17 +103,19 @@ class Features:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.rows: list[tuple[float, ...]] = []
-        self.table = np.zeros((0, 13), np.float32)
+        self.table = np.zeros((1024, 13), np.float32)
 
     def _row(self, token: str) -> tuple[float, ...]:
         core = _core(token)
+        weight = self.lexicon.get(core, 0.0)
+        begin = max([self.lexicon.get("^" + core[:n], 0.0) for n in BEGINNINGS if len(core) > n], default=0.0)
+        if token.isalpha():  # most tokens
+            capitals = 0 if token == core else sum(map(str.isupper, token))
+            return (len(token), capitals, 0, 0, 0, float(len(token) > 2 and capitals == len(token)), 0.0, 0.0, float(weight > 0), weight, float(begin > 0), begin, float(core in SECOND_PERSON))
         letters = sum(map(str.isalpha, token))
         capitals = sum(map(str.isupper, token))
         digits = sum(map(str.isdigit, token))
-        weight = self.lexicon.get(core, 0.0)
-        begin = max((self.lexicon.get(f"^{core[:n]}", 0.0) for n in BEGINNINGS if len(core) > n), default=0.0)
-        mixed = any(map(str.isalpha, core)) and not core.isalpha() and "'" not in core and "-" not in core
+        mixed = not core.isalpha() and any(map(str.isalpha, core)) and "'" not in core and "-" not in core
         plain = _plain(core) if mixed else core
         hidden = mixed and plain != core and plain in self.lexicon
         return (letters, capitals, digits, len(token) - letters - digits, token.count("!"), float(letters > 2 and capitals == letters), float(mixed), float(hidden), float(weight > 0), weight, float(begin > 0), begin, float(core in SECOND_PERSON))
@@ -128,11 +130,10 @@ class Features:
                 known = self.known
             for token in tokens:
                 if token not in known:
-                    known[token] = len(self.rows)
-                    self.rows.append(self._row(token))
-            if len(self.table) < len(self.rows):
-                new = np.array(self.rows[len(self.table) :], np.float32).reshape(-1, 13)
-                self.table = np.concatenate([self.table, new])
+                    at = known[token] = len(known)
+                    if at == len(self.table):
+                        self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+                    self.table[at] = self._row(token)
             return np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
 
     def of(self, text: str) -> np.ndarray:
