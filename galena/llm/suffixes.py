@@ -136,14 +136,15 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     docs = _documents(df, id_col, text_col, keep)
     more = [f"k{i}" for i in range(len(keep))]
     all_runs = stored(_runs_table(docs, depth, anchor), "runs")
-    # First pass: anchors that are found once only are dropped.
-    anchors = all_runs.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a")
+    # First pass: anchors that are found once only are dropped. Sums by key are stored before they
+    # are joined: only then can Spark split the rows of a very frequent key.
+    anchors = stored(all_runs.groupBy("a").agg(F.count("*").alias("c")).filter("c > 1").select("a"), "anchors")
     met = stored(all_runs.join(anchors, "a", "left_semi"), "met")
     discard(all_runs)
     # Second: equal runs are whole repeats; where an anchor has several runs, their bins go on.
     distinct = met.groupBy("a", "s").agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in ("id", "mark", "at")])
     distinct = stored(distinct, "distinct")
-    several = distinct.groupBy("a").agg(F.count("*").alias("d")).filter("d > 1").select("a")
+    several = stored(distinct.groupBy("a").agg(F.count("*").alias("d")).filter("d > 1").select("a"), "several")
     open_runs = distinct.join(several, "a", "left_semi")
     repeats = distinct.filter("n > 1").select("a", "s")
     first, many = F.shiftright("at", 32), F.shiftright("at", 16).bitwiseAND(0xFFFF)
@@ -155,11 +156,11 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     equal = bins.filter("alone").join(kinds.filter("n > 1").select(*by_bin), by_bin, "left_semi")
     equal = equal.select("id", "mark", (F.col("place") - F.col("high")).alias("start"), (F.col("place") - F.col("low") + depth).alias("end"))
     # Fourth: the suffixes themselves, told apart by the bytes beside the shared ones.
-    mixed_bins = kinds.groupBy("bin").agg(F.count("*").alias("d")).filter("d > 1").select("bin")
+    mixed_bins = stored(kinds.groupBy("bin").agg(F.count("*").alias("d")).filter("d > 1").select("bin"), "mixed")
     single = kinds.join(mixed_bins, "bin", "left_semi").withColumn("j", F.explode(F.sequence("low", "high")))
     own = F.concat(F.substring("left", F.octet_length("left") - F.col("j") + 1, F.col("j")), F.substring("right", F.lit(1), BIN - 1 - F.col("j")))
     single = single.select("id", "mark", "bin", "j", own.alias("own"), (F.col("alone") & (F.col("n") == 1)).alias("alone"), (F.col("place") - F.col("j")).alias("start"))
-    twice = single.groupBy("bin", "j", "own").agg(F.count("*").alias("c")).filter("c > 1").select("bin", "j", "own")
+    twice = stored(single.groupBy("bin", "j", "own").agg(F.count("*").alias("c")).filter("c > 1").select("bin", "j", "own"), "twice")
     edges = single.filter("alone").join(twice, ["bin", "j", "own"], "left_semi").select("id", "mark", "start", (F.col("start") + depth).alias("end"))
 
     spans = stored(whole.union(equal).union(edges).groupBy("id", "mark").agg(F.collect_list(F.struct("start", "end")).alias("spans")).select(F.col("id").alias("i"), F.col("mark").alias("m"), "spans"), "spans")
