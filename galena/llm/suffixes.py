@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 from galena.llm.common import discard, stored
 from galena.llm.rolling import Rolling, mixed
 
-#: Bytes of the strings whose repeats go (below 2**16), bytes of the anchors within, suffixes of a bin.
+#: Bytes of the strings whose repeats go (below 2**16), bytes of the anchors within (in
+#: proportion for other depths), suffixes of a bin.
 DEPTH, ANCHOR, BIN = 400, 128, 16
 #: Suffixes that are worked on at once; longer texts are taken in overlapping blocks.
 BLOCK = 1 << 22
@@ -124,7 +125,7 @@ def _bins_table(docs: DataFrame, open_runs: DataFrame, depth: int) -> DataFrame:
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, mark int, bin long, alone boolean, place int, low int, high int, left binary, right binary")
 
 
-def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, anchor: int = ANCHOR, keep: tuple[str, ...] = ()) -> DataFrame:
+def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth: int = DEPTH, anchor: int | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
     """Remove every byte inside a `depth`-byte string that also starts anywhere else.
 
     Texts are taken as UTF-8, null as empty; matches never cross texts, and strings are judged on
@@ -133,6 +134,9 @@ def removed(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", depth
     repeat an id and a text are repeats of one another. Other columns are not read; an empty
     table gives an empty table.
     """
+    anchor = anchor or max(1, depth * ANCHOR // DEPTH)
+    if not BIN < depth < 1 << 16 or anchor > depth:
+        raise ValueError("depth must be within 17 and 65535, and the anchor no longer than it")
     docs = _documents(df, id_col, text_col, keep)
     more = [f"k{i}" for i in range(len(keep))]
     all_runs = stored(_runs_table(docs, depth, anchor), "runs")
