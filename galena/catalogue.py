@@ -11,4 +11,4 @@ __all__ = ["QUERIES", "SQL", "flagship"]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return QUERIES["upsert_latest_wins"](spark, sf_dir)
+    return QUERIES["hybrid_search"](spark, sf_dir)
