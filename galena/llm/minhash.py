@@ -7,7 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from galena.llm.common import stored
@@ -19,8 +19,15 @@ WORDS, PART, SHARE = 5, 100, 75
 #: BANDS bands of ROWS slots: a pair at the threshold meets in none with odds of (1 - .75**5)**50, about one in a million.
 BANDS, ROWS = 50, 5
 SLOTS = BANDS * ROWS
-#: Bytes of text worked on at once.
-CHUNK_BYTES = 1 << 19
+#: A bit of each slot, in words, and how many may differ: pairs at the threshold differ in 31 of
+#: 250, with a deviation of 5, so that more than 60 has odds of less than one in ten million.
+BITS, DIFFERENT = tuple(f"b{i}" for i in range(-(-SLOTS // 64))), 60
+#: Turns of confirming bands against one lead each; once bands hold so few members that are apart, pairs follow.
+LEADS, FEW = 4, 4
+#: Bands of more open members are confirmed in blocks of so many members.
+LARGE, BLOCK = 64, 256
+#: Bytes of text worked on at once: each shingle takes 2 * SLOTS bytes meanwhile.
+CHUNK_BYTES = 1 << 17
 _EMPTY = np.uint64((1 << 64) - 1)
 
 
@@ -85,12 +92,19 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return key
 
 
+def low_bits(signature: np.ndarray) -> np.ndarray:
+    """One bit of each slot, in words of 64."""
+    width = -(-signature.shape[1] // 64) * 64
+    bits = np.zeros((len(signature), width), np.uint8)
+    bits[:, : signature.shape[1]] = signature & np.uint64(1)
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)
+
+
 def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes]]]:
     """Texts of a batch in runs of about CHUNK_BYTES, with each run's first row."""
-    values = batch.column(column).cast(pa.binary())
     run, first, size = [], 0, 0
-    for i, value in enumerate(values):
-        run.append(value.as_py() or b"")
+    for i in range(batch.num_rows):
+        run.append(batch.column(column)[i].as_buffer().to_pybytes() if batch.column(column)[i].is_valid else b"")
         size += len(run[-1])
         if size >= CHUNK_BYTES:
             yield first, run
@@ -101,22 +115,23 @@ def _texts(batch: pa.RecordBatch, column: int) -> Iterator[tuple[int, list[bytes
 
 def sketch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles (size of its set), set_id (a digest of the whole set), keys (of its
-    bands). A text without words, or null, has no shingles, and null set_id and keys."""
+    bands), b0, b1, ... (a bit of each slot). A text without words, or null, has no shingles, and null set_id and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for first, texts in _texts(batch, 1):
                 hashes, bounds = shingles(texts)
                 sizes = np.diff(bounds)
-                keys = band_keys(signatures(hashes, bounds)).astype(np.int64)
+                signed = signatures(hashes, bounds)
+                keys, bits = band_keys(signed).astype(np.int64), low_bits(signed).astype(np.int64)
                 filled = sizes > 0
                 digests = [hashlib.blake2b(hashes[a:b].tobytes(), digest_size=16).digest() if b > a else None for a, b in zip(bounds, bounds[1:], strict=False)]
                 ends = np.concatenate([[0], np.cumsum(filled * BANDS)]).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[filled].reshape(-1)), mask=pa.array(~filled))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists], names=["id", "n_shingles", "set_id", "keys"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), lists, *map(pa.array, bits.T)], names=["id", "n_shingles", "set_id", "keys", *BITS])
 
     source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("t"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_shingles long, set_id binary, keys array<long>")
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, n_shingles long, set_id binary, keys array<long>, " + ", ".join(f"{b} long" for b in BITS))
 
 
 def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -129,14 +144,12 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataF
                 packed = [hashes[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, len(texts)), pa.array(packed, pa.binary())], names=["id", "set"])
 
-    source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("t")).join(wanted, "id", "left_semi")
+    source = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("t")).hint("merge").join(wanted, "id", "left_semi")
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, set binary")
 
 
-def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Those of the pairs (u, v) whose whole shingle sets are similar enough."""
-    wanted = pairs.select(F.col("u").alias("id")).union(pairs.select(F.col("v").alias("id"))).distinct()
-    sets = stored(_sets(df, wanted, id_col, text_col), "sets")
     kind = sets.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +164,107 @@ def confirmed(pairs: DataFrame, df: DataFrame, id_col: str, text_col: str) -> Da
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(good, pa.bool_()))
 
     left, right = sets.select(F.col("id").alias("u"), F.col("set").alias("a")), sets.select(F.col("id").alias("v"), F.col("set").alias("b"))
-    return pairs.join(left, "u").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
+    return pairs.hint("merge").join(left, "u").hint("merge").join(right, "v").select("u", "v", "a", "b").mapInArrow(run, f"u {kind}, v {kind}")
+
+
+def _confirmed_in_blocks(open_bands: DataFrame, sets: DataFrame) -> DataFrame:
+    """Links (u, v) between members of large bands that are in different groups.
+
+    A band is cut into blocks by hash, and every two blocks meet in one task of bounded size. A
+    member's set travels once for each block that it meets, not once for each pair, and only
+    links come out."""
+    kind = sets.schema["id"].dataType.simpleString()
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = open_bands.select("key", "id", "g", *BITS, blocks.alias("blocks")).withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks").cast("long")).cast("int"))
+    dealt = dealt.hint("merge").join(sets, "id")
+    columns = ["id", "g", *BITS, "set"]
+    left = dealt.select("key", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("blocks") - 1)).alias("j"), F.lit(0).alias("side"), *columns)
+    right = dealt.select("key", F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"), F.lit(1).alias("side"), *columns)
+
+    def run(table: pa.Table) -> pa.Table:
+        side = table["side"].to_numpy()
+        ids, groups = table["id"].to_pylist(), table["g"].to_pylist()
+        bits = np.stack([table[b].to_numpy() for b in BITS], axis=1).view(np.uint64)
+        packed = [np.frombuffer(x, np.uint64) for x in table["set"].to_pylist()]
+        sizes = np.array([len(x) for x in packed])
+        diagonal = table["i"][0].as_py() == table["j"][0].as_py()
+        b = np.flatnonzero(side == 1)
+        u, v = [], []
+        for x in np.flatnonzero(side == 0):
+            likely = b[np.bitwise_count(bits[b] ^ bits[x]).sum(axis=1) <= DIFFERENT]
+            likely = likely[PART * np.minimum(sizes[likely], sizes[x]) >= SHARE * np.maximum(sizes[likely], sizes[x])]
+            likely = [y for y in likely.tolist() if groups[x] != groups[y] and (not diagonal or ids[x] < ids[y])]
+            if not likely:
+                continue
+            every = np.concatenate([packed[y] for y in likely])
+            at = np.minimum(np.searchsorted(packed[x], every), sizes[x] - 1)
+            both = np.add.reduceat((packed[x][at] == every).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[likely])[:-1]]))
+            for y in np.array(likely)[PART * both >= SHARE * (sizes[x] + sizes[likely] - both)].tolist():
+                u.append(ids[x])
+                v.append(ids[y])
+        kinds = table.schema.field("id").type
+        return pa.table({"u": pa.array(u, kinds), "v": pa.array(v, kinds)})
+
+    return left.union(right).groupBy("key", "i", "j").applyInArrow(run, f"u {kind}, v {kind}")
+
+
+def _linked(classes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Groups (node, component) of the classes (id, keys of bands).
+
+    Each band has a lead: the member that meets most others in all its bands, as the original of
+    a family of copies does. Members of other groups are confirmed against the lead, which then
+    leaves the band; leads of the next turn come from other groups. Once a turn finds nothing,
+    or bands hold few members, what is still apart is confirmed pair by pair, in large
+    bands block by block. Pairs whose signatures differ too much are left out before they are made.
+    """
+    members = classes.select("id", F.explode("keys").alias("key"))
+    # Sums by key are stored before they are joined: only then can Spark split a very frequent key.
+    # Joins that grow with the corpus are merge joins at every size, never broadcasts.
+    shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
+    met = stored(members.hint("merge").join(shared, "key"), "bands")
+    weight = met.groupBy("id").agg(F.sum("n").alias("w"))
+    bits = stored(classes.join(weight, "id").select("id", "w", *BITS), "bits")
+    sets = stored(_sets(df, bits.select("id"), id_col, text_col), "sets")
+    kind = met.schema["id"].dataType
+    band = met.join(bits, "id").select("key", "id", "w", *BITS, F.col("id").alias("g"), F.lit(None).cast(kind).alias("led"))
+    links, groups, found_any = None, None, True
+
+    def near(left: Column, right: Column) -> Column:
+        return sum((F.bit_count(left[b].bitwiseXOR(right[b])) for b in BITS), F.lit(0)) <= DIFFERENT
+
+    for turn in range(LEADS + 1):
+        order = F.struct((~F.col("g").eqNullSafe(F.col("led"))).alias("new"), "w", "id", "g", F.struct(*BITS).alias("bits"))
+        leads = band.groupBy("key").agg(F.min("g").alias("a"), F.max("g").alias("b"), F.max(order).alias("lead"), F.count("*").alias("n")).filter("a <> b")
+        leads = stored(leads.select("key", "lead", "n"), "leads")
+        open_bands = stored(band.join(leads, "key").withColumn("bits", F.struct(*BITS)), "open")
+        size = open_bands.agg(F.count("*").alias("rows"), F.sum("n").alias("pairs")).first()
+        if not size["rows"]:
+            break
+        last = turn == LEADS or not found_any or size["pairs"] <= FEW * size["rows"]
+        if last:
+            small = open_bands.filter(F.col("n") <= LARGE)
+            other = small.select("key", F.col("id").alias("v"), F.col("g").alias("h"), F.col("bits").alias("other"))
+            pairs = small.join(other, (small["key"] == other["key"]) & (F.col("id") < F.col("v")) & (F.col("g") != F.col("h")) & near(F.col("bits"), F.col("other"))).select(F.col("id").alias("u"), "v")
+        else:
+            apart = (F.col("id") != F.col("lead.id")) & (F.col("g") != F.col("lead.g")) & near(F.col("bits"), F.col("lead.bits"))
+            pairs = open_bands.filter(apart).select(F.col("lead.id").alias("u"), F.col("id").alias("v"))
+        found = confirmed(pairs.distinct(), sets)
+        if last:
+            found = found.union(_confirmed_in_blocks(open_bands.filter(F.col("n") > LARGE), sets))
+        found = stored(found, "confirmed")
+        found_any = not found.isEmpty()
+        links = found if links is None else links.union(found)
+        if found_any or groups is None:
+            groups = stored(components(links), "groups")
+        if last:
+            break
+        now = groups.select(F.col("node").alias("id"), "component")
+        rest = open_bands.filter("id <> lead.id").select("key", "id", "w", *BITS, F.col("lead.id").alias("lead")).join(now, "id", "left")
+        led = now.select(F.col("id").alias("lead"), F.col("component").alias("lead_now"))
+        band = rest.join(led, "lead", "left").select("key", "id", "w", *BITS, F.coalesce("component", "id").alias("g"), F.coalesce("lead_now", "lead").alias("led"))
+    if groups is None:
+        groups = classes.sparkSession.createDataFrame([], f"node {dict(classes.dtypes)['id']}, component {dict(classes.dtypes)['id']}")
+    return groups
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -162,35 +275,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     nothing. Ids should be unique: rows that share one are linked by their texts alone. A row with
     a null id has a null component_id and is kept. Other columns of df are not read; an empty table gives an empty table.
 
-    Rows with equal sets are one class. Classes meet in bands; every member of a band is
-    confirmed against the band's least member, and after that members of a band that are still
-    in different groups are confirmed against each other, so that no link that changes a group
-    is missed and a band of copies is never expanded into all pairs.
+    Rows with equal sets are one class. Classes meet in bands, where _linked() confirms links
+    until no unconfirmed one could join two groups; a band of copies is not expanded into pairs.
     """
     sketched = stored(sketch(df, id_col, text_col), "sketch")
     nodes = sketched.filter("id is not null and set_id is not null")
-    classes = nodes.groupBy("set_id").agg(F.min(F.struct("id", "keys")).alias("c")).select("set_id", "c.*")
-    members = classes.select("id", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.min("id").alias("lead"), F.max("id").alias("last")).filter("lead <> last").select("key", "lead")
-    met = stored(members.join(shared, "key").filter("id <> lead"), "bands")
-
-    first = met.select(F.col("lead").alias("u"), F.col("id").alias("v")).distinct()
-    links = stored(confirmed(first, df, id_col, text_col), "confirmed")
-    groups = stored(components(links), "groups")
-
-    # What is still apart within a band. The leads have been held against all.
-    now = met.join(groups.withColumnRenamed("node", "id"), "id", "left").select("key", "id", F.coalesce("component", "id").alias("g"))
-    split = now.groupBy("key").agg(F.min("g").alias("a"), F.max("g").alias("b")).filter("a <> b").select("key")
-    apart = now.join(split, "key", "left_semi")
-    other = apart.select("key", F.col("id").alias("v"), F.col("g").alias("h"))
-    second = stored(apart.join(other, "key").filter("id < v and g <> h").select(F.col("id").alias("u"), "v").distinct(), "apart")
-    if not second.isEmpty():
-        links = links.union(confirmed(second, df, id_col, text_col))
-        groups = stored(components(links), "groups")
-
+    classes = nodes.groupBy("set_id").agg(F.min(F.struct("id", "keys", *BITS)).alias("c")).select("set_id", "c.*")
+    groups = _linked(classes, df, id_col, text_col)
     by_class = classes.select("set_id", "id").join(groups.withColumnRenamed("node", "id"), "id", "left")
-    by_set = by_class.select("set_id", F.coalesce("component", "id").alias("component_id"))
-    out = sketched.select("id", "n_shingles", "set_id").join(by_set, "set_id", "left")
+    by_set = stored(by_class.select("set_id", F.coalesce("component", "id").alias("component_id")), "by_set")
+    out = sketched.select("id", "n_shingles", "set_id").hint("merge").join(by_set, "set_id", "left")
     out = out.select(F.col("id").alias(id_col), "n_shingles", F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col(id_col) == F.col("component_id"), F.lit(True)))
 
