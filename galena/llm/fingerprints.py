@@ -18,8 +18,9 @@ from pyspark.sql.window import Window
 from galena.llm.common import shared_folder, stored
 
 #: Cells of the fingerprint and of the first larger sketch, growth after that, peeling rounds
-#: (each peels one third of the cells).
-CELLS, LARGER, GROWTH, ROUNDS = 12, 192, 16, 12
+#: (each peels one third of the cells). Cells that are zero are not held, so a large sketch costs no
+#: more than a small one, and one round for each third mostly peels it.
+CELLS, LARGER, GROWTH, ROUNDS = 12, 6144, 16, 3
 #: Code points of a paragraph's pieces at most; documents that one task orders; limit on the
 #: number of id ranges, and on the ids of failed pairs that are broadcast.
 PIECE, RANGE_ROWS, RANGES, BROADCAST_ROWS = 160, 1000, 1 << 16, 500_000
