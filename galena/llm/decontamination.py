@@ -1,8 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, units and names become typed placeholders, so that a question keeps its template when
-its parameters change. Windows of canonical words are joined by hash; hits on one diagonal are
-a passage, and the passage counts if its slots were filled consistently: a value of the item
+its parameters change. Each window is read twice, in neither case with regard to line breaks:
+with names as placeholders, and with names as lower-cased words, so that a copy in another case
+is found as well. Windows of canonical words are joined by hash; hits on one diagonal are a passage, and the passage counts if its slots were filled consistently: a value of the item
 stands for one value in the document throughout.
 """
 
@@ -14,11 +15,15 @@ from pyspark.sql import functions as F
 #: Words of a window; hits on neighbouring diagonals that make a passage (six windows of eight
 #: words span thirteen); width of a band of diagonals; least share of consistent slots.
 WINDOW, HITS, BAND, CONSISTENT = 8, 6, 4, 0.75
+#: Literal words without which a window with names as placeholders says nothing.
+LITERALS = 2
 #: Benchmark windows up to this number are broadcast (some 16 MB); more are joined by shuffling.
 BROADCAST_WINDOWS = 1_000_000
 
 # Units that are slots behind a number.
 UNITS = "kg g mg lb lbs oz km m cm mm mi mile miles meter meters metre metres feet foot ft inch inches hour hours h minute minutes min second seconds s day days week weeks month months year years dollar dollars euro euros cent cents pound pounds liter liters litre litres l ml percent degree degrees mph kmh"
+# Words that open sentences and are no names.
+OPENERS = "a after all also although an and any are as at because before both but by can could did do does each every few find first for from given had has have he her here his how however i if in is it its last let many more most my next no not now of on one or our she since so some that the their then there these they this those though to two under until was we were what when where which while who whose why will with would you your"
 
 _NUMBER, _NAME, _UNIT = "\u0001", "\u0002", "\u0003"
 _BREAK = r"[^\p{L}\p{N}\x01-\x03]+"
@@ -39,19 +44,40 @@ def raw_words(text: Column) -> Column:
     return _split(_joined_numbers(text))
 
 
+_NAMES = rf"(?=\p{{Lu}})(?!(?i:{OPENERS.replace(' ', '|')})(?![\p{{L}}\p{{M}}]))(?:(?<=[\p{{Ll}},;] )\p{{Lu}}\p{{L}}*|(?<![\p{{L}}\p{{M}}\p{{N}}])\p{{Lu}}(?:\p{{Ll}}\p{{L}}*)?(?!\p{{L}}))"
+
+
 def canonical_words(text: Column) -> Column:
-    """As many words, where placeholders stand for numbers, units behind them, and names
-    (capitalised words that follow a lower-case letter or a comma)."""
-    out = F.regexp_replace(_joined_numbers(text), r"\p{Nd}+", _NUMBER)
-    out = F.regexp_replace(out, rf"(?<={_NUMBER}[ -])({UNITS.replace(' ', '|')})(?![\p{{L}}\p{{N}}])", _UNIT)
-    out = F.regexp_replace(out, r"(?<=[\p{Ll},;] )\p{Lu}\p{L}*", _NAME)
-    return _split(out)
+    """As many words, where placeholders stand for numbers and units behind them, and a mark
+    opens names: capitalised words but for OPENERS, and words in capitals only if they follow a
+    lower-case letter or a comma."""
+    out = F.regexp_replace(_joined_numbers(text), r"[\s\p{Z}&&[^ ]][\s\p{Z}]*| [\s\p{Z}]+", " ")
+    out = F.regexp_replace(out, r"\p{Nd}+", _NUMBER)
+    out = F.regexp_replace(out, rf"(?<={_NUMBER}[ -])(?i:{UNITS.replace(' ', '|')})(?![\p{{L}}\p{{N}}])", _UNIT)
+    return _split(F.regexp_replace(out, _NAMES, _NAME + "$0"))
+
+
+def _stands(word: Column) -> Column:
+    """Whether a placeholder can stand for the word."""
+    return word.isin(_NUMBER, _UNIT) | word.startswith(_NAME)
+
+
+def _held(df: DataFrame, **columns: Column) -> DataFrame:
+    """The rows with columns that are computed once, and not once for each use."""
+    for name, column in columns.items():
+        df = df.select(*[c for c in df.columns if c != name], F.explode(F.array(column)).alias(name))
+    return df
 
 
-def _windows(words: Column, size: int) -> Column:
-    last = F.size(words) - size
-    hashes = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.slice(words, i + 1, size)))
-    return F.when(last >= 0, hashes).otherwise(F.array().cast("array<long>"))
+def _windows(df: DataFrame, name: str, size: int) -> DataFrame:
+    """The rows with hashes of all windows of `size` in place of an array of hashes."""
+    last, width = F.size(name) - size + 1, 1
+    df = df.withColumn("_last", F.greatest(last, F.lit(0)))
+    while width < size:
+        step = min(width, size - width)
+        df = _held(df, **{name: F.zip_with(name, F.slice(name, step + 1, F.size(name)), lambda a, b: F.xxhash64(a, b))})
+        width += step
+    return df.withColumn(name, F.slice(name, 1, "_last")).drop("_last")
 
 
 def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, hits: int = HITS) -> DataFrame:
@@ -76,7 +102,13 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         parts = []
         for s in sizes:
             part = df.filter(F.col("size") == s) if only else df
-            parts.append(part.select(*keys, F.posexplode(_windows(F.col("cw"), s)).alias("at", "h")).withColumn("h", F.xxhash64(F.lit(s), "h")))
+            part = _held(part.select(*keys, "cw"), plain=F.transform("cw", lambda w: F.xxhash64(F.ltrim(w, F.lit(_NAME)))), slots=F.transform("cw", lambda w: F.xxhash64(F.when(w.startswith(_NAME), _NAME).otherwise(w))))
+            part = _windows(_windows(part, "plain", s), "slots", s).select(*keys, *(["cw"] if only else []), F.posexplode(F.arrays_zip("plain", "slots")).alias("at", "w"))
+            one = F.col("w.plain") == F.col("w.slots")
+            if only:
+                one = one | (F.size(F.filter(F.slice("cw", F.col("at") + 1, s), lambda w: ~_stands(w))) < LITERALS)
+            part = part.select(*keys, "at", F.explode(F.when(one, F.array("w.plain")).otherwise(F.array("w.plain", "w.slots"))).alias("h"))
+            parts.append(part.withColumn("h", F.xxhash64(F.lit(s), "h")))
         out = parts[0]
         for part in parts[1:]:
             out = out.union(part)
@@ -98,7 +130,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
 
     bodies = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("body"))
     held = best.join(bodies, ["id", "mark"]).join(known, "item").withColumn("dw", raw_words(F.col("body"))).drop("body")
-    slot = F.filter(F.sequence(F.lit(0), F.size("cw") - 1), lambda t: F.element_at("cw", t + 1).isin(_NUMBER, _NAME, _UNIT) & F.exists("there", lambda b: (b <= t) & (t < b + F.col("size"))))
+    slot = F.filter(F.sequence(F.lit(0), F.size("cw") - 1), lambda t: _stands(F.element_at("cw", t + 1)) & F.exists("there", lambda b: (b <= t) & (t < b + F.col("size"))))
     pairs = F.transform(slot, lambda t: F.struct(F.element_at("rw", t + 1).alias("a"), F.get("dw", t + F.col("diagonal")).alias("b")))
     judged = held.withColumn("pairs", pairs)
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))

@@ -217,6 +217,21 @@ def test_decontamination_finds_changed_parameters(spark, docs, none):
     assert decontamination.clean(docs, items).count() == len(HARD)
 
 
+def leaks(spark, bodies, text):
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    return {r["doc_id"]: r for r in decontamination.passages(docs, spark.createDataFrame([(1, text)], "item_id long, text string")).collect()}
+
+
+def test_decontamination_is_independent_of_case_and_line_breaks(spark):
+    tom = "Tom has 3 apples. Anna gives him 4 more apples. How many apples does Tom have now?"
+    clips = "Natalia sold 48 clips in April to Anna and then half as many clips in May to Bob, Carl and Dora. How many clips in all?"
+    same = [clips.replace(" in April", " in\nApril"), clips.lower(), clips.upper(), clips.replace(" ", "\r\n  "), clips.lower().replace("48", "52")]
+    assert set(leaks(spark, same, clips)) == set(range(5))
+    other = tom.replace("Tom", "Maria").replace("Anna", "Peter").replace("3", "8").replace("4", "9")
+    out = leaks(spark, [other, tom.lower(), "The Art Of War And The Craft Of Peace In The Hall Of Kings And Queens By Night"], tom)
+    assert set(out) == {0, 1} and out[0]["n_hits"] == 10 and out[0]["changed"] == 5 and out[0]["consistent"] == 1.0
+
+
 def test_conversations_keep_the_longest_snapshots(spark):
     chat = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, None, None), (None, 0, "user", "lost")]
     df = spark.createDataFrame(chat, "conv_id long, turn long, role string, text string")
