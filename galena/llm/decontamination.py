@@ -126,7 +126,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     found = banded.groupBy("id", "mark", "item", "band").agg(F.array_distinct(F.flatten(F.collect_list("there"))).alias("there"), F.max_by("diagonal", F.size("there")).alias("diagonal"), F.min("first").alias("first"))
     known = items.select("item", "cw", "rw", (F.size("cw") - F.col("size") + 1).alias("n_windows"), "size")
     enough = found.join(known.select("item", "n_windows"), "item").filter(F.size("there") >= F.least(F.lit(hits), F.col("n_windows")))
-    best = enough.groupBy("id", "mark", "item").agg(F.max(F.struct(F.size("there").alias("n"), -F.col("band"), "there", "diagonal", "first")).alias("b")).select("id", "mark", "item", "b.*")
+    best = enough.select("id", "mark", "item", F.size("there").alias("n"), "there", "diagonal", "first")
 
     bodies = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("body"))
     held = best.join(bodies, ["id", "mark"]).join(known, "item").withColumn("dw", raw_words(F.col("body"))).drop("body")
@@ -135,7 +135,9 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     judged = held.withColumn("pairs", pairs)
     values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
     judged = judged.select("id", "item", F.col("n").cast("long").alias("n_hits"), (F.col("n") / F.col("n_windows")).alias("coverage"), F.col("first").cast("long").alias("first_word"), F.size("pairs").cast("long").alias("n_slots"), F.size(F.filter("pairs", lambda p: ~p["a"].eqNullSafe(p["b"]))).cast("long").alias("changed"), F.when(F.size("pairs") > 0, values / F.size(F.array_distinct("pairs"))).otherwise(1.0).alias("consistent"))
-    one = judged.filter(F.col("consistent") >= CONSISTENT).groupBy("id", "item").agg(F.max(F.struct("n_hits", "coverage", "first_word", "n_slots", "changed", "consistent")).alias("p"))
+    # Every passage is judged; the best of those that count stands for the document and item.
+    out = ["n_hits", "coverage", "first_word", "n_slots", "changed", "consistent"]
+    one = judged.filter(F.col("consistent") >= CONSISTENT).groupBy("id", "item").agg(F.max_by(F.struct(*out), F.struct("n_hits", "consistent", -F.col("first_word"), "n_slots", -F.col("changed"))).alias("p"))
     return one.select(F.col("id").alias(id_col), F.col("item").alias(item_col), "p.*")
 
 

@@ -232,6 +232,15 @@ def test_decontamination_is_independent_of_case_and_line_breaks(spark):
     assert set(out) == {0, 1} and out[0]["n_hits"] == 10 and out[0]["changed"] == 5 and out[0]["consistent"] == 1.0
 
 
+WORKSHEET = "Anna packs 12 red cubes and 30 blue cubes; then she sells 12 cubes at the fair and packs 30 more cubes. How many cubes has Anna packed at the end of the day at the fair?"
+
+
+def test_decontamination_judges_every_passage_of_an_item(spark):
+    mixed = WORKSHEET.replace("12", "{}").replace("30", "{}").replace("Anna", "{}").format("Bob", 5, 6, 7, 8, "Eve")
+    out = leaks(spark, [mixed + " " + prose(60, 7) + " " + WORKSHEET, mixed], WORKSHEET)
+    assert set(out) == {0} and out[0]["consistent"] == 1.0 and out[0]["changed"] == 0
+
+
 def test_conversations_keep_the_longest_snapshots(spark):
     chat = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, None, None), (None, 0, "user", "lost")]
     df = spark.createDataFrame(chat, "conv_id long, turn long, role string, text string")
