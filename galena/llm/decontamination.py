@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galena.llm.common import stored
+
 #: Words of a window; hits on neighbouring diagonals that make a passage (six windows of eight
 #: words span thirteen); width of a band of diagonals; least share of consistent slots.
 WINDOW, HITS, BAND, CONSISTENT = 8, 6, 4, 0.75
@@ -123,18 +125,26 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     # A band and the next one are one passage, so that diagonals on both sides of an edge meet.
     band = F.floor(F.col("diagonal") / BAND)
     banded = lines.select("*", F.explode(F.array(band, band - 1)).alias("band"))
-    found = banded.groupBy("id", "mark", "item", "band").agg(F.array_distinct(F.flatten(F.collect_list("there"))).alias("there"), F.max_by("diagonal", F.size("there")).alias("diagonal"), F.min("first").alias("first"))
-    known = items.select("item", "cw", "rw", (F.size("cw") - F.col("size") + 1).alias("n_windows"), "size")
-    enough = found.join(known.select("item", "n_windows"), "item").filter(F.size("there") >= F.least(F.lit(hits), F.col("n_windows")))
-    best = enough.select("id", "mark", "item", F.size("there").alias("n"), "there", "diagonal", "first")
-
-    bodies = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("body"))
-    held = best.join(bodies, ["id", "mark"]).join(known, "item").withColumn("dw", raw_words(F.col("body"))).drop("body")
-    slot = F.filter(F.sequence(F.lit(0), F.size("cw") - 1), lambda t: _stands(F.element_at("cw", t + 1)) & F.exists("there", lambda b: (b <= t) & (t < b + F.col("size"))))
-    pairs = F.transform(slot, lambda t: F.struct(F.element_at("rw", t + 1).alias("a"), F.get("dw", t + F.col("diagonal")).alias("b")))
-    judged = held.withColumn("pairs", pairs)
-    values = F.size(F.array_distinct(F.transform("pairs", lambda p: p["a"])))
-    judged = judged.select("id", "item", F.col("n").cast("long").alias("n_hits"), (F.col("n") / F.col("n_windows")).alias("coverage"), F.col("first").cast("long").alias("first_word"), F.size("pairs").cast("long").alias("n_slots"), F.size(F.filter("pairs", lambda p: ~p["a"].eqNullSafe(p["b"]))).cast("long").alias("changed"), F.when(F.size("pairs") > 0, values / F.size(F.array_distinct("pairs"))).otherwise(1.0).alias("consistent"))
+    keys = ["id", "mark", "item", "band", "n", "first"]
+    found = banded.groupBy(*keys[:4]).agg(F.size(F.array_distinct(F.flatten(F.collect_list("there")))).alias("n"), F.min("first").alias("first"), F.collect_list(F.struct("diagonal", "there")).alias("lines"))
+    slots = F.filter(F.sequence(F.lit(0), F.size("cw") - 1), lambda t: _stands(F.element_at("cw", t + 1)))
+    known = items.select("item", "rw", (F.size("cw") - F.col("size") + 1).alias("n_windows"), "size", slots.alias("slots"))
+    keys = [*keys, "n_windows"]
+    enough = found.join(known, "item").filter(F.col("n") >= F.least(F.lit(hits), F.col("n_windows")))
+    # Each slot is read through the diagonal of a window that covers it; of several, the one with most windows.
+    line = enough.select(*keys, "rw", "slots", "size", F.explode("lines").alias("line"))
+    covered = F.flatten(F.transform("line.there", lambda b: F.sequence(b, b + F.col("size") - 1)))
+    read = line.select(*keys, "rw", F.struct(F.size("line.there").alias("n"), (-F.col("line.diagonal")).alias("minus")).alias("line"), F.explode_outer(F.array_intersect("slots", covered)).alias("t"))
+    read = read.select(*keys, "t", F.get("rw", F.col("t")).alias("a"), "line").groupBy(*keys, "t", "a").agg(F.max("line").alias("line"))
+    read = stored(read.select(*keys, "a", (F.col("t") - F.col("line.minus")).alias("at")), "decontamination")
+    # The words of a document are split once, and only the wanted ones go on.
+    needed = read.filter("at IS NOT NULL").groupBy("id", "mark").agg(F.collect_set("at").alias("at"))
+    bodies = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), F.col(text_col).alias("body")).join(needed, ["id", "mark"])
+    words = _held(bodies, dw=raw_words(F.col("body"))).select("id", "mark", F.explode(F.transform("at", lambda i: F.struct(i.alias("at"), F.get("dw", i.cast("int")).alias("b")))).alias("w"))
+    words = words.groupBy("id", "mark", "w.at").agg(F.first("w.b").alias("b"))
+    some = F.col("at").isNotNull()
+    judged = read.join(words, ["id", "mark", "at"], "left").groupBy(*keys).agg(F.count("at").alias("n_slots"), F.count_if(some & ~F.col("a").eqNullSafe(F.col("b"))).alias("changed"), F.size(F.collect_set("a")).alias("values"), F.size(F.collect_set(F.when(some, F.struct("a", "b")))).alias("pairs"))
+    judged = judged.select("id", "item", F.col("n").cast("long").alias("n_hits"), (F.col("n") / F.col("n_windows")).alias("coverage"), F.col("first").cast("long").alias("first_word"), "n_slots", "changed", F.when(F.col("pairs") > 0, F.col("values") / F.col("pairs")).otherwise(1.0).alias("consistent"))
     # Every passage is judged; the best of those that count stands for the document and item.
     out = ["n_hits", "coverage", "first_word", "n_slots", "changed", "consistent"]
     one = judged.filter(F.col("consistent") >= CONSISTENT).groupBy("id", "item").agg(F.max_by(F.struct(*out), F.struct("n_hits", "consistent", -F.col("first_word"), "n_slots", -F.col("changed"))).alias("p"))

@@ -241,6 +241,11 @@ def test_decontamination_judges_every_passage_of_an_item(spark):
     assert set(out) == {0} and out[0]["consistent"] == 1.0 and out[0]["changed"] == 0
 
 
+def test_decontamination_reads_slots_behind_an_added_word(spark):
+    out = leaks(spark, [WORKSHEET.replace("sells 12", "then gladly sells 12")], WORKSHEET)
+    assert set(out) == {0} and out[0]["changed"] == 0 and out[0]["consistent"] == 1.0
+
+
 def test_conversations_keep_the_longest_snapshots(spark):
     chat = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, None, None), (None, 0, "user", "lost")]
     df = spark.createDataFrame(chat, "conv_id long, turn long, role string, text string")
