@@ -17,7 +17,8 @@ from galena.llm.common import stored
 #: Words of a window; hits on neighbouring diagonals that make a passage (six windows of eight
 #: words span thirteen); width of a band of diagonals; least share of consistent slots.
 WINDOW, HITS, BAND, CONSISTENT = 8, 6, 4, 0.75
-#: Literal words without which a window with names as placeholders says nothing.
+#: Literal words without which a window with names as placeholders says nothing, an item shorter than
+#: a window matches nothing, and a longer item matches only with equal raw words.
 LITERALS = 2
 #: Benchmark windows up to this number are broadcast (some 16 MB); more are joined by shuffling.
 BROADCAST_WINDOWS = 1_000_000
@@ -90,11 +91,13 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     the passage), changed (of them filled with other values) and consistent (share of the item's
     slot values that stand for one value throughout; 1 without slots). A passage has at least
     `hits` windows on neighbouring diagonals, or all windows of a shorter item, and CONSISTENT
-    slots. Items shorter than a window are one window of their own length; null texts count as
-    empty and match nothing. Rows that share an id are one document; null ids are left out.
+    slots. Items shorter than a window are one window of their own length and need equal raw words;
+    those with fewer than LITERALS words besides numbers, units and names (the first word counts as
+    no name), such as '42 km', match nothing. Null texts count as empty and match nothing. Rows that share an id are one document; null ids are left out.
     """
     items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), canonical_words(F.col(item_text_col)).alias("cw"), raw_words(F.col(item_text_col)).alias("rw")).filter(F.size("cw") > 0)
-    items = items.withColumn("size", F.least(F.size("cw"), F.lit(window)))
+    literals = F.size(F.filter("cw", lambda w: ~_stands(w))) + F.get("cw", F.lit(0)).startswith(_NAME).cast("int")
+    items = items.withColumn("size", F.least(F.size("cw"), F.lit(window))).withColumn("few", literals < LITERALS).filter((F.col("size") == window) | ~F.col("few"))
     # At most `window` different sizes come to the driver.
     sizes = sorted(r["size"] for r in items.select("size").distinct().collect())
     if not sizes:
@@ -104,6 +107,10 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
         parts = []
         for s in sizes:
             part = df.filter(F.col("size") == s) if only else df
+            if s < window:
+                part = _windows(_held(part.select(*keys, "rw"), h=F.transform("rw", lambda w: F.xxhash64(w))).drop("rw"), "h", s)
+                parts.append(part.select(*keys, F.posexplode("h").alias("at", "h")).withColumn("h", F.xxhash64(F.lit(s), "h")))
+                continue
             part = _held(part.select(*keys, "cw"), plain=F.transform("cw", lambda w: F.xxhash64(F.ltrim(w, F.lit(_NAME)))), slots=F.transform("cw", lambda w: F.xxhash64(F.when(w.startswith(_NAME), _NAME).otherwise(w))))
             part = _windows(_windows(part, "plain", s), "slots", s).select(*keys, *(["cw"] if only else []), F.posexplode(F.arrays_zip("plain", "slots")).alias("at", "w"))
             one = F.col("w.plain") == F.col("w.slots")
@@ -119,7 +126,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     wanted = all_windows(items, ["item"], True).select("item", F.col("at").alias("there"), "h")
     if wanted.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
-    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), canonical_words(F.col(text_col)).alias("cw"))
+    rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), canonical_words(F.col(text_col)).alias("cw"), raw_words(F.col(text_col)).alias("rw"))
     met = all_windows(rows, ["id", "mark"], False).join(wanted, "h")
     lines = met.groupBy("id", "mark", "item", (F.col("at") - F.col("there")).alias("diagonal")).agg(F.collect_set("there").alias("there"), F.min("at").alias("first"))
     # A band and the next one are one passage, so that diagonals on both sides of an edge meet.
@@ -128,8 +135,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     keys = ["id", "mark", "item", "band", "n", "first"]
     found = banded.groupBy(*keys[:4]).agg(F.size(F.array_distinct(F.flatten(F.collect_list("there")))).alias("n"), F.min("first").alias("first"), F.collect_list(F.struct("diagonal", "there")).alias("lines"))
     slots = F.filter(F.sequence(F.lit(0), F.size("cw") - 1), lambda t: _stands(F.element_at("cw", t + 1)))
-    known = items.select("item", "rw", (F.size("cw") - F.col("size") + 1).alias("n_windows"), "size", slots.alias("slots"))
-    keys = [*keys, "n_windows"]
+    known = items.select("item", "rw", (F.size("cw") - F.col("size") + 1).alias("n_windows"), "size", "few", slots.alias("slots"))
+    keys = [*keys, "n_windows", "few"]
     enough = found.join(known, "item").filter(F.col("n") >= F.least(F.lit(hits), F.col("n_windows")))
     # Each slot is read through the diagonal of a window that covers it; of several, the one with most windows.
     line = enough.select(*keys, "rw", "slots", "size", F.explode("lines").alias("line"))
@@ -144,7 +151,7 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     words = words.groupBy("id", "mark", "w.at").agg(F.first("w.b").alias("b"))
     some = F.col("at").isNotNull()
     judged = read.join(words, ["id", "mark", "at"], "left").groupBy(*keys).agg(F.count("at").alias("n_slots"), F.count_if(some & ~F.col("a").eqNullSafe(F.col("b"))).alias("changed"), F.size(F.collect_set("a")).alias("values"), F.size(F.collect_set(F.when(some, F.struct("a", "b")))).alias("pairs"))
-    judged = judged.select("id", "item", F.col("n").cast("long").alias("n_hits"), (F.col("n") / F.col("n_windows")).alias("coverage"), F.col("first").cast("long").alias("first_word"), "n_slots", "changed", F.when(F.col("pairs") > 0, F.col("values") / F.col("pairs")).otherwise(1.0).alias("consistent"))
+    judged = judged.filter(~F.col("few") | (F.col("changed") == 0)).select("id", "item", F.col("n").cast("long").alias("n_hits"), (F.col("n") / F.col("n_windows")).alias("coverage"), F.col("first").cast("long").alias("first_word"), "n_slots", "changed", F.when(F.col("pairs") > 0, F.col("values") / F.col("pairs")).otherwise(1.0).alias("consistent"))
     # Every passage is judged; the best of those that count stands for the document and item.
     out = ["n_hits", "coverage", "first_word", "n_slots", "changed", "consistent"]
     one = judged.filter(F.col("consistent") >= CONSISTENT).groupBy("id", "item").agg(F.max_by(F.struct(*out), F.struct("n_hits", "consistent", -F.col("first_word"), "n_slots", -F.col("changed"))).alias("p"))

@@ -246,6 +246,13 @@ def test_decontamination_reads_slots_behind_an_added_word(spark):
     assert set(out) == {0} and out[0]["changed"] == 0 and out[0]["consistent"] == 1.0
 
 
+def test_decontamination_by_short_items_needs_equal_words(spark):
+    bodies = ["he ran 5 km and had 42 ideas", "they ran 42 km", "walked 42 km today", "Walked 41 km today", " ".join(map(str, range(100, 120))), " ".join(map(str, range(200, 220)))]
+    items = spark.createDataFrame([(1, "42"), (2, "42 km"), (3, "walked 42 km today"), (4, bodies[4])], "item_id long, text string")
+    docs = spark.createDataFrame(list(enumerate(bodies)), "doc_id long, text string")
+    assert {(r["doc_id"], r["item_id"]) for r in decontamination.passages(docs, items).collect()} == {(2, 3), (4, 4)}
+
+
 def test_conversations_keep_the_longest_snapshots(spark):
     chat = [(1, 0, "user", "hi"), (2, 0, "user", "hi"), (2, 1, "assistant", "yes"), (3, 0, "user", "hi"), (3, 1, "assistant", "yes"), (4, 0, "user", "hi"), (4, 1, "assistant", "no"), (5, 0, None, None), (None, 0, "user", "lost")]
     df = spark.createDataFrame(chat, "conv_id long, turn long, role string, text string")
