@@ -12,8 +12,18 @@ SCHEMA = T.StructType([T.StructField("event_id", T.LongType()), T.StructField("t
 
 
 def events(spark: SparkSession, folder: str, delay: str = "10 minutes") -> DataFrame:
-    """The folder's events as a stream, with a watermark on their time."""
-    raw = spark.readStream.schema(SCHEMA).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 8).parquet(folder)
+    """The folder's events, one file or a directory of part files, as a stream with a watermark on
+    their time. Without any file it is an error. Part files are in no order of time, so all that
+    are there go into one batch: a later batch would lose rows behind the watermark."""
+    place = f"{folder}/events.parquet"
+    if not spark.read.schema(SCHEMA).parquet(place).inputFiles():
+        raise FileNotFoundError(f"{place} holds no file")
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    reader = spark.readStream.schema(SCHEMA)
+    if path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(path).isDirectory():
+        raw = reader.parquet(place)
+    else:
+        raw = reader.option("pathGlobFilter", "events.parquet").parquet(folder)
     return raw.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
 
 
