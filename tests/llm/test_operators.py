@@ -147,15 +147,15 @@ def test_suffixes_remove_exactly_the_repeats(docs, none, size, anchor):
     assert cleaned.columns == docs.columns and cleaned.count() == len(HARD)
 
 
-def test_fingerprints_equal_the_sets_they_stand_for(docs, none):
-    def pieces(t):
-        return set(re.findall(r"[^.!?\n]{1,160}[.!?\n\t ]*|[.!?\n]+", t))
+def pieces(t):
+    return set(re.findall(r"[^\n]{0,239}[.!?][\t ]*\n*|[^\n]{1,240}\n*|\n+", t))
 
-    def likeness(a, b):
-        return len(a & b) / len(a | b) if a | b else 1.0
 
-    order = sorted(HARD, key=lambda r: (r[0] is not None, r[0] or 0))
-    out = by_id(fingerprints.fingerprinted(docs))
+def likeness(a, b):
+    return len(a & b) / len(a | b) if a | b else 1.0
+
+
+def fingerprints_are_right(rows, out, order):
     for k, (i, t) in enumerate(order):
         t, after = t or "", order[(k + 1) % len(order)][1] or ""
         edited = t[: len(t) - len(t) // 2] + after[: len(t) // 2]
@@ -163,20 +163,60 @@ def test_fingerprints_equal_the_sets_they_stand_for(docs, none):
         assert r["n_chars"] == len(t) and r["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
         assert abs(r["near_edited"] - likeness(pieces(t), pieces(edited))) < 1e-9
         assert abs(r["near_next"] - likeness(pieces(t), pieces(after))) < 1e-9
+
+
+def test_fingerprints_equal_the_sets_they_stand_for(docs, none):
+    out = by_id(fingerprints.fingerprinted(docs))
+    fingerprints_are_right(HARD, out, sorted(HARD, key=lambda r: (r[0] is not None, r[0] or 0)))
     assert out[1]["fingerprint"] == out[2]["fingerprint"] != out[3]["fingerprint"]
     assert fingerprints.fingerprinted(none).collect() == []
 
 
+def test_fingerprints_of_text_ids_in_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    rows = [(f"k{i:02}", prose(30 + i, i)) for i in range(30)]
+    frame = spark.createDataFrame(rows, "doc_id string, text string").repartition(5)
+    fingerprints_are_right(rows, by_id(fingerprints.fingerprinted(frame)), rows)
+
+
+def cells_of(fingerprint):
+    return [tuple(int(x, 16) - (int(x, 16) >> 63 << 64) for x in c.split(".")) for c in fingerprint.split("-")]
+
+
+def test_likeness_follows_from_the_returned_fingerprints(spark):
+    from pyspark.sql import functions as F
+
+    a, b = ". ".join(f"sentence {i} {'x' * 200}" for i in range(20)), ". ".join(f"sentence {i} {'x' * 200}" for i in range(4, 22))
+    out = by_id(fingerprints.fingerprinted(spark.createDataFrame([(1, a), (2, b)], "doc_id long, text string")))
+    left = [(n - m, d ^ e, c ^ f) for (n, d, c), (m, e, f) in zip(cells_of(out[1]["fingerprint"]), cells_of(out[2]["fingerprint"]), strict=True)]
+    rows = spark.createDataFrame([(left,)], "cells array<struct<n:long,d:long,c:long>>")
+    peeled = rows.select(fingerprints.peeled_row(F.col("cells")).alias("p")).first()["p"]
+    common = len(pieces(a)) - peeled["l"]
+    assert peeled["peeled"] and (peeled["l"], peeled["r"]) == (len(pieces(a) - pieces(b)), len(pieces(b) - pieces(a)))
+    assert out[1]["near_next"] == common / (len(pieces(a)) + len(pieces(b)) - common)
+
+
 def test_peeling_recovers_the_digests(spark):
     from pyspark.sql import functions as F
 
-    rows = spark.createDataFrame([(1, [5, 6, 7, 8], [5, 6, 9])], "k int, a array<long>, e array<long>")
-    out = fingerprints.peeled(fingerprints.subtracted(rows, ["k"], "a", "e", [48]), ["k"], rounds=9, recovered=True).first()
-    assert (out["only_left"], out["only_right"], out["left_over"]) == (2, 1, 0) and sorted(out["digests"]) == [7, 8, 9]
+    rows = spark.createDataFrame([(1, 48, [5, 6, 7, 8], [5, 6, 9])], "k int, size long, a array<long>, b array<long>")
+    out = fingerprints.peeled(fingerprints.subtracted(rows, ["k"]), ["k"], searches=9, recovered=True).first()
+    assert (out["l"], out["r"], out["left_over"]) == (2, 1, 0) and sorted(out["digests"]) == [7, 8, 9]
+    row = rows.select(fingerprints.peeled_row(fingerprints.less(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))).alias("p")).first()["p"]
+    assert row["peeled"] and (row["l"], row["r"]) == (2, 1)
     # Too small a sketch does not peel, and larger ones follow.
-    many = spark.range(1).select(F.lit(1).alias("k"), F.sequence(F.lit(1), F.lit(900)).cast("array<long>").alias("a"), F.sequence(F.lit(1001), F.lit(1800)).cast("array<long>").alias("e"), F.array().cast("array<long>").alias("n"))
-    found = {r["pair"]: r for r in fingerprints.differences(many, ["k"]).collect()}
-    assert (found[0]["only_left"], found[0]["only_right"]) == (900, 800) and found[1]["only_left"] == 900
+    many = spark.range(1).select(F.lit(1).alias("k"), F.sequence(F.lit(1), F.lit(900)).cast("array<long>").alias("a"), F.sequence(F.lit(1001), F.lit(1800)).cast("array<long>").alias("b"))
+    assert not many.select(fingerprints.peeled_row(fingerprints.less(fingerprints.sketch(F.col("a")), fingerprints.sketch(F.col("b")))).alias("p")).first()["p"]["peeled"]
+    found = fingerprints.differences(many, ["k"]).first()
+    assert (found["l"], found["r"]) == (900, 800)
+
+
+def test_larger_sketches_follow_until_they_peel(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(fingerprints, "SPARE", 0)
+    many = spark.range(1, 4).select(F.col("id").alias("k"), F.sequence(F.lit(1), F.col("id") * 100).cast("array<long>").alias("a"), F.array().cast("array<long>").alias("b"))
+    assert {r["k"]: r["l"] for r in fingerprints.differences(many, ["k"]).collect()} == {1: 100, 2: 200, 3: 300}
 
 
 def test_licenses_count_every_place(docs, none):
