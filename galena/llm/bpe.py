@@ -18,12 +18,13 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Text bytes that are pre-tokenised at once, pieces that a worker remembers, longest such piece.
-CHUNK_BYTES, CACHE_PIECES, CACHE_PIECE_BYTES = 1 << 20, 1 << 18, 256
+from galena.llm.common import slices, small_batches
+
+#: Pieces that a worker remembers, longest such piece.
+CACHE_PIECES, CACHE_PIECE_BYTES = 1 << 18, 256
 
 # The code points of the White_Space property, and the suffixes that the public
 # pattern splits off behind an apostrophe.
@@ -257,16 +258,6 @@ def _binary(data: np.ndarray, counts: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(counts), [None, pa.py_buffer(bounds), pa.py_buffer(np.ascontiguousarray(data))])
 
 
-def _slices(batches: Iterator[pa.RecordBatch], at: int) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that column `at` holds about CHUNK_BYTES; one value may hold more."""
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes, dtype=np.int64) // CHUNK_BYTES
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield batch.slice(a, b - a)
-
-
 def encode(df: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Encode every whole text.
 
@@ -275,12 +266,13 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[s
     empty texts have no tokens. Rows are independent, so repeated rows and ids are encoded
     each; other columns of df are not read. An empty table gives an empty table.
     """
+    small_batches(df.sparkSession)
     content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(content.value)
-        for batch in _slices(batches, width):
+        for batch in slices(batches, width):
             data, bounds = _buffers(batch.column(width))
             ids, counts = words.encode(data, bounds)
             ends = np.cumsum(words.lengths[ids])
@@ -297,12 +289,13 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[s
 
 def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """Decode packed ids: returns the columns `keep` and decoded (binary); null ids give no bytes."""
+    small_batches(df.sparkSession)
     content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     width = len(keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = vocabulary(content.value)
-        for batch in _slices(batches, width):
+        for batch in slices(batches, width):
             data, bounds = _buffers(batch.column(width))
             ids = np.frombuffer(data, np.uint32)
             ends = np.concatenate([[0], np.cumsum(words.lengths[ids])])

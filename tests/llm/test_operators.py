@@ -143,8 +143,52 @@ def test_suffixes_remove_exactly_the_repeats(docs, none, size, anchor):
         assert (out[i]["n_bytes"], out[i]["n_removed"], bytes(out[i]["kept"])) == (n, gone, kept), i
         assert out[i]["n_spans"] == len(out[i]["spans"]) and sum(s["end"] - s["start"] for s in out[i]["spans"]) == gone
     assert suffixes.removed(none).collect() == []
-    cleaned = suffixes.clean(docs, depth=size)
+
+
+def repeated_words(rows, size):
+    """Of each text the words, and which of them are in a repeated string of `size` words."""
+    split = {i: re.findall(r"[^\x20\x09-\x0D]+", t or "") for i, t in rows}
+    seen = {}
+    for w in split.values():
+        for k in range(len(w) - size + 1):
+            seen[tuple(w[k : k + size])] = seen.get(tuple(w[k : k + size]), 0) + 1
+    return {i: (w, {j for k in range(len(w) - size + 1) if seen[tuple(w[k : k + size])] > 1 for j in range(k, k + size)}) for i, w in split.items()}
+
+
+def test_suffixes_of_words(spark, docs):
+    want = repeated_words(HARD, 50)
+    out = by_id(suffixes.removed(docs, passages=50))
+    cut = by_id(suffixes.removed(docs, depth=50, unit="words"))
+    for i, (w, gone) in want.items():
+        assert out[i]["n_passage_words"] == len(gone), i
+        assert bytes(cut[i]["kept"]).decode().split() == [x for k, x in enumerate(w) if k not in gone], i
+    assert any(g for _, g in want.values()) and suffixes.removed(docs.limit(0), passages=50).collect() == []
+    cleaned = suffixes.clean(docs)
     assert cleaned.columns == docs.columns and cleaned.count() == len(HARD)
+    assert by_id(cleaned)[4]["text"] is None and by_id(cleaned)[10]["text"] == HARD[9][1] and by_id(cleaned)[1]["key"] == 1
+
+
+def test_suffixes_of_random_tables(spark):
+    """Many chance repeats of every length, against brute force."""
+    r = random.Random(5)
+    for trial in range(3):
+        parts = ["".join(r.choice("ab ") for _ in range(r.randint(5, 90))) for _ in range(12)]
+        rows = [(i, "".join(r.choice(parts) for _ in range(r.randint(0, 9)))) for i in range(60)]
+        frame = spark.createDataFrame(rows, "doc_id long, text string")
+        out, words = by_id(suffixes.removed(frame, depth=30, passages=18)), repeated_words(rows, 18)
+        for i, (n, gone, kept) in repeats(rows, 30).items():
+            assert (out[i]["n_bytes"], out[i]["n_removed"], bytes(out[i]["kept"])) == (n, gone, kept), (trial, i)
+            assert out[i]["n_passage_words"] == len(words[i][1]), (trial, i)
+
+
+def test_suffixes_of_a_text_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(suffixes, "BLOCK", 700)
+    rows = [(1, prose(3000, 8)), (2, prose(200, 9) + prose(400, 8) + prose(200, 10))]
+    rows[1] = (2, prose(200, 9) + rows[0][1][5000:9000] + prose(200, 10))
+    found = [np.concatenate(list(suffixes.runs(np.frombuffer(t.encode(), np.uint8), 400, 128)), axis=1) for _, t in rows]
+    assert all(f[3].sum() == len(t) - 399 and (np.diff(f[2]) == f[3][:-1]).all() for f, (_, t) in zip(found, rows, strict=True))
+    out = by_id(suffixes.removed(spark.createDataFrame(rows, "doc_id long, text string")))
+    assert all((out[i]["n_removed"], bytes(out[i]["kept"])) == w[1:] for i, w in repeats(rows, 400).items())
 
 
 def pieces(t):
