@@ -9,10 +9,10 @@ from galena.llm.common import stored
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
-    """(u, v, least): the least of u and its neighbours. A sum by key and a join, so that a
-    node with very many links is neither sorted nor gathered in one task."""
-    least = edges.groupBy("u").agg(F.min("v").alias("w"))
-    return edges.join(least, "u").select("u", "v", F.least("u", "w").alias("least"))
+    """(u, v, least): the least of u and its neighbours. A sum by key, stored before it is
+    joined, so that Spark can split the links of a node that has very many."""
+    least = stored(edges.groupBy("u").agg(F.min("v").alias("w")), "least")
+    return edges.join(least.hint("merge"), "u").select("u", "v", F.least("u", "w").alias("least"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:

@@ -39,7 +39,8 @@ def _joined_numbers(text: Column) -> Column:
 
 
 def _split(text: Column) -> Column:
-    return F.array_remove(F.split(F.lower(text), _BREAK), "")
+    """Words in lower case. They are split before, as lowering can add signs that are no letters."""
+    return F.transform(F.array_remove(F.split(text, _BREAK), ""), lambda w: F.lower(w))
 
 
 def raw_words(text: Column) -> Column:
@@ -127,6 +128,8 @@ def passages(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text
     if wanted.limit(BROADCAST_WINDOWS + 1).count() <= BROADCAST_WINDOWS:
         wanted = F.broadcast(wanted)
     rows = docs.filter(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), canonical_words(F.col(text_col)).alias("cw"), raw_words(F.col(text_col)).alias("rw"))
+    if len(sizes) > 1:  # else the words would be read once for each size
+        rows = stored(rows, "canonical")
     met = all_windows(rows, ["id", "mark"], False).join(wanted, "h")
     lines = met.groupBy("id", "mark", "item", (F.col("at") - F.col("there")).alias("diagonal")).agg(F.collect_set("there").alias("there"), F.min("at").alias("first"))
     # A band and the next one are one passage, so that diagonals on both sides of an edge meet.

@@ -8,6 +8,8 @@ remembered. A text gets the language of least cross-entropy per character.
 from __future__ import annotations
 
 import re
+import sys
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,15 +18,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import held_out, stored
+from galena.llm.common import held_out, small_batches, stored
 from galena.llm.learning import scored
 from galena.llm.rolling import mixed
 
 #: Characters of an n-gram, discount, documents of a language that are learned from, letters known
-#: to exist, share of learned texts that a language's limit rejects.
+#: to exist, share of calibration texts that a language's limit rejects.
 ORDER, DISCOUNT, SAMPLE_PER_LANGUAGE, LETTERS, REJECTED = 5, 0.75, 1500, 4096, 0.001
+#: One in so many sampled documents of a language with at least so many is kept for calibration;
+#: languages up to whose number their shares are broadcast; scales of scores that are tried.
+APART, LEAST_APART, BROADCAST_LANGUAGES, SCALES = 5, 50, 10_000, tuple(2.0 ** (k / 4) for k in range(-16, 25))
 CACHE = 1 << 19
-_WORD = re.compile(r"[^\W\d_]+")
+# What counts as a word's sign but is no letter: numbers that are no decimal digits.
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("No", "Nl"))
+_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
 
 
 def words(text: str) -> list[str]:
@@ -176,16 +183,39 @@ def build(counts: dict[str, dict[str, int]]) -> Models:
     return Models(languages, *merged)
 
 
+def calibrated(models: Models, found: list[tuple[str, int, list[float]]]) -> Models:
+    """Set limits and scale from texts that the counts do not hold: each one's language, number of
+    characters and entropies. The scale makes the scores of the right languages likeliest."""
+    limits = np.full(len(models.languages), np.inf)
+    if found:
+        right = np.array([models.languages.index(x) for x, _, _ in found])
+        entropy = np.array([e for _, _, e in found])
+        for j in range(len(limits)):
+            if (right == j).any():
+                limits[j] = np.quantile(entropy[right == j, j], 1 - REJECTED)
+        beyond = (entropy - entropy.min(axis=1, keepdims=True)) * np.sqrt([n for _, n, _ in found])[:, None]
+        rows = np.arange(len(right))
+        chance = [-(beyond[rows, right] * s + np.log(np.exp(-beyond * s).sum(axis=1))).mean() for s in SCALES]
+        models.scale = SCALES[int(np.argmax(chance))]
+    models.limits = limits
+    return models
+
+
 def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE_PER_LANGUAGE) -> Models:
     """Learn from about `bound` documents of each language outside the held-out fold, chosen by a
-    hash of the id. Word counts are summed on the executors; then limits and the scale of scores are
-    set on the learned texts' entropies."""
+    hash of the id. Word counts are summed on the executors, and the counts and the calibration
+    texts' entropies come to the driver: as much as `bound` documents of every language give."""
+    small_batches(docs.sparkSession)
     rows = docs.select(docs[id_col].alias("id"), docs[text_col].cast("string").alias("text"), docs[lang_col].cast("string").alias("lang"))
     known = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("id")))
-    # A share of each language by hash, so that no language is sorted or gathered.
+    # A share of each language by hash: texts are left out where they are read, and none is shuffled.
     mark = F.xxhash64(F.coalesce(F.col("id").cast("string"), F.lit("")))
-    share = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", (F.least(F.lit(1.0), F.lit(float(bound)) / F.col("n")) * 1_000_000).alias("cut"))
-    sample = stored(known.join(share, "lang").filter(F.pmod(mark, F.lit(1_000_000)) < F.col("cut")).select("text", "lang"), "languages")
+    share = known.groupBy("lang").agg(F.count("*").alias("n")).select("lang", "n", (F.least(F.lit(1.0), F.lit(float(bound)) / F.col("n")) * 1_000_000).alias("cut"))
+    share = stored(share, "shares")
+    few = share.limit(BROADCAST_LANGUAGES + 1).count() <= BROADCAST_LANGUAGES
+    chosen = known.join(F.broadcast(share) if few else share.hint("merge"), "lang").filter(F.pmod(mark, F.lit(1_000_000)) < F.col("cut"))
+    apart = (F.least("n", F.lit(bound)) >= LEAST_APART) & (F.pmod(F.xxhash64(mark), F.lit(APART)) == 0)
+    sample = stored(chosen.select("text", "lang", apart.alias("apart")), "languages")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,8 +225,9 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
                     found[lang, w] = found.get((lang, w), 0) + 1
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in found], pa.string()), pa.array([k[1] for k in found], pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "word", "n"])
 
-    counts: dict[str, dict[str, int]] = {r["lang"]: {} for r in sample.select("lang").distinct().collect()}
-    for r in sample.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
+    learned = sample.filter("not apart").select("text", "lang")
+    counts: dict[str, dict[str, int]] = {r["lang"]: {} for r in learned.select("lang").distinct().collect()}
+    for r in learned.mapInArrow(count, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n")).toLocalIterator():
         counts[r["lang"]][r["word"]] = r["n"]
     models = build(counts)
     if not models.languages:
@@ -206,13 +237,13 @@ def fit(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_co
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         for batch in batches:
-            got = [(lang, *model.entropies(text)) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            got = [(lang, float(e[model.languages.index(lang)]), n) for lang, e, n in got if n]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())], names=["lang", "entropy"])
+            got = [(lang, n, e.tolist()) for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for e, n in [model.entropies(text)] if n and lang in model.languages]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.int64()), pa.array([g[2] for g in got], pa.list_(pa.float64()))], names=["lang", "n", "entropies"])
 
-    limits = {r["lang"]: r["limit"] for r in sample.mapInArrow(measure, "lang string, entropy double").groupBy("lang").agg(F.percentile("entropy", F.lit(1 - REJECTED)).alias("limit")).collect()}
-    models.limits = np.array([limits.get(x, np.inf) for x in models.languages])
-    return models
+    measured = sample.filter("apart").select("text", "lang").mapInArrow(measure, "lang string, n long, entropies array<double>").orderBy("lang", "n", "entropies")
+    out = calibrated(models, [tuple(r) for r in measured.collect()])
+    shared.unpersist()
+    return out
 
 
 def languages(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -220,7 +251,8 @@ def languages(docs: DataFrame, lang_col: str = "lang", id_col: str = "doc_id", t
 
     lang_pred is `und`, with score 0, where a text is null or has no letter, or where no language
     could be learned. rejected marks those, and texts whose cross-entropy is beyond what nearly
-    all learned texts of the language have. Rows are judged each, also those that repeat an id.
+    all calibration texts of the language have. Rows are judged each, also those that repeat an id.
+    Other columns are not read; an empty table gives an empty table.
     """
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, lang_col, id_col, text_col))
     out = scored(docs, id_col, text_col, lambda texts: model.value.score(texts), "lang_pred string, score double, rejected boolean")

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import held_out, stored
+from galena.llm.common import held_out, slices, small_batches, stored
 
 #: At most so many labelled rows are learned from; they are those of least hash.
 SAMPLE_ROWS = 20_000
@@ -33,10 +33,11 @@ def scored(df: DataFrame, id_col: str, text_col: str, score, fields: str, keep:
     kept = (id_col, *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             made = score([x or "" for x in batch.column(0).to_pylist()])
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *map(pa.array, made)], names=[*codes, *names])
 
+    small_batches(df.sparkSession)
     names = [f.split()[0] for f in fields.split(", ")]
     codes = [f"k{i}" for i in range(len(kept))]
     source = df.select(df[text_col].cast("string").alias("t"), *[df[c].alias(k) for c, k in zip(kept, codes, strict=True)])

@@ -7,11 +7,12 @@ neighbouring diagonals are merged, and the spans that are left are verified word
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from galena.llm.common import stored
+
 # Phrases whose every place counts, with their labels.
 PHRASES = (("mit license", "mit"), ("apache license", "apache"), ("general public license", "gpl"))
 
@@ -43,28 +44,34 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.lower(F.coalesce(text.cast("string"), F.lit(""))), _BREAK), "")
 
 
-def _grams(listed: Column, k: int) -> Column:
-    """Hashes of all k-grams of the words, by rising start."""
-    last = F.size(listed) - k
-    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.lit(k), *[F.get(listed, i + j) for j in range(k)]))
-    return F.when(last >= 0, grams).otherwise(F.array().cast("array<long>"))
+def _grams(hashed: Column, k: int) -> Column:
+    """Places and hashes of all k-grams of hashed words, by rising start."""
+    last = F.size(hashed) - k
+    grams = F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(i.alias("at"), F.xxhash64(F.lit(k), *[F.get(hashed, i + j) for j in range(k)]).alias("h")))
+    return F.when(last >= 0, grams).otherwise(F.array().cast("array<struct<at:int,h:long>>"))
+
+
+def _hashed(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
 
 
-def _positions(df_like: DataFrame) -> DataFrame:
+def _positions(spark: SparkSession) -> DataFrame:
     """(h, template, at): where each k-gram stands in each template. As small as the fixed lists."""
-    spark = df_like.sparkSession
-    rows = [(i, t.split(), SHORT if i < len(PHRASES) else LONG) for i, (t, _) in enumerate((*PHRASES, *TEMPLATES))]
-    schema = T.StructType([T.StructField("template", T.IntegerType()), T.StructField("words", T.ArrayType(T.StringType())), T.StructField("k", T.IntegerType())])
-    listed = spark.createDataFrame(rows, schema)
-    both = F.when(F.col("k") == SHORT, _grams(F.col("words"), SHORT)).otherwise(_grams(F.col("words"), LONG))
-    return listed.select("template", F.posexplode(both).alias("at", "h"))
+    rows = [F.struct(F.lit(i).alias("template"), F.split(F.lit(t), " ").alias("words")) for i, (t, _) in enumerate((*PHRASES, *TEMPLATES))]
+    listed = spark.range(1).select(F.explode(F.array(*rows)).alias("x")).select("x.template", _hashed(F.col("x.words")).alias("hs"))
+    both = F.when(F.col("template") < len(PHRASES), _grams(F.col("hs"), SHORT)).otherwise(_grams(F.col("hs"), LONG))
+    return listed.select("template", F.explode(both).alias("g")).select("g.h", "template", "g.at")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, mark, template, first, last, votes): merged diagonals, in words; mark tells texts of one id apart."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), words(F.col(text_col)).alias("ws"))
-    grams = rows.select("id", "mark", F.posexplode(_grams(F.col("ws"), SHORT)).alias("pos", "h")).union(rows.select("id", "mark", F.posexplode(_grams(F.col("ws"), LONG)).alias("pos", "h")))
-    hits = grams.join(F.broadcast(_positions(docs)), "h")
+    """(id, mark, template, first, last, votes): merged diagonals, in words; mark tells texts of one id apart.
+
+    All k-grams are made and joined once, and the few hits are stored. Rows that repeat an id and a
+    text give each hit once."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("mark"), _hashed(words(F.col(text_col))).alias("hs"))
+    grams = rows.select("id", "mark", F.explode(F.concat(_grams(F.col("hs"), SHORT), _grams(F.col("hs"), LONG))).alias("g"))
+    met = grams.select("id", "mark", F.col("g.at").alias("pos"), "g.h").join(F.broadcast(_positions(docs.sparkSession)), "h")
+    hits = stored(met.select("id", "mark", "template", "pos", "at").distinct(), "hits")
     lines = hits.groupBy("id", "mark", "template", (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.count("*").alias("votes"), F.min("pos").alias("first"), F.max("pos").alias("end"))
     phrase = F.col("template") < len(PHRASES)
     exact = lines.filter(phrase).select("id", "mark", "template", "first", F.col("end").alias("last"), "votes")
@@ -81,7 +88,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     greatest start; null without any), base_labels and labels (distinct, sorted, comma-joined;
     labels also has those of verified TEMPLATES), score (the greatest share of a template that was
     found, 1 for a phrase, else 0) and found (the verified spans). Null texts count as empty. Rows
-    are scanned each, also those that repeat an id; other columns are not read.
+    are scanned each, also those that repeat an id or a whole row; other columns are not read. An
+    empty table gives an empty table.
     """
     texts = [t.split() for t, _ in (*PHRASES, *TEMPLATES)]
     all_words = F.array(*[F.array(*map(F.lit, t)) for t in texts])

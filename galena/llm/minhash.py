@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import stored
+from galena.llm.common import small_batches, stored
 from galena.llm.components import components
 from galena.llm.rolling import Rolling, mixed
 
@@ -219,7 +219,8 @@ def _linked(classes: DataFrame, df: DataFrame, id_col: str, text_col: str) -> Da
     """
     members = classes.select("id", F.explode("keys").alias("key"))
     # Sums by key are stored before they are joined: only then can Spark split a very frequent key.
-    # Joins that grow with the corpus are merge joins at every size, never broadcasts.
+    # Joins that grow with the corpus are planned as merge joins; Spark may broadcast a side whose
+    # stored size it knows to be below its limit.
     shared = stored(members.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "shared")
     met = stored(members.hint("merge").join(shared, "key"), "bands")
     weight = met.groupBy("id").agg(F.sum("n").alias("w"))
@@ -278,6 +279,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Rows with equal sets are one class. Classes meet in bands, where _linked() confirms links
     until no unconfirmed one could join two groups; a band of copies is not expanded into pairs.
     """
+    small_batches(df.sparkSession)
     sketched = stored(sketch(df, id_col, text_col), "sketch")
     nodes = sketched.filter("id is not null and set_id is not null")
     classes = nodes.groupBy("set_id").agg(F.min(F.struct("id", "keys", *BITS)).alias("c")).select("set_id", "c.*")

@@ -1,9 +1,10 @@
 """Quality classifier: random-indexing word vectors pooled per document, then a small network.
 
 Every unit (a word, or the signs at a word's end) has a sparse ternary index vector. Its context
-vector is the sum of the index vectors of its neighbours over all documents. A document is the
-mean and the spread of its units' vectors; a two-layer network scores it, and its chances are
-calibrated by a temperature.
+vector is the sum of the index vectors of its neighbours over all documents. The units that the
+labelled sample holds most often have vectors of their own; all others share those of hash
+buckets. A document is the mean and the spread of its units' vectors; a two-layer network scores
+it, and its chances are calibrated by a temperature.
 """
 
 from __future__ import annotations
@@ -17,45 +18,52 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import held_out
+from galena.llm.common import held_out, slices, small_batches
 from galena.llm.learning import SAMPLE_ROWS, labelled_sample, scored
 
-#: Hash buckets of units, dimensions, non-zero places of an index vector, neighbours on each side.
-BUCKETS, DIMS, PLACES, REACH = 1 << 13, 32, 4, 2
+#: Units with own vectors, hash buckets of all others, dimensions, non-zero places of an index
+#: vector, neighbours on each side.
+OWN, BUCKETS, DIMS, PLACES, REACH = 1 << 14, 1 << 13, 32, 4, 2
+ROWS = OWN + BUCKETS
 HIDDEN, EPOCHS, BATCH, STEP, DECAY, SEED = 32, 60, 128, 3e-3, 1e-4, 7
 THRESHOLD, CACHE, UNITS_AT_ONCE = 0.7, 1 << 18, 1 << 18
 
 
 def index_vectors() -> np.ndarray:
-    """A bucket's ternary index vector, from a fixed random stream."""
+    """The ternary index vector of each row of the table, from a fixed random stream."""
     rng = np.random.default_rng(SEED)
-    out = np.zeros((BUCKETS, DIMS), np.int16)
+    out = np.zeros((ROWS, DIMS), np.int16)
     for row in out:
         at = rng.permutation(DIMS)[:PLACES]
         row[at] = (1, 1, -1, -1)
     return out
 
 
-def _bucket(unit: str) -> int:
-    return xxhash.xxh64_intdigest(unit.encode()) % BUCKETS
+def split_token(token: str) -> tuple[str, str]:
+    """A token's word and the signs behind it, marked. Words in capitals are units of their own."""
+    b = len(token)
+    while b and not token[b - 1].isalnum():
+        b -= 1
+    word, signs = token[:b], token[b:]
+    return word if len(word) > 1 and word.isupper() else word.lower(), f"~{signs}" if signs else ""
 
 
 class Units:
-    """Buckets of the units of texts: each token gives its word and, if any, the signs behind it.
-    Words in capitals are units of their own."""
+    """Rows of the units of texts. own: the units with rows of their own, in order."""
 
-    def __init__(self) -> None:
+    def __init__(self, own: list[str]) -> None:
         self.known: dict[str, int] = {}
+        self.own = {u: i for i, u in enumerate(own)}
+
+    def _row(self, unit: str) -> int:
+        if not unit:
+            return -1
+        at = self.own.get(unit)
+        return OWN + xxhash.xxh64_intdigest(unit.encode()) % BUCKETS if at is None else at
 
     def _code(self, token: str) -> int:
-        b = len(token)
-        while b and not token[b - 1].isalnum():
-            b -= 1
-        word, signs = token[:b], token[b:]
-        word = word if len(word) > 1 and word.isupper() else word.lower()
-        first = _bucket(word) if word else -1
-        second = _bucket(f"~{signs}") if signs else -1
-        return (first + 1) * (BUCKETS + 1) + second + 1
+        first, second = map(self._row, split_token(token))
+        return (first + 1) * (ROWS + 1) + second + 1
 
     def of(self, text: str) -> np.ndarray:
         tokens = text.split()
@@ -68,7 +76,7 @@ class Units:
                 if token not in self.known:
                     self.known[token] = self._code(token)
             codes = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
-        both = np.stack([codes // (BUCKETS + 1), codes % (BUCKETS + 1)], axis=1).ravel() - 1
+        both = np.stack([codes // (ROWS + 1), codes % (ROWS + 1)], axis=1).ravel() - 1
         return both[both >= 0]
 
 
@@ -82,15 +90,31 @@ def _neighbour_sums(units: np.ndarray, breaks: np.ndarray, index: np.ndarray, ou
         total[d:] += vectors[:-d] * same
         total[:-d] += vectors[d:] * same
     for k in range(DIMS):
-        out[:, k] += np.bincount(units, total[:, k], BUCKETS)
+        out[:, k] += np.bincount(units, total[:, k], ROWS)
+
+
+def frequent_units(sample: DataFrame) -> list[str]:
+    """The OWN units that most texts of the sample hold; ties by the unit. Units of one text are left out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 0):
+            found: dict[str, int] = {}
+            for text in batch.column(0).to_pylist():
+                for unit in {u for token in set(text.split()) for u in split_token(token) if u}:
+                    found[unit] = found.get(unit, 0) + 1
+            yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], names=["unit", "n"])
+
+    counted = sample.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
+    return [r["unit"] for r in counted.filter("n > 1").orderBy(F.desc("n"), "unit").limit(OWN).collect()]
 
 
-def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Context vectors of all buckets over all documents: a table of BUCKETS rows, whatever the input."""
+def context_sums(docs: DataFrame, own: list[str], text_col: str = "text") -> np.ndarray:
+    """Context vectors of all units over all documents: a table of ROWS rows, whatever the input."""
+    shared = docs.sparkSession.sparkContext.broadcast(own)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, index, out = Units(), index_vectors(), np.zeros((BUCKETS, DIMS))
-        for batch in batches:
+        units, index, out = Units(shared.value), index_vectors(), np.zeros((ROWS, DIMS))
+        for batch in slices(batches, 0):
             held: list[np.ndarray] = []
             size = 0
             for text in [*batch.column(0).to_pylist(), None]:
@@ -107,13 +131,13 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     source = docs.filter(F.col(text_col).isNotNull()).select(F.col(text_col).cast("string"))
     parts = source.mapInArrow(run, "bucket int, " + ", ".join(f"{s} long" for s in sums))
     rows = parts.groupBy("bucket").agg(*[F.sum(s).alias(s) for s in sums]).toPandas()
-    table = np.zeros((BUCKETS, DIMS))
+    table = np.zeros((ROWS, DIMS))
     table[rows["bucket"].to_numpy(np.int64)] = rows[sums].to_numpy(np.float64)
     return table
 
 
 def word_vectors(contexts: np.ndarray) -> np.ndarray:
-    """Unit vectors: contexts without their common direction, beside each bucket's own index vector."""
+    """Unit vectors: contexts without their common direction, beside each row's own index vector."""
     centred = contexts - contexts.sum(axis=0) / max(1.0, np.abs(contexts).sum()) * np.abs(contexts).sum(axis=1, keepdims=True)
     size = np.linalg.norm(centred, axis=1, keepdims=True)
     return np.concatenate([centred / np.maximum(size, 1.0), index_vectors() / PLACES**0.5], axis=1).astype(np.float32)
@@ -187,32 +211,36 @@ def train(x: np.ndarray, y: np.ndarray, rest: np.ndarray) -> Network:
 
 @dataclass
 class Model:
+    own: list[str]
     vectors: np.ndarray
     network: Network
     _units: Units | None = None
 
     def score(self, texts: list[str]) -> list[np.ndarray]:
         if self._units is None:
-            self._units = Units()
+            self._units = Units(self.own)
         x = np.stack([pooled(self._units.of(t), self.vectors) for t in texts]) if texts else np.zeros((0, 4 * DIMS + 1))
         return [self.network.chance(x).astype(np.float64)]
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE_ROWS) -> Model:
     """Word vectors from all texts (their labels play no part), the network from at most `bound` labelled rows."""
-    vectors = word_vectors(context_sums(docs, text_col))
-    shared = docs.sparkSession.sparkContext.broadcast(vectors)
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, id_col, text_col, bound)
+    own = frequent_units(sample)
+    vectors = word_vectors(context_sums(docs, own, text_col))
+    shared = docs.sparkSession.sparkContext.broadcast((own, vectors))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units = Units()
-        for batch in batches:
-            x = [pooled(units.of(t), shared.value) for t in batch.column(0).to_pylist()]
+        listed, table = shared.value
+        units = Units(listed)
+        for batch in slices(batches, 0):
+            x = [pooled(units.of(t), table) for t in batch.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), batch.column(1), batch.column(2)], names=["x", "y", "lot"])
 
     rows = sample.select("text", "y", "lot").mapInArrow(run, "x array<float>, y int, lot int").orderBy("lot", "y", "x").toPandas()
     x = np.stack(rows["x"].tolist()).astype(np.float64) if len(rows) else np.zeros((0, 4 * DIMS + 1))
-    return Model(vectors, train(x, rows["y"].to_numpy(np.float64), rows["lot"].to_numpy() % 5 == 4))
+    return Model(own, vectors, train(x, rows["y"].to_numpy(np.float64), rows["lot"].to_numpy() % 5 == 4))
 
 
 def quality(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import held_out
+from galena.llm.common import held_out, small_batches
 from galena.llm.learning import SAMPLE_ROWS, labelled_sample, scored
 
 #: Parts that the sample is counted in, least share and log odds of a lexicon entry, entries kept.
@@ -249,6 +249,7 @@ class Model:
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", bound: int = SAMPLE_ROWS) -> Model:
     """Learn from at most `bound` labelled rows. Without labels of both kinds the score is their share, or 0.5."""
+    small_batches(docs.sparkSession)
     sample = labelled_sample(docs, labels, label, id_col, text_col, bound)
     by_part = lexicons(sample)
 

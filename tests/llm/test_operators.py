@@ -390,12 +390,87 @@ def test_languages(spark, docs, none):
     assert len(by_id(langid.languages(docs))) == len(HARD) and langid.languages(none).collect() == []
 
 
-def test_kneser_ney_chances_sum_to_one():
-    models = langid.build({"x": {"abc": 3, "abd": 1, "b": 2}})
-    words = ["ab" + c for c in "abcdefg"]
-    grams, _ = langid._grams(words)
-    total = np.exp(models.log_chances(["abc", "abd", "abe"]))
-    assert total[0, 0] > total[1, 0] > total[2, 0] > 0 and len(grams) == langid.ORDER
+def test_texts_without_letters_have_no_language(spark):
+    rows = [(i, prose(30, i), "en") for i in range(20)] + [(30, "\u00bd \u00b2", None), (31, "\u2167 12", None), (32, "\u4e00 ok", None), (33, "\u2460", "en")]
+    out = by_id(langid.languages(spark.createDataFrame(rows, "doc_id long, text string, lang string")))
+    assert [out[i]["lang_pred"] for i in (30, 31, 32, 33)] == ["und", "und", "en", "und"] and out[30]["score"] == 0.0
+    assert langid.words("a\u00bdb \u2167x 1 d\u00e9j\u00e0") == ["a", "b", "x", "d\u00e9j\u00e0"]
+
+
+def chance_by_hand(counts, context, c):
+    """Interpolated Kneser-Ney from its definition; context: the characters before c, padded."""
+    def grams(n):
+        if n == langid.ORDER:
+            out = {}
+            for w, k in counts.items():
+                t = "\x00" * (n - 1) + w + "\x01"
+                for i in range(n - 1, len(t)):
+                    out[t[i - n + 1 : i + 1]] = out.get(t[i - n + 1 : i + 1], 0) + k
+            return out
+        out = {}
+        for g in grams(n + 1):
+            out[g[1:]] = out.get(g[1:], 0) + 1
+        return out
+
+    p = 1 / langid.LETTERS
+    for n in range(1, langid.ORDER + 1):
+        here, head = grams(n), context[len(context) - n + 1 :] if n > 1 else ""
+        row = {g: k for g, k in here.items() if g[:-1] == head}
+        if row:
+            total = sum(row.values())
+            p = max(row.get(head + c, 0) - langid.DISCOUNT, 0) / total + min(langid.DISCOUNT * len(row) / total, 1) * p
+    return p
+
+
+def test_kneser_ney_equals_its_definition():
+    counts = {"abc": 3, "abd": 1, "b": 2, "bab": 5}
+    models = langid.build({"x": counts, "y": {"zz": 1}})
+    for word in ("abc", "abd", "abe", "b", "cab", "ba"):
+        t = "\x00" * (langid.ORDER - 1) + word + "\x01"
+        want = np.log([chance_by_hand(counts, t[i - langid.ORDER + 1 : i], t[i]) for i in range(langid.ORDER - 1, len(t))]).sum()
+        assert abs(models.log_chances([word])[0, 0] - want) < 1e-4
+    head = "\x00" * (langid.ORDER - 2) + "a"
+    known = "abcd\x01z\x02"
+    total = sum(chance_by_hand(counts, head, c) for c in known) + (langid.LETTERS - len(known)) * chance_by_hand(counts, head, "\x03")
+    assert abs(total - 1) < 1e-9
+
+
+def test_language_scores_are_calibrated_on_other_texts():
+    models = langid.build({"x": {"abc": 3}, "y": {"zz": 1}})
+    sure = [("x", 9, [1.0, 3.0]), ("y", 9, [3.0, 1.0])] * 5
+    unsure = sure + [("x", 9, [3.0, 1.0]), ("y", 9, [1.0, 3.0])] * 3
+    assert langid.calibrated(models, sure).scale > langid.calibrated(models, unsure).scale
+    assert langid.calibrated(models, []).limits.tolist() == [np.inf, np.inf]
+
+
+def test_licenses_do_not_depend_on_repeated_rows(spark):
+    text = "Permission is hereby granted, free of charge, to any person, and later a copy of this software and associated files. " + prose(30, 3)
+    once = licenses.scan(spark.createDataFrame([(1, text), (2, HARD[12][1])], "doc_id long, text string"))
+    often = licenses.scan(spark.createDataFrame([(1, text), (2, HARD[12][1])] * 5, "doc_id long, text string"))
+    assert once.count() == 2 and often.distinct().count() == 2 and set(once.drop("found").collect()) == set(often.drop("found").collect())
+
+
+def test_decontamination_keeps_slots_in_step(spark):
+    item = "Irem has 3 apples and gives them to Can; then she buys 9 more pears from the old market. How many fruits has she now?"
+    plain, dotted = (leaks(spark, [item.replace("Irem", name)], item)[0] for name in ("Iremi", "\u0130rem"))
+    assert (dotted["changed"], dotted["n_slots"], dotted["consistent"]) == (plain["changed"], plain["n_slots"], plain["consistent"])
+
+
+def test_frequent_words_have_own_vectors(spark):
+    sample = spark.createDataFrame([("the stone THE", 1), ("the cloud!", 0), ("stone, x", 1)], "text string, y int")
+    own = quality.frequent_units(sample)
+    assert own == ["stone", "the"]
+    units = quality.Units(own).of("the stone!! cloud")
+    assert units[:2].tolist() == [1, 0] and (units[2:] >= quality.OWN).all() and len(units) == 4
+
+
+def test_toxicity_features_by_hand():
+    x = dict(zip(toxicity.FEATURES, toxicity.Features({"fool": 2.0, "^scou": 3.0}).of("You FOOL!! a f00l is scoundrel 12 times"), strict=True))
+    assert abs(x["log_words"] - np.log1p(8)) < 1e-6
+    assert (x["hits"], x["hit_density"], x["hit_weight"]) == (1, 1 / 8, 2 / 8) and (x["begins"], x["begin_weight"]) == (1, 3 / 8)
+    assert x["kinds_of_hits"] == 2 and x["hits_near_second_person"] == 2 and x["second_person"] == 1 / 8
+    assert x["shouted"] == 1 / 8 and x["obfuscated"] == 1 / 8 and x["obfuscated_hits"] == 1
+    assert abs(x["exclamations"] - 2 / 39) < 1e-6 and abs(x["digits"] - 4 / 39) < 1e-6 and abs(x["capitals"] - 5 / 27) < 1e-6
 
 
 def test_isotonic_curve_rises():
