@@ -252,5 +252,5 @@ def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         left = {c: F.when(F.col(f"p{c}.peeled"), F.col(f"p{c}.l")).otherwise(F.coalesce(F.col(f"l{c}"), F.lit(0))) if larger else F.col(f"p{c}.l") for c in "en"}
         return of.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("e", left["e"]).alias("near_edited"), near("n", left["n"]).alias("near_next"))
 
-    open_rows = rows.filter(~done).drop(*"aen").join(found, "uid", "left")
+    open_rows = rows.filter(~done).drop(*"aen").hint("merge").join(found.hint("merge"), "uid", "left")
     return result(rows.filter(done), False).union(result(open_rows, True))
