@@ -9,6 +9,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from galena.functions.tokens import token_estimate  # noqa: F401
+
 
 @F.pandas_udf(T.StringType())
 def nfc(text: pd.Series) -> pd.Series:
@@ -41,28 +43,6 @@ def contains_phrase(text: Column, phrase: Column) -> Column:
     return F.contains(F.concat(space, text, space), F.concat(space, phrase, space)) & (phrase != "")
 
 
-#: Classes of the token estimate with their weights in hundredths, the first that fits counts.
-#: The parts of a class are written for Java's expressions.
-CJK = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}"
-CYRILLIC_GREEK = r"\p{IsCyrillic}\p{IsGreek}"
-
-
-def token_estimate(text: Column) -> Column:
-    """Estimated model tokens: weighted code points and a margin of a twentieth, at least 1; blank texts 0."""
-
-    def left(of: Column, kind: str) -> Column:
-        return F.regexp_replace(of, kind, "")
-
-    plain = left(text, r"\s+")
-    rest = left(plain, f"[{CJK}]+")
-    rest2 = left(rest, rf"[[\p{{L}}\p{{Nd}}]&&[{CYRILLIC_GREEK}]]+")
-    rest3 = left(rest2, r"[\p{L}\p{Nd}]+")
-    rest4 = left(rest3, r"[\p{So}\x{10000}-\x{10FFFF}]+")
-    n = F.char_length
-    hundredths = 5 * (n(text) - n(plain)) + 100 * (n(plain) - n(rest)) + 38 * (n(rest) - n(rest2)) + 30 * (n(rest2) - n(rest3)) + 100 * (n(rest3) - n(rest4)) + 45 * n(rest4)
-    return F.when(n(plain) == 0, 0).otherwise(F.greatest(F.lit(1), F.ceil(hundredths * 105 / F.lit(10000.0)))).cast("long")
-
-
 def token_upper_bound(text: Column) -> Column:
     """A byte-level tokenizer makes no more tokens than there are bytes."""
     return F.octet_length(text)

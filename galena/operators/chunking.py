@@ -1,102 +1,203 @@
 """Documents to units, units to chunks. Every function works inside one document, so that no
-document moves: they run as maps over batches."""
+document moves: they run as maps over batches. Positions in a text are looked up in one array of
+token sums and one of boundary ranks, so that no stretch is estimated twice."""
 
 from __future__ import annotations
 
 import hashlib
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from galena.functions import tokens as T
 
 #: Estimated tokens of a chunk: least, aimed at, where a new unit opens a new chunk, never more; of a child.
 LEAST, TARGET, SOFT, HARD = 250, 550, 650, 900
 CHILD_LEAST, CHILD_TARGET, CHILD_MOST = 250, 275, 300
 _HEADING = re.compile(r"^(#{1,6})\s+(.+)$")
+_ITEM = re.compile(r"^(\d+[.)]|[-*•])\s+")
 # Abbreviations behind which no sentence ends.
 ABBREVIATIONS = frozenset("mr mrs dr prof no art sec fig e.g i.e etc vs approx st ст п г др см bzw z.b usw ca nr abs p.ej sr sra".split())
 _END = re.compile(r"[.!?…。！？]+[\"'»”)\]]*(?=\s|$)|[。！？]")
+_LAST_WORD = re.compile(r"\S*$")
+#: Ranks of boundaries: behind a line break, a sentence, a clause, a comma, white space; elsewhere 0.
+STRUCTURE, SENTENCE, CLAUSE, COMMA, BLANK = 5, 4, 3, 2, 1
+_MARKS = {STRUCTURE: "\n", SENTENCE: ".!?…。！？", CLAUSE: ";:；：", COMMA: ",，、"}
 
 
-def sentences(text: str) -> list[str]:
-    """Sentences of a text; none ends in a decimal number, behind an abbreviation or an initial."""
-    out, start = [], 0
-    for m in _END.finditer(text):
-        word = text[start : m.start()].rsplit(None, 1)[-1].lower() if text[start : m.start()].strip() else ""
-        if m.group().startswith(".") and (word in ABBREVIATIONS or (len(word) == 1 and word.isalpha())):
-            continue
-        out.append(text[start : m.end()].strip())
-        start = m.end()
-    out.append(text[start:].strip())
-    return [s for s in out if s]
+def sentences(text: str, start: int = 0, end: int | None = None) -> list[tuple[int, int]]:
+    """Where the sentences of text[start:end] begin and end. None ends in a decimal number, behind
+    an abbreviation, an initial, an address, or a word with two dots or more."""
+    end = len(text) if end is None else end
+    out, at = [], start
+    for m in _END.finditer(text, start, end):
+        if m[0][0] == ".":
+            word = _LAST_WORD.search(text, max(at, m.start() - 80), m.start())[0].lower().lstrip("(\"'«“[")
+            if word in ABBREVIATIONS or (len(word) == 1 and word.isalpha()) or "://" in word or "@" in word or word.count(".") > 1:
+                continue
+        out.append((at, m.end()))
+        at = m.end()
+    out.append((at, end))
+    return [s for a, b in out for s in [trimmed(text, a, b)] if s[0] < s[1]]
+
+
+def trimmed(text: str, start: int, end: int) -> tuple[int, int]:
+    """A stretch without white space at its ends."""
+    while start < end and text[start].isspace():
+        start += 1
+    while end > start and text[end - 1].isspace():
+        end -= 1
+    return start, end
+
+
+def boundary_ranks(text: str) -> np.ndarray:
+    """The rank of cutting before each code point of a text, and behind the last. A sentence mark
+    counts before white space, and by itself where it is a wide one."""
+    point = T.points(text)
+    blank = T.classes()[point] == T.SPACE
+    out = np.zeros(len(point) + 1, np.uint8)
+    out[1:][blank] = BLANK
+    out[:-1][blank] = BLANK
+    for rank in (COMMA, CLAUSE, SENTENCE):
+        out[1:][np.isin(point, T.points(_MARKS[rank]))] = rank
+    narrow = np.isin(point, T.points(".!?…:,"))
+    open_mark = np.zeros(len(point), bool)
+    open_mark[:-1] = narrow[:-1] & ~blank[1:]
+    out[1:][open_mark] = 0
+    out[1:][point == 10] = STRUCTURE
+    return out
+
+
+def best_boundary(ranks: np.ndarray, least: int, most: int) -> int:
+    """The first place of the best rank within [least, most]; most where there is none."""
+    inside = ranks[least : most + 1]
+    at = int(inside.argmax()) if len(inside) else 0
+    return least + at if len(inside) and inside[at] else most
 
 
-def estimate(text: str) -> int:
-    """The token estimate of functions.text for Latin text, in plain Python."""
-    if not text.strip():
-        return 0
-    n = 0
-    for c in text:
-        n += 5 if c.isspace() else 30 if c.isalnum() and ord(c) < 0x370 else 38 if c.isalnum() and ord(c) < 0x530 else 100 if ord(c) >= 0x2E80 else 45
-    return max(1, -(-n * 105 // 10000))
+@dataclass
+class Measured:
+    """A text with its token sums and boundary ranks."""
 
+    text: str
 
-def units(text: str) -> list[tuple[str, str, str]]:
-    """(section path, kind, text): headings make the path, numbered lines are list items, other lines
-    are cut into sentences."""
+    def __post_init__(self) -> None:
+        self.sums = T.sums(self.text)
+        self._ranks: np.ndarray | None = None
+
+    @property
+    def ranks(self) -> np.ndarray:
+        if self._ranks is None:
+            self._ranks = boundary_ranks(self.text)
+        return self._ranks
+
+    def tokens(self, start: int, end: int) -> int:
+        return T.tokens(int(self.sums[end] - self.sums[start])) if end > start else 0
+
+    def _longest(self, start: int, budget: int) -> int:
+        """The end of the longest stretch from start on that has at most `budget` tokens."""
+        return max(start + 1, int(np.searchsorted(self.sums, self.sums[start] + budget * T.WHOLE // T.MARGIN, "right")) - 1)
+
+    def split(self, start: int, end: int, budget: int, least: int | None = None) -> list[tuple[int, int]]:
+        """Pieces of at most `budget` tokens: each is the largest that fits, cut at the best boundary
+        behind its first `least` tokens (five sixths of the budget)."""
+        least = budget * 5 // 6 if least is None else least
+        out = []
+        while self.tokens(start, end) > budget:
+            most = self._longest(start, budget)
+            cut = best_boundary(self.ranks, min(self._longest(start, least) + 1, most), most)
+            out.append(trimmed(self.text, start, cut))
+            start = trimmed(self.text, cut, end)[0]
+        out.append((start, end))
+        return [s for s in out if s[0] < s[1]]
+
+    def halves(self, start: int, end: int, target: int, most: int, least: int) -> list[tuple[int, int]] | None:
+        """Two pieces of at most `most` tokens, near the target, long enough and cut at a good
+        boundary; null if there is no such cut."""
+        places = np.arange(start + 1, end)
+        left = np.maximum(1, -(-(self.sums[places] - self.sums[start]) * T.MARGIN // T.WHOLE))
+        right = np.maximum(1, -(-(self.sums[end] - self.sums[places]) * T.MARGIN // T.WHOLE))
+        fits = (left <= most) & (right <= most)
+        if not fits.any():
+            return None
+        short = np.maximum(least - left, 0) + np.maximum(least - right, 0)
+        cost = np.abs(left - target) + np.abs(right - target) + 20 * short + 30 * (STRUCTURE - self.ranks[places].astype(np.int64))
+        cut = int(places[np.where(fits, cost, np.iinfo(np.int64).max).argmin()])
+        return [s for s in (trimmed(self.text, start, cut), trimmed(self.text, cut, end)) if s[0] < s[1]]
+
+    def children(self, target: int = CHILD_TARGET, most: int = CHILD_MOST, least: int = CHILD_LEAST) -> list[tuple[int, int]]:
+        """The text in pieces of at most `most` tokens: two balanced ones if they suffice."""
+        whole = trimmed(self.text, 0, len(self.text))
+        if self.tokens(*whole) <= 2 * most and (two := self.halves(*whole, target, most, least)):
+            return two
+        return self.split(*whole, most, target)
+
+
+def units(text: str) -> list[tuple[str, str, int, int]]:
+    """(section path, kind, start, end): headings make the path, numbered lines are list items, other
+    lines are cut into sentences."""
     stack: list[tuple[int, str]] = []
-    out = []
-    for block in re.split(r"\n\s*\n|\n", text):
-        block = block.strip()
-        if not block:
+    path, out = "", []
+    for line in re.finditer(r"[^\n]+", text):
+        start, end = trimmed(text, line.start(), line.end())
+        if start == end:
             continue
-        path = " > ".join(t for _, t in stack)
-        if len(block) < 220 and (m := _HEADING.match(block)):
+        first = text[start]
+        if first == "#" and end - start < 220 and (m := _HEADING.match(text[start:end])):
             level = len(m[1])
             stack = [x for x in stack if x[0] < level] + [(level, m[2].strip())]
-            out.append((" > ".join(t for _, t in stack), "HEADING", m[2].strip()))
-        elif re.match(r"^(\d+[.)]|[-*•])\s+", block):
-            out.append((path, "LIST_ITEM", block))
+            path = " > ".join(t for _, t in stack)
+            out.append((path, "HEADING", end - len(m[2]), end))
+        elif (first.isdigit() or first in "-*•") and _ITEM.match(text[start : start + 20]):
+            out.append((path, "LIST_ITEM", start, end))
         else:
-            out.extend((path, "PARAGRAPH", s) for s in sentences(block))
+            out.extend((path, "PARAGRAPH", a, b) for a, b in sentences(text, start, end))
     return out
 
 
-def halves(text: str, budget: int) -> list[str]:
-    """A text in pieces of at most `budget` estimated tokens, cut at the best boundary near the end."""
-    out = []
-    while estimate(text) > budget:
-        low, high = 1, len(text)
-        while low < high:  # the longest prefix that fits
-            mid = (low + high + 1) // 2
-            low, high = (mid, high) if estimate(text[:mid]) <= budget else (low, mid - 1)
-        near = max(1, low * 5 // 6)
-        cut = max((text.rfind(mark, near, low) + 1 for mark in ("\n", ". ", "; ", ", ", " ")), default=0) or low
-        out.append(text[:cut].strip())
-        text = text[cut:].strip()
-    return [*out, text] if text else out
-
-
-def grouped(found: list[tuple[str, str, str]]) -> list[tuple[str, str]]:
-    """(section path, text) of chunks: units join until the chunk is near its aim; a new section opens
-    a new chunk once the last is long enough; none exceeds HARD."""
-    out: list[tuple[str, str]] = []
-    held: list[str] = []
-    size, path = 0, ""
-    for section, _, text in ((s, k, p) for s, k, t in found for p in (halves(t, HARD) if estimate(t) > HARD else [t])):
-        n = estimate(text)
-        full = size + n > HARD or (size >= LEAST and (section != path or size + n > SOFT)) or size >= TARGET
-        if held and full:
-            out.append((path, " ".join(held)))
-            held, size = [], 0
-        if not held:
-            path = section
-        held.append(text)
-        size += n
+def grouped(measured: Measured, found: list[tuple[str, str, int, int]]) -> list[tuple[str, list[tuple[int, int]]]]:
+    """(section path, stretches) of chunks: units join until the chunk is near its aim; a new section
+    opens a new chunk once the last is long enough; none exceeds HARD. A blank joins two units."""
+    out: list[tuple[str, list[tuple[int, int]]]] = []
+    held: list[tuple[int, int]] = []
+    size, path, hard = 0, "", HARD * T.WHOLE // T.MARGIN
+    least, soft, target = (x * T.WHOLE // T.MARGIN for x in (LEAST, SOFT, TARGET))
+    sums = measured.sums
+    for section, _, start, end in found:
+        pieces = [(start, end)] if sums[end] - sums[start] <= hard else measured.split(start, end, HARD)
+        for a, b in pieces:
+            n = int(sums[b] - sums[a])
+            full = size + 5 + n > hard or (size >= least and (section != path or size + 5 + n > soft)) or size >= target
+            if held and full:
+                out.append((path, held))
+                held, size = [], 0
+            if not held:
+                path = section
+            size += n + 5 * bool(held)
+            held.append((a, b))
     if held:
-        out.append((path, " ".join(held)))
+        out.append((path, held))
+    return out
+
+
+def chunks(text: str) -> list[tuple[int, int | None, str, str, str, int]]:
+    """(index, parent, role, section path, text, tokens): parents that are long have children, whose
+    indices follow all parents'."""
+    measured = Measured(text)
+    parents = [(path, " ".join(text[a:b] for a, b in held)) for path, held in grouped(measured, units(text))]
+    sizes = [T.estimate(t) for _, t in parents]
+    out = [(k, None, "PARENT" if n > CHILD_MOST else "STANDALONE", p, t, n) for k, ((p, t), n) in enumerate(zip(parents, sizes, strict=True))]
+    for k, ((p, t), n) in enumerate(zip(parents, sizes, strict=True)):
+        if n > CHILD_MOST:
+            body = Measured(t)
+            for a, b in body.children():
+                out.append((len(out), k, "CHILD", p, t[a:b], body.tokens(a, b)))
     return out
 
 
@@ -108,25 +209,55 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         for batch in batches:
             at, rows = [], []
             for i, body in enumerate(batch.column(1).to_pylist()):
-                parents = grouped(units(body or ""))
-                made = [(k, None, "PARENT" if estimate(t) > CHILD_MOST else "STANDALONE", p, t) for k, (p, t) in enumerate(parents)]
-                for k, (p, t) in enumerate(parents):
-                    if estimate(t) > CHILD_MOST:
-                        made.extend((len(made), k, "CHILD", p, c) for c in halves(t, CHILD_TARGET))
-                # A child's number is its place behind all parents.
-                made = [(j, parent, role, p, t) for j, (_, parent, role, p, t) in enumerate(made)]
+                made = chunks(body or "")
                 rows.extend(made)
                 at.extend([i] * len(made))
             if rows:
                 cols = list(zip(*rows, strict=True))
                 ids = ["c2_" + hashlib.sha256(f"{len(p.encode())}:{p}{len(t.encode())}:{t}".encode()).hexdigest() for p, t in zip(cols[3], cols[4], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4]), pa.array(ids), pa.array(list(map(estimate, cols[4])), pa.int32())], names=["id", "chunk_index", "parent_index", "role", "section_path", "text", "chunk_id", "tokens"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4]), pa.array(ids), pa.array(cols[5], pa.int32())], names=["id", "chunk_index", "parent_index", "role", "section_path", "text", "chunk_id", "tokens"])
 
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, chunk_index int, parent_index int, role string, section_path string, text string, chunk_id string, tokens int")
     return out.withColumnRenamed("id", id_col)
 
 
+def document_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(id_col, position, section_path, kind, text): the units of each document in order."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [(i, k, path, kind, body[a:b]) for i, body in enumerate(batch.column(1).to_pylist()) if body for k, (path, kind, a, b) in enumerate(units(body))]
+            if rows:
+                at, k, path, kind, text = zip(*rows, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(k, pa.int32()), pa.array(path), pa.array(kind), pa.array(text)], names=["id", "position", "section_path", "kind", "text"])
+
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, position int, section_path string, kind string, text string").withColumnRenamed("id", id_col)
+
+
+#: Kinds of units that an exception right behind them belongs to, and kinds that are never split.
+EXCEPTED = ("RULE", "OBLIGATION", "PROHIBITION", "RIGHT", "PARAGRAPH")
+MEDICAL_FACTS = ("CONTRAINDICATION", "DOSAGE", "INTERACTION", "MONITORING", "INDICATION")
+
+
+def protected(units: DataFrame, key: str) -> DataFrame:
+    """Units (key, position, section_path, kind, text) where an exception is merged with the unit that it
+    restricts, by a line break; atomic marks those and medical facts, which stay whole.
+
+    An exception restricts nothing itself, so no unit is in two pairs, and windows suffice."""
+    by = Window.partitionBy(key).orderBy("position")
+
+    def joins(a: str, b: str, section: Column, other: Column) -> Column:
+        return F.coalesce(F.col(a).isin(*EXCEPTED) & (F.col(b) == "EXCEPTION") & section.eqNullSafe(other), F.lit(False))
+
+    near = units.withColumns({"_nk": F.lead("kind").over(by), "_nt": F.lead("text").over(by), "_ns": F.lead("section_path").over(by), "_pk": F.lag("kind").over(by), "_ps": F.lag("section_path").over(by)})
+    takes, goes = joins("kind", "_nk", F.col("section_path"), F.col("_ns")), joins("_pk", "kind", F.col("section_path"), F.col("_ps"))
+    rows = near.withColumns({"_takes": takes, "_goes": goes}).filter(~F.col("_goes"))
+    text = F.when(F.col("_takes"), F.concat("text", F.lit("\n"), "_nt")).otherwise(F.col("text"))
+    return rows.select(key, "position", "section_path", "kind", text.alias("text"), (F.col("_takes") | F.col("kind").isin(*MEDICAL_FACTS)).alias("atomic"))
+
+
 def page_blocks(html: Column) -> Column:
     """array<struct(kind, text)> of a page's headings, paragraphs and list items, in order."""
     blocks = F.regexp_extract_all(html, F.lit(r"(?is)(<(h[1-6]|p|li)\b[^>]*>.*?</\2>)"), F.lit(1))

@@ -6,6 +6,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from galena.operators.aggregates import concentration, share
 from galena.operators.ranking import time_bucket_cap
@@ -122,9 +123,13 @@ def remembered(memory: DataFrame, queries: DataFrame, k: int = 2, least: float =
     from galena.functions.vectors import cosine
     from galena.operators.ranking import top_k
 
-    # Candidates share a scope element, which is what a query requires first.
-    q = queries.withColumn("first", F.element_at("required", 1))
-    m = memory.withColumn("first", F.explode(F.array_distinct("scope")))
+    # Candidates share a scope element, which is what a query requires first; a query that requires
+    # nothing meets every cluster, under a mark that each scope has.
+    mark = F.lit("\u0000")
+    kind = queries.schema["required"].dataType.elementType
+    q = queries.withColumn("first", F.coalesce(F.try_element_at("required", F.lit(1)).cast("string"), mark))
+    m = memory.withColumn("first", F.explode(F.array_append(F.array_distinct(F.transform("scope", lambda x: x.cast("string"))), mark)))
+    m = m.withColumn("scope", F.col("scope").cast(T.ArrayType(kind)))
     pairs = q.join(m, "first").filter(F.size(F.array_except("required", "scope")) == 0)
     scored = pairs.withColumn("likeness", F.round(cosine(F.col("vector"), F.col("centroid")), 6)).filter(F.col("likeness") >= least)
     return top_k(scored, ["query"], [F.desc("likeness"), F.desc("support"), F.col("cluster")], k).select("query", "cluster", "likeness", "support", "rank")

@@ -5,6 +5,7 @@ A lane returns hits (query, hit, score). Ties end in the hit's id, so every list
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,7 +13,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.functions import text
 from galena.operators.ranking import ranked, top_k
 
 #: Weight constant of reciprocal-rank fusion, and tiers of authority by lane (the least counts).
@@ -22,48 +22,141 @@ TIERS = {"IDENTIFIER": 0, "VECTOR": 2, "HYDE_VECTOR": 2, "LEXICAL": 2, "CONCEPT"
 BROADCAST_NUMBERS = 4_000_000
 
 
-def similar_by_trigrams(queries: DataFrame, rows: DataFrame) -> DataFrame:
-    """(query, hit, similarity) of all pairs that share a trigram, by an equi-join of postings."""
-    q = queries.select("query", text.trigrams(F.col("t")).alias("g"))
-    r = rows.select("hit", text.trigrams(F.col("t")).alias("g"))
-    left = q.select("query", F.size("g").alias("nq"), F.explode("g").alias("x"))
-    right = r.select("hit", F.size("g").alias("nr"), F.explode("g").alias("x"))
-    shared = left.join(right, "x").groupBy("query", "hit", "nq", "nr").agg(F.count("*").alias("s"))
-    return shared.select("query", "hit", (F.col("s") / (F.col("nq") + F.col("nr") - F.col("s"))).alias("similarity"))
+#: Bytes of query texts whose postings are broadcast at once; documents that are scored at once.
+BROADCAST_TEXT, SLICE = 16 << 20, 256
+_WORD = re.compile(r"[^\W_]+")
 
 
-def overlapping(rows: DataFrame, key: str, tokens: str, least: int, share: float) -> DataFrame:
-    """(a, b, n, overlap) of rows that share at least `least` tokens and this share of the smaller set."""
-    each = rows.select(key, F.size(tokens).alias("size"), F.explode(tokens).alias("t"))
-    a = each.select(F.col(key).alias("a"), F.col("size").alias("sa"), "t")
-    b = each.select(F.col(key).alias("b"), F.col("size").alias("sb"), "t")
-    pairs = a.join(b, "t").filter("a < b").groupBy("a", "b", "sa", "sb").agg(F.count("*").alias("n"))
-    overlap = F.col("n") / F.least("sa", "sb")
-    return pairs.filter((F.col("n") >= least) & (overlap >= share)).select("a", "b", "n", overlap.alias("overlap"))
+def words_of(text: str) -> set[str]:
+    """The distinct lexical words of a text."""
+    return set(_WORD.findall(text.lower()))
+
+
+def trigrams_of(text: str) -> set[str]:
+    """The distinct trigrams of its words, each padded by two blanks in front and one behind."""
+    return {w[i : i + 3] for w in (f"  {w} " for w in words_of(text)) for i in range(len(w) - 2)}
+
+
+def similar_by_trigrams(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
+    """(query, hit, score, rank): texts (hit, text) by shared trigrams among all of both."""
+    return term_lane(queries, rows, k, trigrams_of, lambda shared, nq, nr: shared / (nq + nr - shared))
+
 
+def by_word_similarity(queries: DataFrame, rows: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """(query, hit, score, rank): texts by the share of a query's trigrams that they hold."""
+    return term_lane(queries, rows, k, trigrams_of, least=least)
 
-def lexical_lane(queries: DataFrame, documents: DataFrame, k: int) -> DataFrame:
-    """Documents by the share of a query's distinct tokens that they hold (query, hit, score, rank).
 
-    Postings are joined on the token and summed per pair; the sum is combined before the shuffle,
-    and groups are cut to k before they are ranked."""
-    q = queries.select("query", F.array_distinct(text.tokens(F.col("text"))).alias("ts"))
-    q = q.select("query", F.size("ts").alias("n"), F.explode("ts").alias("token"))
-    p = documents.select("hit", F.explode(F.array_distinct(text.tokens(F.col("text")))).alias("token"))
-    score = q.join(p, "token").groupBy("query", "hit", "n").agg(F.count("*").alias("m")).select("query", "hit", (F.col("m") / F.col("n")).alias("score"))
-    return top_k(score, ["query"], [F.desc("score"), F.col("hit")], k)
+def lexical_lane(queries: DataFrame, documents: DataFrame, k: int | None, least: float = 0.0) -> DataFrame:
+    """Documents (hit, text) by the share of a query's distinct tokens that they hold: (query, hit,
+    score, rank). Without k, all of at least the score `least`."""
+    return term_lane(queries, documents, k, words_of, least=least)
+
+
+def term_lane(queries: DataFrame, rows: DataFrame, k: int | None, terms, score=lambda shared, nq, nr: shared / nq, least: float = 0.0) -> DataFrame:
+    """Texts (hit, text) scored against queries (query, text) by their shared terms.
+
+    Rows never move and no pair is made of a term that many texts hold: the postings of the queries
+    are broadcast, each task scores its texts against them and keeps the k best of every query.
+    Queries beyond BROADCAST_TEXT go in blocks of that size. Null texts have no terms."""
+    spark, kinds = rows.sparkSession, [d.schema[c].dataType.simpleString() for d, c in ((queries, "query"), (rows, "hit"))]
+    schema = f"query {kinds[0]}, hit {kinds[1]}, score double"
+    wanted = queries.select("query", F.coalesce("text", F.lit("")).alias("text"))
+    size = wanted.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"]
+    blocks = -(-(size or 0) // BROADCAST_TEXT)
+    out = spark.createDataFrame([], schema)
+    for b in range(blocks):
+        part = (wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).toArrow()
+        found = [terms(t) for t in part["text"].to_pylist()]
+        lists: dict[str, list[int]] = {}
+        for i, one in enumerate(found):
+            for t in one:
+                lists.setdefault(t, []).append(i)
+        held = spark.sparkContext.broadcast((part["query"].combine_chunks(), {t: np.array(x, np.int32) for t, x in lists.items()}, np.array([len(x) for x in found])))
+        source = rows.select("hit", F.coalesce("text", F.lit("")).alias("text"))
+        one_block = source.mapInArrow(_best_by_terms(held, k, terms, score, least), schema)
+        out = one_block if not b else out.unionByName(one_block)
+    if k is None:
+        return ranked(out, ["query"], [F.desc("score"), F.col("hit")])
+    return top_k(out, ["query"], [F.desc("score"), F.col("hit")], k)
+
+
+def _best_by_terms(held, k: int | None, terms, score, least: float):
+    def cut(query: np.ndarray, hit: pa.Array, value: np.ndarray) -> tuple:
+        """The k best of each query."""
+        place = np.argsort(np.argsort(hit.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
+        order = np.lexsort((place, -value, query))
+        starts = np.flatnonzero(np.diff(query[order], prepend=-1))
+        number = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
+        keep = order[number < k]
+        return query[keep], hit.take(pa.array(keep)), value[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, postings, sizes = held.value
+        best = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                queries, of, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
+                for i, text in enumerate(part.column(1).to_pylist()):
+                    found = terms(text)
+                    many.append(len(found))
+                    met = [postings[t] for t in found if t in postings]
+                    if met:
+                        shared = np.bincount(np.concatenate(met))
+                        queries.append(np.flatnonzero(shared))
+                        of.append(np.full(len(queries[-1]), i))
+                        queries[-1] = queries[-1] << 32 | shared[queries[-1]]
+                packed, row = np.concatenate(queries), np.concatenate(of)
+                query, shared = packed >> 32, packed & 0xFFFFFFFF
+                value = score(shared, sizes[query], np.array(many, np.int64)[row])
+                good = value >= least
+                now = query[good], part.column(0).take(pa.array(row[good])), value[good].astype(np.float64)
+                if k is None:
+                    yield pa.RecordBatch.from_arrays([names.take(pa.array(now[0])), now[1], pa.array(now[2])], names=["query", "hit", "score"])
+                    continue
+                if best is not None:
+                    now = np.concatenate([best[0], now[0]]), pa.concat_arrays([best[1], now[1]]), np.concatenate([best[2], now[2]])
+                best = cut(*now)
+        if best is not None:
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])), best[1], pa.array(best[2])], names=["query", "hit", "score"])
+
+    return run
+
+
+def overlapping(rows: DataFrame, key: str, tokens: str, least: int, share: float) -> DataFrame:
+    """(a, b, n, overlap) of rows that share at least `least` tokens and this share of the smaller set.
+
+    Rows of equal sets are one, named by the least key. The rarest tokens of the smaller set, as many
+    as can be missed, hold one of the larger set's at least: only on those sets meet, and the
+    candidates are confirmed on whole sets. Very frequent tokens are rarely among them."""
+    sets = rows.select(key, F.array_sort(F.array_distinct(tokens)).alias("ts")).groupBy("ts").agg(F.min(key).alias("id")).filter(F.size("ts") >= least)
+    each = sets.select("id", F.size("ts").alias("size"), F.explode("ts").alias("t"))
+    counts = each.groupBy("t").agg(F.count("*").alias("df"))
+    rarest = each.join(counts, "t").groupBy("id", "size").agg(F.array_sort(F.collect_list(F.struct("df", "t"))).alias("by"))
+    missed = F.col("size") - F.greatest(F.lit(least), F.ceil(F.col("size") * share - 1e-9)).cast("int") + 1
+    first = rarest.select(F.col("id").alias("a"), F.col("size").alias("sa"), F.explode(F.transform(F.slice("by", F.lit(1), missed), lambda x: x["t"])).alias("t"))
+    pairs = first.join(each.select(F.col("id").alias("b"), F.col("size").alias("sb"), "t"), "t").filter("sa < sb or (sa = sb and a < b)").select("a", "b").distinct()
+    left, right = sets.select(F.col("id").alias("a"), F.col("ts").alias("x")), sets.select(F.col("id").alias("b"), F.col("ts").alias("y"))
+    n = F.size(F.array_intersect("x", "y"))
+    both = pairs.join(left, "a").join(right, "b").select("a", "b", n.alias("n"), (n / F.least(F.size("x"), F.size("y"))).alias("overlap"))
+    return both.filter((F.col("n") >= least) & (F.col("overlap") >= share)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("n").cast("long").alias("n"), "overlap")
 
 
 def matched_all(query_tokens: Column, tokens: Column) -> Column:
     return F.size(F.array_except(query_tokens, tokens)) == 0
 
 
-def unit(vectors: np.ndarray) -> np.ndarray:
-    """Rows of length one; a zero or infinite vector is an error."""
-    size = np.linalg.norm(vectors, axis=1, keepdims=True)
-    if not np.isfinite(size).all() or (size == 0).any():
-        raise ValueError("a vector has no direction")
-    return vectors / size
+def directed(vector: Column) -> Column:
+    """Whether a vector has a direction: numbers that are all finite, and one that is not zero. Rows
+    without are no queries and no hits."""
+    return F.coalesce(F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists(vector, lambda x: x != 0), F.lit(False))
+
+
+def unit(vectors: pa.ListArray) -> np.ndarray:
+    """Vectors of one length as rows of length one, from their flat numbers."""
+    rows = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(vectors), -1)
+    return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
 def vector_lane(queries: DataFrame, rows: DataFrame, k: int, threshold: float = -2.0, scope: str | None = None) -> DataFrame:
@@ -72,7 +165,9 @@ def vector_lane(queries: DataFrame, rows: DataFrame, k: int, threshold: float =
 
     Rows never move: each task keeps the k best of its batch for every query, and these are
     ranked. Queries are broadcast while they are few; beyond that they go in blocks of that size.
+    Vectors without a direction match nothing.
     """
+    queries, rows = queries.filter(directed(F.col("vector"))), rows.filter(directed(F.col("vector")))
     first = queries.select(F.size("vector").alias("d")).first()
     kind = rows.schema["hit"].dataType.simpleString()
     if first is None:
@@ -86,7 +181,7 @@ def vector_lane(queries: DataFrame, rows: DataFrame, k: int, threshold: float =
         chosen = part.select("query", "vector", *([scope] if scope else [])).toArrow()
         if not chosen.num_rows:
             continue
-        held = rows.sparkSession.sparkContext.broadcast((chosen["query"].to_numpy(), unit(np.array(chosen["vector"].to_pylist(), np.float64)), chosen[scope].to_numpy() if scope else None))
+        held = rows.sparkSession.sparkContext.broadcast((chosen["query"].to_numpy(), unit(chosen["vector"].combine_chunks()), chosen[scope].to_numpy() if scope else None))
         found = rows.select("hit", "vector", *([scope] if scope else [])).mapInArrow(_nearest(held, k, threshold, scope is not None), f"query {kind}, hit {kind}, score double")
         out = found if out is None else out.unionByName(found)
     return top_k(out, ["query"], [F.desc("score"), F.col("hit")], k)
@@ -99,7 +194,7 @@ def _nearest(held, k: int, threshold: float, scoped: bool):
             if not batch.num_rows:
                 continue
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            have = unit(np.array(batch.column(1).to_pylist(), np.float64))
+            have = unit(batch.column(1))
             score = np.round(wanted @ have.T, 6)
             if scoped:
                 score[scopes[:, None] != batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -9.0
@@ -116,7 +211,8 @@ def nearest_in_scope(rows: DataFrame, scope: str, k: int, block: int = 2048) ->
     """The k nearest others of every row within its scope: (query, hit, score, rank).
 
     A scope is cut into blocks by hash, and every two blocks of a scope meet in one task, so that
-    a large scope is spread over tasks of bounded size."""
+    a large scope is spread over tasks of bounded size. Vectors without a direction are left out."""
+    rows = rows.filter(directed(F.col("vector")))
     sizes = rows.groupBy(scope).agg(F.greatest(F.lit(1), F.ceil(F.count("*") / block)).cast("int").alias("blocks"))
     dealt = rows.join(sizes, scope).withColumn("own", F.pmod(F.xxhash64("hit"), F.col("blocks").cast("long")).cast("int"))
     left = dealt.select(scope, "hit", "vector", F.lit(0).alias("side"), F.col("own").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"))
@@ -124,7 +220,7 @@ def nearest_in_scope(rows: DataFrame, scope: str, k: int, block: int = 2048) ->
 
     def run(table: pa.Table) -> pa.Table:
         side = table["side"].to_numpy()
-        ids, vectors = table["hit"].to_numpy(), unit(np.array(table["vector"].to_pylist(), np.float64))
+        ids, vectors = table["hit"].to_numpy(), unit(table["vector"].combine_chunks())
         a, b = side == 0, side == 1
         score = np.round(vectors[a] @ vectors[b].T, 6)
         score[ids[a][:, None] == ids[b][None, :]] = -9.0

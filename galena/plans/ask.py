@@ -19,8 +19,8 @@ def answered(questions: DataFrame, documents: DataFrame, id_col: str = "query",
     whole = plans.filter("part = 0").select(F.col(id_col).alias("query"), "text", "language")
     found = retrieval.lexical_lane(whole.select("query", "text"), documents.select("hit", "text"), k).filter("score >= 0.2")
     fused = retrieval.fused(found.select("query", F.lit("LEXICAL").alias("lane"), "hit", "rank"))
-    bodies = documents.select("hit", "document", "text", text.token_estimate(F.col("text")).alias("tokens"))
-    hits = fused.join(bodies, "hit").withColumn("lane", F.lit("LEXICAL"))
+    hits = fused.join(documents.select("hit", "document", "text"), "hit").withColumn("lane", F.lit("LEXICAL"))
+    hits = hits.withColumn("tokens", text.token_estimate(F.col("text")))  # of the hits alone
     chosen = context.budgeted(hits).join(hits.select("query", "hit", "text"), ["query", "hit"])
     first = F.regexp_extract("text", r"(?s)^(.*?[.!?])(\s|$)", 1)
     best = chosen.filter("slot = 1").select("query", F.concat(F.when(first != "", first).otherwise(F.substring("text", 1, 200)), F.lit(" [SOURCE 1]")).alias("answer"))

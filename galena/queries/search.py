@@ -12,7 +12,7 @@ from galena.operators import ranking as R
 from galena.operators import retrieval as L
 from galena.operators.graph import mutual_confidence
 from galena.registry import query
-from galena.sources.tables import table
+from galena.sources.tables import spread, table
 
 _T = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> ''))"
 _LEXICAL = f"""q AS (SELECT item_id AS query, len({_T}) AS n, unnest({_T}) AS t FROM benchmark), p AS (SELECT doc_id AS hit, unnest({_T}) AS t FROM documents),
@@ -27,7 +27,7 @@ fused AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, score D
 
 def lexical_hits(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     queries = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
-    return L.lexical_lane(queries, table(spark, d, "documents").select(F.col("doc_id").alias("hit"), "text"), k)
+    return L.lexical_lane(queries, spread(table(spark, d, "documents").select(F.col("doc_id").alias("hit"), "text")), k)
 
 
 def fused_hits(spark: SparkSession, d: str) -> DataFrame:
@@ -68,8 +68,8 @@ _QUALITY = """quality AS (SELECT t.query, count(f.hit) / max(t.n) AS recall, coa
 def truth(spark: SparkSession, d: str) -> DataFrame:
     """Documents that hold an item's text: candidates share all of its tokens, then the text is looked for."""
     items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.col("text").alias("wanted"))
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit"), "text")
-    full = L.lexical_lane(items.withColumnRenamed("wanted", "text"), docs, 2_000_000_000).filter("score >= 1").select("query", "hit")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("hit"), "text"))
+    full = L.lexical_lane(items.withColumnRenamed("wanted", "text"), docs, None, 1.0).select("query", "hit")
     return full.join(items, "query").join(docs, "hit").filter(F.contains("text", F.col("wanted"))).select("query", "hit")
 
 
@@ -101,10 +101,11 @@ def section_diversity(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _context_hits(spark: SparkSession, d: str) -> DataFrame:
-    from galena.functions.text import token_estimate
+    from galena.functions.tokens import token_estimate
 
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit"), F.col("source").alias("document"), token_estimate(F.col("text")).alias("tokens"), "text")
-    return fused_hits(spark, d).join(docs, "hit").withColumn("lane", F.lit("LEXICAL"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("hit"), F.col("source").alias("document"), "text")
+    hits = fused_hits(spark, d).join(docs, "hit").withColumn("lane", F.lit("LEXICAL"))
+    return hits.withColumn("tokens", token_estimate(F.col("text")))  # of the hits alone
 
 
 @query()
@@ -169,16 +170,16 @@ def knn_graph(spark: SparkSession, d: str) -> DataFrame:
     return L.nearest_in_scope(_vectors(spark, d), "label", 8).withColumn("rank", F.col("rank").cast("long"))
 
 
-@query(f"""WITH {_KNN} SELECT a.query AS u, a.hit AS v, round(greatest(0, least(1, least(a.score, b.score) * (0.85 + 0.15 * (1 - (greatest(a.rank, b.rank) - 1) / 8.0)))), 6) AS confidence
+@query(f"""WITH {_KNN} SELECT a.query AS u, a.hit AS v, round(greatest(0, least(1, least(a.score, b.score) * (0.85 + 0.15 * (1 - (greatest(a.rank, b.rank) - 1) / 8.0)))), 9) AS confidence
 FROM near a JOIN near b ON a.query = b.hit AND a.hit = b.query AND a.query < a.hit""")
 def mutual_knn(spark: SparkSession, d: str) -> DataFrame:
     pairs = L.mutual(L.nearest_in_scope(_vectors(spark, d), "label", 8))
-    return pairs.select("u", "v", F.round(mutual_confidence(F.col("forward"), F.col("backward"), F.col("worst"), 8), 6).alias("confidence"))
+    return pairs.select("u", "v", F.round(mutual_confidence(F.col("forward"), F.col("backward"), F.col("worst"), 8), 9).alias("confidence"))
 
 
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.chunked(table(spark, d, "documents"))
+    return chunking.chunked(spread(table(spark, d, "documents")))
 
 
 @query()

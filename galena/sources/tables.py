@@ -13,6 +13,17 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+#: Rows of a scan below this size are dealt to all cores before work that is done row by row.
+SPREAD_BYTES = 1 << 28
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """The rows, dealt evenly if there are few bytes: a small table is often one row group, which one
+    task would read and work on alone. Large tables have row groups enough and do not move."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SPREAD_BYTES else rows
+
+
 def key_lookup(keys: DataFrame, rows: DataFrame, on: Sequence[str], ordinal: str) -> DataFrame:
     """Rows of the keys, each with its key's ordinal: the order of the request, whatever the join does."""
     return keys.select(*on, ordinal).join(rows, list(on))

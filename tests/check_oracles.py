@@ -53,7 +53,7 @@ if __name__ == "__main__":
     import __spark_entry__ as entry
 
     folder = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
-    spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    spark = SparkSession.builder.master(f"local[{os.environ.get('TEST_CPUS', '4')}]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("OFF")
     con, queries, sql, bad = views(folder), entry.queries(), entry.oracle_sql(), 0
     for name in sys.argv[1:] or [q for q in queries if q in sql]:
