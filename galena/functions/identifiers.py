@@ -92,3 +92,76 @@ def references(text: Column) -> Column:
         raw = F.regexp_extract_all(text, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{words})\s*({number})"), F.lit(1))
         found.append(F.transform(raw, _reference(kind)))
     return F.array_distinct(F.filter(F.concat(*found), lambda x: x["value"].isNotNull()))
+
+
+# Digits and units of Chinese numerals, and the words of Chinese references.
+CHINESE_DIGITS = {"零": 0, "〇": 0, "一": 1, "二": 2, "两": 2, "三": 3, "四": 4, "五": 5, "六": 6, "七": 7, "八": 8, "九": 9}
+CHINESE_UNITS = {"十": 10, "百": 100, "千": 1000}
+CHINESE_REFERENCES = {"条": "ARTICLE", "款": "CLAUSE", "项": "SUBPARAGRAPH", "节": "SECTION", "章": "CHAPTER", "编": "PART"}
+# Objects that are named in a text by a number or a letter, and kinds of outside sources.
+NAMED_OBJECTS = {"APPENDIX": "appendix|annex|anhang|anlage|annexe|anexo|allegato|приложени[еяю]", "TABLE": "table|tabelle|tableau|tabla|tabella|таблиц[аеуы]", "FIGURE": "figure|fig\\.|abbildung|figura|рисун(?:ок|ке|ка)"}
+EXTERNAL = {"STANDARD": r"(?:ISO(?:/IEC)?|IEC|EN|DIN|ГОСТ)(?: Р)? ?\d+(?:[-.:]\d+)*", "RFC": r"RFC ?\d+", "LAW": r"(?:Regulation|Directive) \(?(?:EU|EC)\)? ?(?:No\.? ?)?\d+/\d+"}
+
+
+def chinese_number(text: Column) -> Column:
+    """The value of a Chinese numeral below ten thousand, or of digits; null for anything else."""
+    known = {**CHINESE_DIGITS, **CHINESE_UNITS}
+    values = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
+    signs = F.split(text, "")
+
+    def step(acc: Column, sign: Column) -> Column:
+        v = F.try_element_at(values, sign)
+        unit = sign.isin(*CHINESE_UNITS)
+        total = F.when(unit, acc["total"] + F.when(acc["last"] == 0, 1).otherwise(acc["last"]) * v).otherwise(acc["total"])
+        return F.struct(total.alias("total"), F.when(unit, 0).otherwise(v).alias("last"))
+
+    folded = F.aggregate(signs, F.struct(F.lit(0).alias("total"), F.lit(0).alias("last")), step)
+    return F.when(text.rlike("^[0-9]+$"), text.cast("int")).when(text.rlike(f"^[{''.join(known)}]+$"), folded["total"] + folded["last"])
+
+
+def chinese_references(text: Column) -> Column:
+    """Distinct array<struct(type, value)> of references such as 第三条 and of ranges such as 第三至五条."""
+    number = f"[0-9{''.join(CHINESE_DIGITS)}{''.join(CHINESE_UNITS)}]+"
+    found = []
+    for word, kind in CHINESE_REFERENCES.items():
+        one = F.regexp_extract_all(text, F.lit(f"第({number}){word}"), F.lit(1))
+        wide = F.regexp_extract_all(text, F.lit(f"第({number}[至到]第?{number}){word}"), F.lit(1))
+        ends = F.transform(wide, lambda w: F.transform(F.split(w, "[至到]第?"), lambda x: chinese_number(x)))
+        spread = F.flatten(F.transform(F.filter(ends, lambda e: (e[0] <= e[1]) & (e[1] - e[0] < 100)), lambda e: F.sequence(e[0], e[1])))
+        values = F.concat(F.transform(one, lambda x: chinese_number(x)), spread)
+        found.append(_typed_values(values, kind))
+    return F.array_distinct(F.concat(*found))
+
+
+def _typed_values(values: Column, kind: str) -> Column:
+    return F.transform(F.filter(values, lambda v: v.isNotNull()), lambda v: F.struct(F.lit(kind).alias("type"), v.cast("string").alias("value")))
+
+
+def named_objects(text: Column) -> Column:
+    """Distinct array<struct(type, value)> of appendices, tables and figures that a text names."""
+    found = []
+    for kind, words in NAMED_OBJECTS.items():
+        raw = F.regexp_extract_all(text, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{words})\s*(?:№|no\.)?\s*(\d+(?:\.\d+)*|[A-Z](?![\p{{L}}\p{{N}}]))"), F.lit(1))
+        found.append(_typed_values(F.transform(raw, lambda v: F.upper(v)), kind))
+    return F.array_distinct(F.concat(*found))
+
+
+def external_references(text: Column) -> Column:
+    """Distinct array<struct(type, value)> of standards, requests for comments and laws; one blank
+    stands between their words."""
+    found = []
+    for kind, pattern in EXTERNAL.items():
+        raw = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])({pattern})(?![\p{{L}}\p{{N}}])"), F.lit(1))
+        found.append(_typed_values(F.transform(raw, lambda v: F.regexp_replace(v, r"(?<=\p{L}) ?(?=\d)", " ")), kind))
+    return F.array_distinct(F.concat(*found))
+
+
+def declared(text: Column) -> Column:
+    """Distinct array<struct(type, value)> that a text declares: references that open a line, behind
+    heading marks at most. They are anchors, and no references of the text itself."""
+    found = []
+    for kind, words in REFERENCES.items():
+        number = r"\d+(?:\.\d+)*" + (r"|[IVXLCDMivxlcdm]+(?![\p{L}\p{N}])" if kind in ROMAN_TYPES else "")
+        raw = F.regexp_extract_all(text, F.lit(rf"(?ium)^[ \t#]*(?:{words})\s*({number})"), F.lit(1))
+        found.append(F.transform(raw, _reference(kind)))
+    return F.array_distinct(F.filter(F.concat(*found), lambda x: x["value"].isNotNull()))

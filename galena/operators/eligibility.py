@@ -70,3 +70,10 @@ def clean_metadata(metadata: Column) -> Column:
 def routable(access: Column, document: Column, generation: Column, chunk: Column) -> Column:
     """Whether a hit names a chunk that can be fetched."""
     return F.coalesce((access > 0) & (generation > 0) & (F.trim(document) != "") & (F.trim(chunk) != ""), F.lit(False))
+
+
+def revalidated(hits: DataFrame, published: DataFrame, projected: DataFrame) -> DataFrame:
+    """Hits (access_level, document_id, generation, chunk_id) right before their use: their generation must be
+    the one published at their access level, and their chunk must still be projected (chunk_id)."""
+    live = published.select("access_level", "document_id", F.col("published_generation").alias("generation"))
+    return hits.join(live, ["access_level", "document_id", "generation"], "left_semi").join(projected.select("chunk_id"), "chunk_id", "left_semi")

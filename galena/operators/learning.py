@@ -7,24 +7,25 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from galena.operators.aggregates import concentration, share
 from galena.operators.ranking import time_bucket_cap
 
-#: Likeness that joins a cluster, weight that a centroid stops at, observations kept.
-LIKENESS, WEIGHT, KEPT = 0.86, 32, 4
+#: Likeness that joins a cluster, weight that a centroid stops at.
+LIKENESS, WEIGHT = 0.86, 32
 
 
 def leader_clusters(rows: DataFrame, scope: str) -> DataFrame:
     """Online leader clustering in order of `seq` within each scope: (scope, id, cluster), the cluster
     being the id that opened it. A row joins the nearest centroid that is like enough.
 
-    The fold depends on order, so a scope is one group; scopes are the unit of work."""
+    The fold depends on order, so a scope is one group; scopes are the unit of work. Vectors without a
+    direction are in no cluster."""
+    from galena.operators.retrieval import directed, unit
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("seq", "ascending"), ("id", "ascending")])
-        vectors = np.array(rows["vector"].to_pylist(), np.float64)
-        vectors /= np.linalg.norm(vectors, axis=1, keepdims=True)
+        vectors = unit(rows["vector"].combine_chunks())
         centres, weights, names, out = [], [], [], []
         for i, v in zip(rows["id"].to_pylist(), vectors, strict=True):
             if centres:
@@ -44,7 +45,7 @@ def leader_clusters(rows: DataFrame, scope: str) -> DataFrame:
         return pa.table({scope: rows[scope], "id": rows["id"], "cluster": pa.array(out, rows.schema.field("id").type)})
 
     types = dict(rows.dtypes)
-    return rows.select(scope, "id", "seq", "vector").groupBy(scope).applyInArrow(run, f"{scope} {types[scope]}, id {types['id']}, cluster {types['id']}")
+    return rows.select(scope, "id", "seq", "vector").filter(directed(F.col("vector"))).groupBy(scope).applyInArrow(run, f"{scope} {types[scope]}, id {types['id']}, cluster {types['id']}")
 
 
 def router_samples(events: DataFrame, window_seconds: int, cap: int) -> DataFrame:
@@ -135,4 +136,54 @@ def remembered(memory: DataFrame, queries: DataFrame, k: int = 2, least: float =
     return top_k(scored, ["query"], [F.desc("likeness"), F.desc("support"), F.col("cluster")], k).select("query", "cluster", "likeness", "support", "rank")
 
 
-__all__ = ["baseline_differences", "canary_gate", "concentration", "lane_support", "leader_clusters", "next_stage", "remembered", "router_policy", "router_samples", "shadow_gate", "share"]
+# Reasons of feedback with the trust in what they say.
+FEEDBACK = {"WRONG_SOURCE": "SPECIFIC", "OUTDATED": "SPECIFIC", "MISSING_CITATION": "SPECIFIC", "HELPFUL": "GENERAL", "NOT_HELPFUL": "GENERAL", "OTHER": "WEAK"}
+
+
+def recorded(stored: DataFrame, requests: DataFrame) -> DataFrame:
+    """Learning events to append: one of each request (request, seq, query_class, trace) that is not stored;
+    the counts come from the trace (JSON). A trace that cannot be read counts nothing."""
+    from galena.sources.tables import insert_ignore
+
+    trace = F.from_json("trace", "retrieved int, selected int, cited int, lanes map<string,int>")
+    new = insert_ignore(stored, requests, ["request"], [F.col("seq")]).withColumn("_t", trace)
+    counts = [F.coalesce(F.col(f"_t.{c}"), F.lit(0)).alias(c) for c in ("retrieved", "selected", "cited")]
+    return new.select("request", "query_class", *counts, F.coalesce(F.map_keys("_t.lanes"), F.array().cast("array<string>")).alias("lanes"))
+
+
+def shadow_observations(cited: DataFrame, candidate: DataFrame, changed: DataFrame) -> DataFrame:
+    """What a candidate plan would have kept of the cited chunks (query, document, chunk): its hits are
+    candidate (query, document, chunk), and changed (query, changed) says whether its plan differs."""
+    goal = cited.select("query", "document", "chunk").distinct()
+    hits = candidate.select("query", "document", "chunk").distinct()
+    chunk = goal.join(hits.withColumn("_c", F.lit(1)), ["query", "document", "chunk"], "left").groupBy("query").agg(F.count("*").alias("target_chunks"), F.count("_c").alias("found_chunks"))
+    document = goal.select("query", "document").distinct().join(hits.select("query", "document").distinct().withColumn("_d", F.lit(1)), ["query", "document"], "left").groupBy("query").agg(F.count("*").alias("target_documents"), F.count("_d").alias("found_documents"))
+    return chunk.join(document, "query").join(changed, "query")
+
+
+def feedback(rows: DataFrame, cap: int = 5) -> DataFrame:
+    """(request, source, reason, trust): the first feedback of each request (request, source, reason,
+    seq), and of a source the first `cap` that count; what is beyond has the trust CAPPED."""
+    from galena.sources.tables import latest
+
+    first = latest(rows, ["request"], [F.col("seq")])
+    known = F.create_map(*[F.lit(x) for pair in FEEDBACK.items() for x in pair])
+    trust = F.coalesce(F.try_element_at(known, F.upper(F.trim("reason"))), F.lit("WEAK"))
+    number = F.row_number().over(Window.partitionBy("source").orderBy("seq", "request"))
+    return first.withColumn("_n", number).select("request", "source", "reason", F.when(F.col("_n") <= cap, trust).otherwise("CAPPED").alias("trust"))
+
+
+def settings_fingerprint(settings: Column) -> Column:
+    """SHA-256 of a map of settings in order of their names, each name and value behind its length."""
+    entries = F.array_sort(F.map_entries(settings))
+    part = lambda c: F.concat(F.octet_length(F.coalesce(c, F.lit(""))).cast("string"), F.lit(":"), F.coalesce(c, F.lit("")))
+    return F.sha2(F.array_join(F.transform(entries, lambda e: F.concat(part(e["key"]), part(e["value"]))), ""), 256)
+
+
+def attribution(stages: dict[str, DataFrame]) -> DataFrame:
+    """(stage, lane, n): how many hits (query, lane, hit) of each lane reach each stage."""
+    out = None
+    for stage, hits in stages.items():
+        part = hits.groupBy("lane").agg(F.count_distinct("query", "hit").alias("n")).select(F.lit(stage).alias("stage"), "lane", "n")
+        out = part if out is None else out.unionByName(part)
+    return out

@@ -63,3 +63,12 @@ def interleaved(base: DataFrame, promoted: DataFrame, query: str, key: str, posi
     own = own.select(query, key, F.when(F.col("_r") <= protected, F.col("_r") * 10).otherwise(F.col("_r") * 10 + 100).alias("_o"))
     both = own.unionByName(new.select(query, key, (F.lit(protected * 10) + F.col("_r")).alias("_o")))
     return top_k(both, [query], [F.col("_o"), F.col(key)], limit, "slot").select(query, key, "slot")
+
+
+def appended(base: DataFrame, reached: DataFrame, most: int) -> DataFrame:
+    """The base (query, hit, place) and behind it at most `most` reached hits (query, hit, score) that it lacks,
+    by score."""
+    new = top_k(reached.join(base.select("query", "hit"), ["query", "hit"], "left_anti"), ["query"], [F.desc("score"), F.col("hit")], most, "_r")
+    last = base.groupBy("query").agg(F.max("place").alias("_last"))
+    more = new.join(last, "query", "left").select("query", "hit", (F.coalesce("_last", F.lit(0)) + F.col("_r")).alias("place"))
+    return base.select("query", "hit", "place").unionByName(more)

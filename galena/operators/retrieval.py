@@ -17,7 +17,7 @@ from galena.operators.ranking import ranked, top_k
 
 #: Weight constant of reciprocal-rank fusion, and tiers of authority by lane (the least counts).
 FUSION_K = 60
-TIERS = {"IDENTIFIER": 0, "VECTOR": 2, "HYDE_VECTOR": 2, "LEXICAL": 2, "CONCEPT": 2, "REFERENCE": 3, "GRAPH": 4}
+TIERS = {"IDENTIFIER": 0, "VECTOR": 2, "HYDE_VECTOR": 2, "LEXICAL": 2, "TRIGRAM": 2, "CONCEPT": 2, "REFERENCE": 3, "GRAPH": 4}
 #: Queries of this many numbers are broadcast; more are dealt in blocks.
 BROADCAST_NUMBERS = 4_000_000
 
@@ -169,9 +169,9 @@ def vector_lane(queries: DataFrame, rows: DataFrame, k: int, threshold: float =
     """
     queries, rows = queries.filter(directed(F.col("vector"))), rows.filter(directed(F.col("vector")))
     first = queries.select(F.size("vector").alias("d")).first()
-    kind = rows.schema["hit"].dataType.simpleString()
+    schema = f"query {queries.schema['query'].dataType.simpleString()}, hit {rows.schema['hit'].dataType.simpleString()}, score double"
     if first is None:
-        return rows.sparkSession.createDataFrame([], f"query {kind}, hit {kind}, score double, rank int")
+        return rows.sparkSession.createDataFrame([], f"{schema}, rank int")
     per_block = max(1, BROADCAST_NUMBERS // max(1, first["d"]))
     number = queries.count()
     blocks = -(-number // per_block)
@@ -181,8 +181,8 @@ def vector_lane(queries: DataFrame, rows: DataFrame, k: int, threshold: float =
         chosen = part.select("query", "vector", *([scope] if scope else [])).toArrow()
         if not chosen.num_rows:
             continue
-        held = rows.sparkSession.sparkContext.broadcast((chosen["query"].to_numpy(), unit(chosen["vector"].combine_chunks()), chosen[scope].to_numpy() if scope else None))
-        found = rows.select("hit", "vector", *([scope] if scope else [])).mapInArrow(_nearest(held, k, threshold, scope is not None), f"query {kind}, hit {kind}, score double")
+        held = rows.sparkSession.sparkContext.broadcast((chosen["query"].combine_chunks(), unit(chosen["vector"].combine_chunks()), chosen[scope].to_numpy() if scope else None))
+        found = rows.select("hit", "vector", *([scope] if scope else [])).mapInArrow(_nearest(held, k, threshold, scope is not None), schema)
         out = found if out is None else out.unionByName(found)
     return top_k(out, ["query"], [F.desc("score"), F.col("hit")], k)
 
@@ -198,11 +198,12 @@ def _nearest(held, k: int, threshold: float, scoped: bool):
             score = np.round(wanted @ have.T, 6)
             if scoped:
                 score[scopes[:, None] != batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -9.0
-            order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+            places = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+            order = np.lexsort((np.broadcast_to(places, score.shape), -score), axis=1)[:, :k]
             rows = np.repeat(np.arange(len(names)), order.shape[1])
             best = score[rows, order.ravel()]
             good = best >= max(threshold, -2.0)
-            yield pa.RecordBatch.from_arrays([pa.array(names[rows[good]]), pa.array(ids[order.ravel()[good]]), pa.array(best[good])], names=["query", "hit", "score"])
+            yield pa.RecordBatch.from_arrays([names.take(pa.array(rows[good])), batch.column(0).take(pa.array(order.ravel()[good])), pa.array(best[good])], names=["query", "hit", "score"])
 
     return run
 

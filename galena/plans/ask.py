@@ -8,18 +8,20 @@ from pyspark.sql import functions as F
 from galena.functions import grounding, text
 from galena.operators import context, retrieval
 from galena.plans import planner
+from galena.plans.lanes import Index, searched
 
 
-def answered(questions: DataFrame, documents: DataFrame, id_col: str = "query", k: int = 10) -> DataFrame:
+def answered(questions: DataFrame, documents: DataFrame, id_col: str = "query", k: int = 10, index: Index | None = None) -> DataFrame:
     """(query, status, answer, sources) for questions (query, text) over documents (hit, document, text).
 
-    The answer is extractive: the first sentence of the best source, with its citation. Without a
-    source the answer is the fallback of the question's language."""
-    plans = planner.planned(questions, id_col, "text")
-    whole = plans.filter("part = 0").select(F.col(id_col).alias("query"), "text", "language")
-    found = retrieval.lexical_lane(whole.select("query", "text"), documents.select("hit", "text"), k).filter("score >= 0.2")
-    fused = retrieval.fused(found.select("query", F.lit("LEXICAL").alias("lane"), "hit", "rank"))
-    hits = fused.join(documents.select("hit", "document", "text"), "hit").withColumn("lane", F.lit("LEXICAL"))
+    Every part of a question is searched by the lanes of its plan, and the hits of all parts and lanes are
+    fused. The answer is extractive: the first sentence of the best source, with its citation. Without a
+    source the answer is the fallback of the question's language. The index has more lanes to search; without
+    one the lexical lane is searched."""
+    plans = planner.planned(questions, id_col, "text").withColumnRenamed(id_col, "query")
+    whole = plans.filter("part = 0").select("query", "language")
+    found = searched(plans, index or Index(documents.select("hit", "text")), k)
+    hits = retrieval.fused(found).join(documents.select("hit", "document", "text"), "hit").withColumn("lane", F.lit("LEXICAL"))
     hits = hits.withColumn("tokens", text.token_estimate(F.col("text")))  # of the hits alone
     chosen = context.budgeted(hits).join(hits.select("query", "hit", "text"), ["query", "hit"])
     first = F.regexp_extract("text", r"(?s)^(.*?[.!?])(\s|$)", 1)

@@ -15,12 +15,14 @@ from galena.registry import query
 from galena.sources.tables import spread, table
 
 _T = r"list_distinct(list_filter(string_split(trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')), ' '), lambda x: x <> ''))"
+_G = f"list_distinct(flatten(list_transform({_T}, lambda w: list_transform(range(1, length(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
 _LEXICAL = f"""q AS (SELECT item_id AS query, len({_T}) AS n, unnest({_T}) AS t FROM benchmark), p AS (SELECT doc_id AS hit, unnest({_T}) AS t FROM documents),
 lexical AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, hit) AS rank FROM (
   SELECT query, hit, count(*) / max(n) AS score FROM q JOIN p USING (t) GROUP BY query, hit)) WHERE rank <= 10)"""
-_FUSED = f"""{_LEXICAL}, lengths AS (SELECT query, hit, row_number() OVER (PARTITION BY query ORDER BY abs(length(d.text) - length(b.text)), hit) AS rank
-  FROM lexical JOIN documents d ON d.doc_id = hit JOIN benchmark b ON b.item_id = query),
-hits AS (SELECT query, 'LEXICAL' AS lane, hit, rank FROM lexical UNION ALL SELECT query, 'CONCEPT', hit, rank FROM lengths),
+_FUSED = f"""{_LEXICAL}, qg AS (SELECT item_id AS query, {_G} AS g FROM benchmark), dg AS (SELECT doc_id AS hit, {_G} AS g FROM documents),
+grams AS (SELECT query, hit, row_number() OVER (PARTITION BY query ORDER BY s / (len(qg.g) + len(dg.g) - s) DESC, hit) AS rank FROM (
+  SELECT query, hit, count(*) AS s FROM (SELECT query, unnest(g) AS t FROM qg) JOIN (SELECT hit, unnest(g) AS t FROM dg) USING (t) GROUP BY query, hit) JOIN qg USING (query) JOIN dg USING (hit) QUALIFY rank <= 10),
+hits AS (SELECT query, 'LEXICAL' AS lane, hit, rank FROM lexical UNION ALL SELECT query, 'TRIGRAM', hit, rank FROM grams),
 fused AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY tier, score DESC, hit) AS place FROM (SELECT query, hit, 2 AS tier, count(DISTINCT lane) AS lanes,
   round(sum((CASE WHEN lane = 'LEXICAL' THEN 1.0::DOUBLE ELSE 0.8::DOUBLE END) / (60 + rank)), 9) AS score FROM hits GROUP BY query, hit))"""
 
@@ -30,14 +32,18 @@ def lexical_hits(spark: SparkSession, d: str, k: int = 10) -> DataFrame:
     return L.lexical_lane(queries, spread(table(spark, d, "documents").select(F.col("doc_id").alias("hit"), "text")), k)
 
 
+def lane_hits(spark: SparkSession, d: str) -> DataFrame:
+    """(query, lane, hit, rank) of the lexical and the trigram lane over all documents."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), "text")
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("hit"), "text"))
+    lanes = {"LEXICAL": L.lexical_lane(items, docs, 10), "TRIGRAM": L.similar_by_trigrams(items, docs, 10)}
+    lexical, grams = (hits.select("query", F.lit(lane).alias("lane"), "hit", "rank") for lane, hits in lanes.items())
+    return lexical.unionByName(grams)
+
+
 def fused_hits(spark: SparkSession, d: str) -> DataFrame:
-    """The lexical lane, and the same hits by nearness in length, fused."""
-    lexical = lexical_hits(spark, d)
-    sizes = table(spark, d, "documents").select(F.col("doc_id").alias("hit"), F.char_length("text").alias("a"))
-    wanted = table(spark, d, "benchmark").select(F.col("item_id").alias("query"), F.char_length("text").alias("b"))
-    lengths = R.ranked(lexical.select("query", "hit").join(sizes, "hit").join(wanted, "query"), ["query"], [F.abs(F.col("a") - F.col("b")), F.col("hit")])
-    hits = lexical.select("query", F.lit("LEXICAL").alias("lane"), "hit", "rank").unionByName(lengths.select("query", F.lit("CONCEPT").alias("lane"), "hit", "rank"))
-    return L.fused(hits, {"LEXICAL": 1.0, "CONCEPT": 0.8})
+    """Both lanes, fused."""
+    return L.fused(lane_hits(spark, d), {"LEXICAL": 1.0, "TRIGRAM": 0.8})
 
 
 @query(f"WITH {_LEXICAL} SELECT query, hit, round(score, 6) AS score, rank FROM lexical")

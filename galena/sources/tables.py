@@ -71,6 +71,11 @@ def write_partitioned(rows: DataFrame, path: str, by: Sequence[str]) -> None:
     rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
 
 
+def append_partitioned(rows: DataFrame, path: str, by: Sequence[str]) -> None:
+    """Append rows to a log; earlier rows are never rewritten."""
+    rows.write.mode("append").partitionBy(*by).parquet(path)
+
+
 def verified_count(rows: DataFrame, expected: int) -> DataFrame:
     """The rows, or an error at run time if their number differs."""
     found = rows.agg(F.count("*").alias("n"))
