@@ -109,8 +109,8 @@ def feedback_trust(spark: SparkSession, d: str) -> DataFrame:
 UNION ALL SELECT 'CITED', lane, count(*) FROM hits JOIN fused USING (query, hit) WHERE place = 1 GROUP BY lane""")
 def stage_attribution(spark: SparkSession, d: str) -> DataFrame:
     hits, places = lane_hits(spark, d), fused_hits(spark, d).select("query", "hit", "place")
-    kept = hits.join(places, ["query", "hit"])
-    return learning.attribution({"PRODUCED": hits, "SELECTED": kept.filter("place <= 5"), "CITED": kept.filter("place = 1")})
+    placed = hits.join(places, ["query", "hit"], "left")
+    return learning.attribution(placed, {"PRODUCED": F.lit(True), "SELECTED": F.col("place") <= 5, "CITED": F.col("place") == 1})
 
 
 @query("""SELECT o_orderkey, CASE WHEN o_orderkey % 5 = 0 OR o_orderkey % 3 = 0 THEN 'UNGROUNDED' ELSE 'GROUNDED' END AS status, 2 AS sentences, CASE WHEN o_orderkey % 5 = 0 THEN 1 ELSE 0 END AS missing,

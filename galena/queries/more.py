@@ -35,15 +35,6 @@ def parent_expansion(spark: SparkSession, d: str) -> DataFrame:
     return out.select("query", "document", F.col("chunk_index").cast("long").alias("chunk_index"), F.col("position").cast("long").alias("position"))
 
 
-@query("""SELECT n_nationkey AS query, CASE WHEN n_nationkey % 2 = 0 THEN '1,2,3,4,101,102,5,6' ELSE '1,2,3,4,5,6,7,8' END AS hits FROM nation""")
-def competitive_admission(spark: SparkSession, d: str) -> DataFrame:
-    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("query"))
-    base = nations.select("query", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("hit")).withColumn("position", F.col("hit"))
-    new = nations.filter("query % 2 = 0").select("query", F.explode(F.array(F.lit(3), F.lit(101), F.lit(102), F.lit(103))).alias("hit")).withColumn("position", F.col("hit"))
-    out = R.interleaved(base, new, "query", "hit", "position", 4, 8)
-    return out.groupBy("query").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("slot", "hit"))), lambda x: x["hit"].cast("string")), ",").alias("hits"))
-
-
 @query("""SELECT o_custkey, bool_and(EXISTS (SELECT 1 FROM lineitem l WHERE l.l_orderkey = o.o_orderkey AND l.l_returnflag <> 'R')) AS eligible FROM orders o GROUP BY o_custkey""")
 def source_eligibility(spark: SparkSession, d: str) -> DataFrame:
     live = table(spark, d, "lineitem").filter("l_returnflag <> 'R'").select(F.col("l_orderkey").alias("o_orderkey")).distinct().withColumn("live", F.lit(True))

@@ -193,26 +193,55 @@ def page_blocks(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "pages").select("page_id", F.posexplode(chunking.page_blocks(F.col("html"))).alias("position", "b")).select("page_id", "position", "b.kind", "b.text")
 
 
-@query("""SELECT item_id, [1, 2] AS cited, 'See [SOURCE 1] and [SOURCE 2], not  or [SOURCE 1].' AS clean FROM benchmark""")
+_MARK = "'[SOURCE ' || {} || ']'"
+_MARKS = " || ' and ' || ".join(_MARK.format(x) for x in ("o_orderkey % 6", "o_custkey % 5"))
+
+
+@query(f"""SELECT o_orderkey, list_distinct(list_filter([CAST(o_orderkey % 6 AS INT), CAST(o_custkey % 5 AS INT)], lambda x: x BETWEEN 1 AND 3))::VARCHAR IS NOT NULL AS found, len(list_distinct(list_filter([o_orderkey % 6, o_custkey % 5], lambda x: x BETWEEN 1 AND 3))) AS n,
+  trim(list_reduce(list_prepend('See ' || {_MARKS} || '.', list_transform(list_filter(list_distinct([o_orderkey % 6, o_custkey % 5]), lambda x: x NOT BETWEEN 1 AND 3), lambda x: {_MARK.format('x')})), lambda t, m: replace(t, m, ''))) AS clean FROM orders""")
 def citations(spark: SparkSession, d: str) -> DataFrame:
-    answer = F.lit("See [SOURCE 1] and [SOURCE 2], not [SOURCE 99] or [SOURCE 1].")
-    return table(spark, d, "benchmark").select("item_id", grounding.citations(answer, F.lit(3)).alias("cited"), grounding.without_invalid_citations(answer, F.lit(3)).alias("clean"))
+    mark = lambda c: F.concat(F.lit("[SOURCE "), c.cast("string"), F.lit("]"))
+    answer = F.concat(F.lit("See "), mark(F.col("o_orderkey") % 6), F.lit(" and "), mark(F.col("o_custkey") % 5), F.lit("."))
+    cited = grounding.citations(answer, F.lit(3))
+    return table(spark, d, "orders").select("o_orderkey", cited.isNotNull().alias("found"), F.size(cited).cast("long").alias("n"), grounding.without_invalid_citations(answer, F.lit(3)).alias("clean"))
 
 
-@query("""SELECT o_orderkey, true AS supported, false AS reversed FROM orders""")
+@query("""SELECT o_orderkey, o_orderkey % 900 + 1 <> 7 OR o_orderkey % 3 <> 0 AS supported, false AS reversed, o_orderkey % 3 <> 0 AS partly FROM orders""")
 def grounding_verdict(spark: SparkSession, d: str) -> DataFrame:
-    first, second = F.concat((F.col("o_orderkey") % 900 + 1).cast("string"), F.lit(" mg")), F.lit("1,250.5 USD")
+    k = F.col("o_orderkey")
+    first, second = F.concat((k % 900 + 1).cast("string"), F.lit(" mg")), F.lit("1,250.5 USD")
     claim = F.concat(F.lit("Take "), first, F.lit(" for "), second)
-    evidence = F.concat(F.lit("A dose of "), first, F.lit(" costs 7 EUR less, that is "), second)
+    evidence = F.concat(F.lit("A dose of "), F.when((k % 900 == 6) & (k % 3 == 0), "8 mg").otherwise(first), F.lit(" costs 7 EUR less, that is "), second)
     turned = F.concat(second, F.lit(" then "), first)
-    rows = table(spark, d, "orders").select("o_orderkey", *[grounding.numeric_claims(t, F.lit("en")).alias(n) for n, t in (("c", claim), ("e", evidence), ("t", turned))])
-    return rows.select("o_orderkey", grounding.in_order(F.col("c"), F.col("e")).alias("supported"), grounding.in_order(F.col("c"), F.col("t")).alias("reversed"))
+    part = F.when(k % 3 == 0, second).otherwise(F.concat(first, F.lit(" for "), second))
+    rows = table(spark, d, "orders").select("o_orderkey", *[grounding.numeric_claims(t, F.lit("en")).alias(n) for n, t in (("c", claim), ("e", evidence), ("t", turned), ("p", part))])
+    return rows.select("o_orderkey", *[grounding.in_order(F.col("c"), F.col(n)).alias(a) for n, a in (("e", "supported"), ("t", "reversed"), ("p", "partly"))])
+
+
+_MERGED = """b AS (SELECT o_custkey AS query, o_orderkey AS hit, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders QUALIFY r <= 12),
+e AS (SELECT o_custkey AS query, o_orderkey AS hit, o_orderkey AS position FROM orders WHERE o_orderpriority = '1-URGENT')"""
 
 
-@query("""SELECT n_nationkey AS id, list_sort(list(h)) AS merged FROM (SELECT n_nationkey, unnest(CASE WHEN n_nationkey % 2 = 0 THEN [1, 2, 3, 4, 5, 6, 101, 102] ELSE [1, 2, 3, 4, 5, 6, 7, 8] END) AS h FROM nation) GROUP BY 1""")
+def _merged_inputs(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """A customer's dearest orders, and the urgent ones."""
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("query"), F.col("o_orderkey").alias("hit"), "o_totalprice", "o_orderpriority")
+    base = R.top_k(orders, ["query"], [F.desc("o_totalprice"), F.col("hit")], 12, "position").select("query", "hit", "position")
+    return base, orders.filter("o_orderpriority = '1-URGENT'").select("query", "hit", F.col("hit").alias("position"))
+
+
+@query(f"""WITH {_MERGED}, h AS (SELECT DISTINCT query FROM e),
+own AS (SELECT b.query, hit, CASE WHEN r <= CASE WHEN h.query IS NULL THEN 8 ELSE 6 END THEN r ELSE r + 8 END AS o, 0 AS l FROM b LEFT JOIN h ON h.query = b.query),
+more AS (SELECT query, hit, 6 + row_number() OVER (PARTITION BY query ORDER BY position, hit) AS o, 1 AS l FROM e WHERE NOT EXISTS (SELECT 1 FROM own WHERE own.query = e.query AND own.hit = e.hit AND o <= 6) QUALIFY row_number() OVER (PARTITION BY query ORDER BY position, hit) <= 2),
+u AS (SELECT * FROM (SELECT * FROM own UNION ALL SELECT * FROM more) QUALIFY row_number() OVER (PARTITION BY query, hit ORDER BY o, l) = 1)
+SELECT query, hit, row_number() OVER (PARTITION BY query ORDER BY o, l, hit) AS slot FROM u QUALIFY slot <= 8""")
 def reserved_slots(spark: SparkSession, d: str) -> DataFrame:
-    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("query"))
-    base = nations.select("query", F.explode(F.sequence(F.lit(1), F.lit(10))).alias("hit")).withColumn("position", F.col("hit"))
-    extra = nations.filter("query % 2 = 0").select("query", F.explode(F.array(F.lit(101), F.lit(102), F.lit(103))).alias("hit")).withColumn("position", F.col("hit"))
-    merged = R.reserved_merge(base, extra, "query", "hit", "position", 8)
-    return merged.groupBy(F.col("query").alias("id")).agg(F.array_sort(F.collect_list("hit")).alias("merged"))
+    base, extra = _merged_inputs(spark, d)
+    return R.reserved_merge(base, extra, "query", "hit", "position", 8).select("query", "hit", F.col("slot").cast("long").alias("slot"))
+
+
+@query(f"""WITH {_MERGED}, new AS (SELECT query, hit, row_number() OVER (PARTITION BY query ORDER BY position, hit) AS r FROM e WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.query = e.query AND b.hit = e.hit) QUALIFY r <= 2),
+u AS (SELECT query, hit, CASE WHEN r <= 4 THEN r * 10 ELSE r * 10 + 100 END AS o FROM b UNION ALL SELECT query, hit, 40 + r FROM new)
+SELECT query, hit, row_number() OVER (PARTITION BY query ORDER BY o, hit) AS slot FROM u QUALIFY slot <= 8""")
+def competitive_admission(spark: SparkSession, d: str) -> DataFrame:
+    base, extra = _merged_inputs(spark, d)
+    return R.interleaved(base, extra, "query", "hit", "position", 4, 8).select("query", "hit", F.col("slot").cast("long").alias("slot"))
