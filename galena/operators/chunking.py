@@ -37,7 +37,7 @@ def sentences(text: str, start: int = 0, end: int | None = None) -> list[tuple[i
     end = len(text) if end is None else end
     out, at = [], start
     for m in _END.finditer(text, start, end):
-        if m[0][0] == ".":
+        if m[0] == ".":
             word = _LAST_WORD.search(text, max(at, m.start() - 80), m.start())[0].lower().lstrip("(\"'«“[")
             if word in ABBREVIATIONS or (len(word) == 1 and word.isalpha()) or "://" in word or "@" in word or word.count(".") > 1:
                 continue
@@ -121,14 +121,14 @@ class Measured:
         """Two pieces of at most `most` tokens, near the target, long enough and cut at a good
         boundary; null if there is no such cut."""
         places = np.arange(start + 1, end)
-        left = np.maximum(1, -(-(self.sums[places] - self.sums[start]) * T.MARGIN // T.WHOLE))
-        right = np.maximum(1, -(-(self.sums[end] - self.sums[places]) * T.MARGIN // T.WHOLE))
+        left, right = ((self.sums[places] - self.sums[start]) * T.MARGIN / T.WHOLE, (self.sums[end] - self.sums[places]) * T.MARGIN / T.WHOLE)
         fits = (left <= most) & (right <= most)
         if not fits.any():
             return None
         short = np.maximum(least - left, 0) + np.maximum(least - right, 0)
         cost = np.abs(left - target) + np.abs(right - target) + 20 * short + 30 * (STRUCTURE - self.ranks[places].astype(np.int64))
-        cut = int(places[np.where(fits, cost, np.iinfo(np.int64).max).argmin()])
+        # Of equal costs the more even pieces, then the first.
+        cut = int(places[np.lexsort((np.abs(left - right), np.round(cost, 6), ~fits))[0]])
         return [s for s in (trimmed(self.text, start, cut), trimmed(self.text, cut, end)) if s[0] < s[1]]
 
     def children(self, target: int = CHILD_TARGET, most: int = CHILD_MOST, least: int = CHILD_LEAST) -> list[tuple[int, int]]:

@@ -4,6 +4,7 @@ import hashlib
 import hmac
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -31,7 +32,7 @@ def one(spark, column, **values):
 def by_hand(t):
     if not t.strip(" \t\n\r\f\v"):
         return 0
-    n = sum(5 if c in " \t\n\r\f\v" else 100 if re.match("[一-鿿぀-ヿ가-힣]", c) else 38 if re.match("[Ͱ-ϿЀ-ӿ]", c) and c.isalpha() else 30 if c.isalpha() or c.isdecimal() else 100 if ord(c) > 0xFFFF else 45 for c in t)
+    n = sum(5 if c in " \t\n\r\f\v" else 100 if re.match("[一-鿿぀-ヿ가-힣]", c) else 38 if re.match("[Ͱ-ϿЀ-ӿ]", c) and c.isalpha() else 30 if c.isalpha() or c.isdecimal() else 100 if ord(c) > 0xFFFF or unicodedata.category(c) == "So" else 45 for c in t)
     return max(1, -(-n * 105 // 10000))
 
 
