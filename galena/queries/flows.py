@@ -78,3 +78,21 @@ FROM (SELECT p_partkey, lower(string_split(p_type, ' ')[1]) AS w FROM part)""")
 def lemma(spark: SparkSession, d: str) -> DataFrame:
     word = F.lower(F.split("p_type", " ")[0])
     return table(spark, d, "part").select("p_partkey", morphology.english_lemma(word).alias("lemma"))
+
+
+_CASES = " ".join(f"WHEN '{code}' THEN regexp_replace(w, '^(.{{{{4,}}}}?)({'|'.join(suffixes)})$', '\\1')" for code, suffixes in morphology.SUFFIXES.items())
+_CASES = _CASES.replace("{{", "{").replace("}}", "}")
+
+
+@query(rf"""WITH w AS (SELECT doc_id, lang, unnest(list_distinct(string_split(trim(regexp_replace(lower(text), '[^\p{{L}}\p{{N}}]+', ' ', 'g')), ' ')[1:5])) AS w FROM documents WHERE lang <> 'en'),
+a AS (SELECT doc_id, CASE lang WHEN 'de' THEN 'tr' WHEN 'es' THEN 'pt' WHEN 'fr' THEN 'it' END AS lang, w FROM w UNION ALL SELECT * FROM w)
+SELECT doc_id, lang, w AS word, CASE lang {_CASES} ELSE w END AS stem FROM a WHERE w <> ''""")
+def stem_words(spark: SparkSession, d: str) -> DataFrame:
+    """The first words of each document, stemmed in its language and in another one."""
+    from galena.functions import text
+
+    words = F.array_distinct(F.slice(F.split(text.lexical(F.col("text")), " "), 1, 5))
+    own = table(spark, d, "documents").filter("lang <> 'en'").select("doc_id", "lang", F.explode(words).alias("word")).filter("word <> ''")
+    other = F.when(F.col("lang") == "de", "tr").when(F.col("lang") == "es", "pt").when(F.col("lang") == "fr", "it")
+    both = own.withColumn("lang", other).unionByName(own)
+    return both.withColumn("stem", morphology.stem(F.col("word"), F.col("lang")))
