@@ -21,7 +21,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Suffix-array dedup: repeated strings go out of the texts; n_chars follows."""
+    """Suffix-array dedup: passages of fifty words that repeat go out of the texts; n_chars follows."""
     out = suffixes.clean(docs)
     return out.withColumn("n_chars", F.char_length("text").cast("long")).select(*docs.columns)
 
@@ -33,8 +33,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Byte-level BPE: token ids (packed, unsigned 32 bits, least byte first), and digests of them and of what they decode to."""
-    ids = bpe.encode(docs, tokenizer_path()).select("doc_id", "n_tokens", "ids")
-    both = bpe.decode(ids, tokenizer_path(), keep=("doc_id", "n_tokens", "ids"))
+    ids = bpe.encode(docs, tokenizer_path())
+    both = bpe.decode(ids, tokenizer_path(), "ids", ("doc_id", "n_tokens", "ids"), "offsets")
     return both.select("doc_id", "n_tokens", "ids", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

@@ -213,12 +213,13 @@ class Vocabulary:
         many = np.concatenate([[0], np.cumsum(np.fromiter(map(len, packed), np.int64, len(packed)) >> 2)])
         return ids, np.diff(many[np.searchsorted(starts, bounds)])
 
-    def decode(self, ids: np.ndarray) -> np.ndarray:
-        """The bytes of the ids."""
+    def decode(self, ids: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+        """The bytes of the ids. starts: where each one's bytes begin, if that is known."""
         lengths = self.lengths[ids]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ids) else 0
-        return self.flat[np.repeat(self.offsets[ids] - (ends - lengths), lengths) + np.arange(total)]
+        if starts is None:
+            starts = np.cumsum(lengths) - lengths
+        total = int(starts[-1] + lengths[-1]) if len(ids) else 0
+        return self.flat[np.repeat(self.offsets[ids] - starts, lengths) + np.arange(total)]
 
 
 class _Cache(dict):
@@ -287,8 +288,10 @@ def encode(df: DataFrame, ranks_path: str, text_col: str = "text", keep: tuple[s
     return out.withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
 
-def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """Decode packed ids: returns the columns `keep` and decoded (binary); null ids give no bytes."""
+def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", keep: tuple[str, ...] = ("doc_id",), offsets_col: str | None = None) -> DataFrame:
+    """Decode packed ids: returns the columns `keep` and decoded (binary); null ids give no bytes.
+
+    Offsets as encode returns them place each token's bytes; without them they follow one another."""
     small_batches(df.sparkSession)
     content = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     width = len(keep)
@@ -297,12 +300,19 @@ def decode(df: DataFrame, ranks_path: str, ids_col: str = "ids", keep: tuple[str
         words = vocabulary(content.value)
         for batch in slices(batches, width):
             data, bounds = _buffers(batch.column(width))
-            ids = np.frombuffer(data, np.uint32)
+            ids, first = np.frombuffer(data, np.uint32), bounds >> 2
             ends = np.concatenate([[0], np.cumsum(words.lengths[ids])])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:width], _binary(words.decode(ids), np.diff(ends[bounds >> 2]))], names=[*names, "decoded"])
+            sizes = np.diff(ends[first])
+            starts = None
+            if offsets_col is not None:
+                offsets = np.frombuffer(_buffers(batch.column(width + 1))[0], np.uint32)
+                if len(offsets) != len(ids):
+                    raise ValueError("ids and offsets differ in number")
+                starts = offsets.astype(np.int64) + np.repeat(np.cumsum(sizes) - sizes, np.diff(first))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:width], _binary(words.decode(ids, starts), sizes)], names=[*names, "decoded"])
 
     names = [f"k{i}" for i in range(width)]
-    source = df.select(*[df[c].alias(a) for c, a in zip(keep, names, strict=True)], df[ids_col].alias("t"))
+    source = df.select(*[df[c].alias(a) for c, a in zip(keep, names, strict=True)], df[ids_col].alias("t"), *([df[offsets_col].alias("o")] if offsets_col else []))
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:width]]
     return source.mapInArrow(run, ", ".join([*fields, "decoded binary"])).withColumnsRenamed(dict(zip(names, keep, strict=True)))
 
@@ -314,6 +324,6 @@ def unpacked(packed: bytes) -> list[int]:
 
 def digests(df: DataFrame, ranks_path: str, text_col: str = "text", id_col: str = "doc_id") -> DataFrame:
     """Per document: its number of ids, and SHA-256 of the packed ids and of what they decode to."""
-    ids = encode(df, ranks_path, text_col, (id_col,)).select(id_col, "n_tokens", "ids")
-    both = decode(ids, ranks_path, "ids", (id_col, "n_tokens", "ids"))
+    ids = encode(df, ranks_path, text_col, (id_col,))
+    both = decode(ids, ranks_path, "ids", (id_col, "n_tokens", "ids"), "offsets")
     return both.select(id_col, "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))

@@ -283,6 +283,6 @@ def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
 def clean(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """The documents, with all their columns, that score below the threshold; texts are not shuffled."""
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, "toxic", id_col, text_col))
-    rest = tuple(c for c in docs.columns if c != id_col)
-    out = scored(docs, id_col, text_col, lambda texts: model.value.score(texts), "galena_score double", rest)
-    return out.filter(F.col("galena_score") < threshold).select(*docs.columns)
+    whole = docs.select(F.col(text_col).alias("t"), F.struct(*docs.columns).alias("row"))
+    out = scored(whole, "row", "t", lambda texts: model.value.score(texts), "score double")
+    return out.filter(F.col("score") < threshold).select("row.*")
