@@ -189,14 +189,17 @@ def repeats(docs: DataFrame, depth: int, anchor: int, unit: Unit) -> DataFrame:
     discard(made)
     # Fourth: the suffixes themselves, told apart by the bytes beside the shared ones.
     mixed_bins = stored(kinds.groupBy("a", "bin").agg(F.count("*").alias("d")).filter("d > 1").select("a", "bin"), "mixed")
-    single = kinds.join(mixed_bins, ["a", "bin"], "left_semi").withColumn("j", F.explode(F.sequence("low", "high")))
+    # Stored before they expand: else the sums below would stay where the join has put a bin.
+    open_kinds = stored(kinds.join(mixed_bins, ["a", "bin"], "left_semi"), "open_kinds")
+    discard(kinds, mixed_bins)
+    single = open_kinds.withColumn("j", F.explode(F.sequence("low", "high")))
     before, behind = F.col("j") * WIDTH[unit], (BIN - 1 - F.col("j")) * WIDTH[unit]
     own = F.concat(F.substring("left", F.octet_length("left") - before + 1, before), F.substring("right", F.lit(1), behind))
     single = single.select("id", "mark", "a", "bin", "j", own.alias("own"), (F.col("alone") & (F.col("n") == 1)).alias("alone"), (F.col("place") - F.col("j")).alias("start"))
     twice = stored(single.groupBy("a", "bin", "j", "own").agg(F.count("*").alias("c")).filter("c > 1").select("a", "bin", "j", "own"), "twice")
     edges = single.filter("alone").join(twice, ["a", "bin", "j", "own"], "left_semi").select("id", "mark", "start", (F.col("start") + depth).alias("end"))
     edges = stored(edges, "edges")
-    discard(kinds, mixed_bins, twice)
+    discard(open_kinds, twice)
     return whole.union(equal).union(edges)
 
 
