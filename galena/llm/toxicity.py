@@ -15,14 +15,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import held_out, small_batches
+from galena.llm.common import held_out, slices, small_batches
 from galena.llm.learning import SAMPLE_ROWS, labelled_sample, scored
 
 #: Parts that the sample is counted in, least share and log odds of a lexicon entry, entries kept.
 PARTS, LEAST_ROWS, LEAST_SHARE, LEAST_ODDS, ENTRIES = 3, 3, 0.004, 2.0, 4000
 BEGINNINGS = (4, 5, 6)
 TREES, DEPTH, BINS, RATE, RIDGE = 80, 3, 32, 0.15, 4.0
-NEAR, THRESHOLD, CACHE = 5, 0.3, 1 << 18
+NEAR, THRESHOLD, CACHE = 5, 0.3, 1 << 17
 
 # Second-person words of the languages served, and signs that stand for letters.
 SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine euch ihr sie tu te toi ton ta tes vous votre vos tú ti usted ustedes vosotros".split())
@@ -60,7 +60,7 @@ def _counted(sample: DataFrame) -> DataFrame:
     """(term, part, toxic, other): documents of the sample that hold the term."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 0):
             found: dict[tuple[str, int], list[int]] = {}
             for text, y, lot in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 for term in terms(text):
@@ -255,7 +255,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = [Features(x) for x in by_part[:PARTS]]
-        for batch in batches:
+        for batch in slices(batches, 0):
             texts, lots = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             x = [made[lot % PARTS].of(t).tolist() for t, lot in zip(texts, lots, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float32())), batch.column(1), batch.column(2)], names=["x", "y", "lot"])
