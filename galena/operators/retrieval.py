@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -32,9 +33,15 @@ def words_of(text: str) -> set[str]:
     return set(_WORD.findall(text.lower()))
 
 
+@lru_cache(maxsize=1 << 16)
+def _trigrams_of_word(word: str) -> tuple[str, ...]:
+    padded = f"  {word} "
+    return tuple(padded[i : i + 3] for i in range(len(padded) - 2))
+
+
 def trigrams_of(text: str) -> set[str]:
     """The distinct trigrams of its words, each padded by two blanks in front and one behind."""
-    return {w[i : i + 3] for w in (f"  {w} " for w in words_of(text)) for i in range(len(w) - 2)}
+    return set().union(*map(_trigrams_of_word, words_of(text)))
 
 
 def similar_by_trigrams(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
