@@ -100,7 +100,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     listed = likely.groupBy("id", "mark").agg(F.collect_list(F.struct("first", "last", "template", "share")).alias("found"))
     listed = listed.select(F.col("id").alias("i"), F.col("mark").alias("m"), "found")
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("mark"))
-    rows = rows.join(listed, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select("id", words(F.col("text")).alias("ws"), "found")
+    # Documents with hits grow with the corpus: the same join at every size, never a broadcast.
+    rows = rows.hint("merge").join(listed.hint("merge"), F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")), "left").select("id", words(F.col("text")).alias("ws"), "found")
 
     def right(x: Column) -> Column:
         """Whether the words of a span are those of its template."""
