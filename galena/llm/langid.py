@@ -30,13 +30,15 @@ ORDER, DISCOUNT, SAMPLE_PER_LANGUAGE, LETTERS, REJECTED = 5, 0.75, 1500, 4096, 0
 APART, LEAST_APART, BROADCAST_LANGUAGES, SCALES = 5, 50, 10_000, tuple(2.0 ** (k / 4) for k in range(-16, 25))
 CACHE = 1 << 19
 # What counts as a word's sign but is no letter: numbers that are no decimal digits.
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("No", "Nl"))
-_WORD = re.compile(rf"[^\W\d_{_NUMBERS}]+")
+_NUMBERS = frozenset(c for c in map(chr, range(sys.maxunicode + 1)) if c.isnumeric() and unicodedata.category(c) in ("No", "Nl"))
+_WORD, _LETTERS = re.compile(r"[^\W\d_]+"), re.compile(rf"[^\W\d_{''.join(sorted(_NUMBERS))}]+")
 
 
 def words(text: str) -> list[str]:
-    """Runs of letters, in lower case."""
-    return _WORD.findall(text.lower())
+    """Runs of letters, in lower case. The exact pattern is slow and used where such numbers occur."""
+    text = text.lower()
+    plain = text.isascii() or _NUMBERS.isdisjoint(text)
+    return (_WORD if plain else _LETTERS).findall(text)
 
 
 def _laid_out(listed: list[str], order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
