@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 from collections.abc import Iterator
 
@@ -62,13 +63,24 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(name, str(BATCH_BYTES))
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def released() -> None:
+    """Give back memory at the start of a task: a worker is one process for many tasks, and what the
+    models and caches of earlier ones took would stay with it."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], at: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that column `at` holds about `size` bytes; one value may hold more. At the end
-    the worker, which other tasks use again, gives back what Arrow holds and no longer needs."""
+    """The batches cut so that column `at` holds about `size` bytes; one value may hold more."""
+    released()
     for batch in batches:
         sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
         group = np.cumsum(sizes, dtype=np.int64) // size
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
-    pa.default_memory_pool().release_unused()

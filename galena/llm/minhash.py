@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from galena.llm.common import small_batches, stored
+from galena.llm.common import released, small_batches, stored
 from galena.llm.components import components
 from galena.llm.rolling import Rolling, mixed
 
@@ -118,6 +118,7 @@ def sketch(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     bands), b0, b1, ... (a bit of each slot). A text without words, or null, has no shingles, and null set_id and keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for first, texts in _texts(batch, 1):
                 hashes, bounds = shingles(texts)
@@ -138,6 +139,7 @@ def _sets(df: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataF
     """The whole shingle sets of the wanted ids, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             for first, texts in _texts(batch, 1):
                 hashes, bounds = shingles(texts)
@@ -153,6 +155,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     kind = sets.schema["id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         for batch in batches:
             good = []
             for a, b in zip(batch.column(2), batch.column(3), strict=True):
