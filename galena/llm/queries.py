@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from galena.llm import bpe, conversations, decontamination, fingerprints, langid, licenses, minhash, quality, suffixes, toxicity
+from galena.llm import bpe, conversations, cuckoo, decontamination, fingerprints, langid, licenses, minhash, quality, suffixes, toxicity
 from galena.llm.common import table
 
 
@@ -56,6 +56,10 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cuckoo.duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_toxicity": op2_toxicity,
@@ -67,5 +71,6 @@ QUERIES = {
     "op8_language": op8_language,
     "op9_licenses": op9_licenses,
     "op10_quality": op10_quality,
+    "op11_exact_dedup": op11_exact_dedup,
 }
-SQL: dict[str, str] = {"op7_conversations": conversations.FORMATTED_SQL}
+SQL: dict[str, str] = {"op7_conversations": conversations.FORMATTED_SQL, "op11_exact_dedup": cuckoo.DUPLICATES_SQL}
