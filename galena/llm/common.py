@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -84,3 +85,45 @@ def slices(batches: Iterator[pa.RecordBatch], at: int, size: int = CHUNK_BYTES)
         cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
         for a, b in zip(cuts, cuts[1:], strict=False):
             yield batch.slice(a, b - a)
+
+
+def joined_sha256(df: DataFrame, key: str, order: list[str], separator: str) -> DataFrame:
+    """(key, n, flagged, sha256): for each key the SHA-256, in lowercase hex, of its strings `piece` in order
+    with a separator between them, how many there are, and for how many the column `flag` is true.
+
+    The pieces of a key are sorted into one task, which digests them as they stream by: however many there
+    are, it holds one batch. A null key is a key; pieces must not be null, a null flag is not true."""
+    comma = separator.encode()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, digest, n, flagged = None, None, 0, 0
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([key, pa.array([n], pa.int64()), pa.array([flagged], pa.int64()), pa.array([digest.hexdigest()])], names=["key", "n", "flagged", "sha256"])
+
+        for batch in batches:
+            keys, pieces, flags = batch.column(0), batch.column(1), pc.fill_null(batch.column(2), False)
+            rows = batch.num_rows
+            if not rows:
+                continue
+            before = keys.slice(0, 1) if digest is None else key
+            last = pa.concat_arrays([before, keys.slice(0, rows - 1)])
+            new = pc.or_(pc.fill_null(pc.not_equal(keys, last), False), pc.xor(pc.is_null(keys), pc.is_null(last))).to_numpy(zero_copy_only=False)
+            cuts = [0, *(c for c in np.flatnonzero(new).tolist() if c), rows]
+            for a, b in zip(cuts, cuts[1:], strict=False):
+                if digest is None or new[a]:
+                    if digest is not None:
+                        yield done()
+                    key, digest, n, flagged = keys.slice(a, 1), hashlib.sha256(), 0, 0
+                text = comma.join(pieces.slice(a, b - a).cast(pa.binary()).to_pylist())
+                digest.update(comma + text if n else text)
+                n += b - a
+                flagged += pc.sum(flags.slice(a, b - a)).as_py()
+        if digest is not None:
+            yield done()
+
+    flag = F.col("flag") if "flag" in df.columns else F.lit(False)
+    kind = df.schema[key].dataType.simpleString()
+    small_batches(df.sparkSession)
+    dealt = df.select(F.col(key).alias("key"), "piece", flag.alias("flag"), *order).repartition("key").sortWithinPartitions("key", *order)
+    return dealt.select("key", "piece", "flag").mapInArrow(run, f"key {kind}, n long, flagged long, sha256 string").withColumnRenamed("key", key)
