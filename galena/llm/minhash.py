@@ -295,6 +295,17 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, of which one stays for each group."""
-    stay = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("galena_id")).distinct()
-    return docs.join(stay, docs[id_col].eqNullSafe(stay["galena_id"]), "left_semi")
+    """The documents, with all their columns, of which one stays for each group.
+
+    Of rows that repeat an id (null included) and a text exactly one stays. Rows that share an id but not their text
+    are documents of their own: each stays if its group keeps that id."""
+    stay = near_duplicates(docs, id_col, text_col).filter("kept").select(F.col(id_col).alias("galena_kept_id")).distinct()
+    kept = docs.join(stay, docs[id_col].eqNullSafe(stay["galena_kept_id"]), "left_semi")
+    # Only rows that do repeat are gathered by id and text; copies meet in the tasks that read them first.
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    marked = kept.select(F.col(id_col).alias("id"), F.xxhash64(text).alias("mark"))
+    again = stored(marked.groupBy("id", "mark").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("id").alias("galena_kept_id"), F.col("mark").alias("galena_kept_mark")), "again")
+    if again.isEmpty():
+        return kept
+    same = kept[id_col].eqNullSafe(again["galena_kept_id"]) & (F.xxhash64(text) == again["galena_kept_mark"])
+    return kept.join(again, same, "left_anti").unionByName(kept.join(again, same, "left_semi").dropDuplicates([id_col, text_col]))

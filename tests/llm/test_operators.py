@@ -117,6 +117,14 @@ def test_minhash_finds_all_links(docs, none):
     assert minhash.near_duplicates(none).collect() == []
 
 
+def test_minhash_cleaning_keeps_one_of_repeated_rows(spark):
+    a, b = prose(80, 71), prose(80, 72)
+    rows = [(1, a), (1, a), (1, a), (2, a), (3, b), (4, "a few words"), (4, "a few words"), (4, "other words"), (None, b), (None, b), (5, None), (5, None), (6, ""), (6, "")]
+    frame = spark.createDataFrame([(*r, "k", 7) for r in rows], "doc_id long, text string, galena_id string, mark int").repartition(3)
+    left = sorted((str(r["doc_id"]), str(r["text"])) for r in minhash.clean(frame).collect())
+    assert left == sorted((str(i), str(t)) for i, t in {*rows} - {(2, a)})
+
+
 def test_minhash_finds_pairs_just_above_the_threshold(spark):
     """Pairs of 0.75 to 0.80: none may be lost."""
     r, rows, linked = random.Random(17), [], 0

@@ -29,6 +29,7 @@ def tables(spark, folder, n):
         rows.append((i, text, "en", f"s{i % 3}", len(text)))
         labels.append((i, 1, int("stupidfool" in text)))
     rows += [(n, None, None, None, None), (n + 1, "", "en", "s", 0), (n + 2, "one two", "en", "s", 7), (n + 3, prose(30000, 77), "en", "s", None)]
+    rows += [rows[8], rows[8], rows[9], rows[-1]]  # documents that arrive more than once
     spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([(1, ITEM)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
@@ -64,11 +65,20 @@ def test_pipeline(spark, tmp_path, n):
     words = {i: w for i, w in words.items() if "plums" not in " ".join(w)}
     vocabulary = bpe.vocabulary(bpe.read_ranks(tokenizer_path()))
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=vocabulary.ranks, special_tokens={})
-    out = {r["doc_id"]: r for r in pipeline.run(spark, folder).collect()}
-    assert set(out) == set(words)
+    made = pipeline.run(spark, folder).collect()
+    out = {r["doc_id"]: r for r in made}
+    assert set(out) == set(words) and len(made) == len(out) and {8, 9} <= set(out)
     for i, w in words.items():
         text = library.decode(bpe.unpacked(out[i]["ids"]))
         assert text.split() == w and out[i]["n_tokens"] == len(library.encode_ordinary(text))
         assert out[i]["decoded_sha256"] == hashlib.sha256(text.encode()).hexdigest()
         if len(w) == len(repeated[i][0]):
             assert text == (texts[i] or "")
+
+
+def test_pipeline_on_empty_tables(spark, tmp_path):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert pipeline.run(spark, f"file://{tmp_path}").collect() == []
