@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import re
 from datetime import date
-from decimal import Decimal, InvalidOperation
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from galena.functions.quantities import POLICIES, parsed, shown
+
 CITATION = r"\[SOURCE (\d+)\]"
 
 
@@ -26,40 +27,9 @@ def without_invalid_citations(answer: Column, sources: Column) -> Column:
     return F.trim(F.aggregate(bad, answer, lambda acc, n: F.replace(acc, F.concat(F.lit("[SOURCE "), n, F.lit("]")), F.lit(""))))
 
 
-# Units and currencies with the name that they count under.
-UNITS = {"mg": "mg", "мг": "mg", "ml": "ml", "мл": "ml", "s": "s", "sec": "s", "seconds": "s", "сек": "s", "%": "%", "percent": "%", "usd": "USD", "$": "USD", "eur": "EUR", "€": "EUR", "kzt": "KZT", "₸": "KZT", "rub": "RUB", "₽": "RUB"}
-#: Decimal mark and group marks by language.
-_DOT, _COMMA, _COMMA_SPACE = (".", ","), (",", "."), (",", "  ")
-POLICIES = {"en": _DOT, "zh": _DOT, "de": _COMMA, "es": _COMMA, "pt": _COMMA, "it": _COMMA, "tr": _COMMA, "el": _COMMA, "kk": _COMMA_SPACE, "ru": _COMMA_SPACE, "fr": _COMMA_SPACE}
-_QUANTITY = re.compile(r"(?P<cur>[$€₸₽])?\s?(?P<num>\d+(?:[.,   ]?\d+)*)\s?(?P<unit>[%$€₸₽]|[^\W\d_]+)?")
-
-
-def _number(raw: str, language: str) -> Decimal | None:
-    """The value under the language's marks; null if they are used otherwise."""
-    policy = POLICIES.get(language)
-    if policy is None:
-        return Decimal(raw) if raw.isdigit() else None
-    decimal, groups = policy
-    whole, _, part = raw.partition(decimal)
-    if decimal in part or (part and not part.isdigit()):
-        return None
-    pieces = re.split(r"[" + re.escape(groups) + "  ]", whole)
-    if not all(p.isdigit() for p in pieces) or (len(pieces) > 1 and (any(len(p) != 3 for p in pieces[1:]) or not 1 <= len(pieces[0]) <= 3)):
-        return None
-    try:
-        return Decimal("".join(pieces) + (f".{part}" if part else ""))
-    except InvalidOperation:
-        return None
-
-
 def quantities(text: str, language: str) -> list[tuple[str | None, str]]:
-    """(value, unit) of a text's quantities in order; the value is null where its marks are ambiguous."""
-    out = []
-    for m in _QUANTITY.finditer(text or ""):
-        value = _number(m["num"], language)
-        unit = UNITS.get((m["cur"] or m["unit"] or "").lower(), "")
-        out.append((None if value is None else format(value.normalize(), "f"), unit))
-    return out
+    """(value, unit) of a text's quantities in order, in base units; the value is null where it is ambiguous."""
+    return [(shown(value), unit) for _, value, unit, _ in parsed(text or "", language)]
 
 
 _CLAIMS = T.ArrayType(T.StructType([T.StructField("value", T.StringType()), T.StructField("unit", T.StringType())]))
@@ -127,17 +97,15 @@ def dates(text: str, language: str) -> list[tuple[int, int, str | None]]:
 
 
 def claims(text: str | None, language: str) -> list[tuple[str | None, str, str]]:
-    """(value, unit, role) of a text's quantities and dates, in order; a date's unit is `date`. Marks of
-    citations are no claims."""
+    """(value, unit, role) of a text's quantities and dates, in order: values in base units, MIN or MAX for the
+    ends of a range and behind words that say so; a date's unit is `date`. Marks of citations are no claims."""
     plain = _CITED.sub(lambda m: " " * len(m[0]), text or "")
-    found = [(a, value, "date") for a, _, value in dates(plain, language)]
+    found = [(a, value, "date", "") for a, _, value in dates(plain, language)]
     masked = plain
     for a, b, _ in dates(plain, language):
         masked = masked[:a] + " " * (b - a) + masked[b:]
-    for m in _QUANTITY.finditer(masked):
-        value = _number(m["num"], language)
-        found.append((m.start("num"), None if value is None else format(value.normalize(), "f"), UNITS.get((m["cur"] or m["unit"] or "").lower(), "")))
-    return [(value, unit, _role(plain, at)) for at, value, unit in sorted(found, key=lambda x: x[0])]
+    found += [(at, shown(value), unit, bound) for at, value, unit, bound in parsed(masked, language)]
+    return [(value, unit, bound or _role(plain, at)) for at, value, unit, bound in sorted(found, key=lambda x: x[0])]
 
 
 def follows(wanted: list, there: list) -> bool:

@@ -14,6 +14,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from galena.operators.postings import term_lane
 from galena.operators.ranking import ranked, top_k
 
 #: Weight constant of reciprocal-rank fusion, and tiers of authority by lane (the least counts).
@@ -23,8 +24,6 @@ TIERS = {"IDENTIFIER": 0, "VECTOR": 2, "HYDE_VECTOR": 2, "LEXICAL": 2, "TRIGRAM"
 BROADCAST_NUMBERS = 4_000_000
 
 
-#: Bytes of query texts whose postings are broadcast at once; documents that are scored at once.
-BROADCAST_TEXT, SLICE = 16 << 20, 256
 _WORD = re.compile(r"[^\W_]+")
 
 
@@ -60,77 +59,6 @@ def lexical_lane(queries: DataFrame, documents: DataFrame, k: int | None, least:
     return term_lane(queries, documents, k, words_of, least=least)
 
 
-def term_lane(queries: DataFrame, rows: DataFrame, k: int | None, terms, score=lambda shared, nq, nr: shared / nq, least: float = 0.0) -> DataFrame:
-    """Texts (hit, text) scored against queries (query, text) by their shared terms.
-
-    Rows never move and no pair is made of a term that many texts hold: the postings of the queries
-    are broadcast, each task scores its texts against them and keeps the k best of every query.
-    Queries beyond BROADCAST_TEXT go in blocks of that size. Null texts have no terms."""
-    spark, kinds = rows.sparkSession, [d.schema[c].dataType.simpleString() for d, c in ((queries, "query"), (rows, "hit"))]
-    schema = f"query {kinds[0]}, hit {kinds[1]}, score double"
-    wanted = queries.select("query", F.coalesce("text", F.lit("")).alias("text"))
-    size = wanted.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"]
-    blocks = -(-(size or 0) // BROADCAST_TEXT)
-    out = spark.createDataFrame([], schema)
-    for b in range(blocks):
-        part = (wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).toArrow()
-        found = [terms(t) for t in part["text"].to_pylist()]
-        lists: dict[str, list[int]] = {}
-        for i, one in enumerate(found):
-            for t in one:
-                lists.setdefault(t, []).append(i)
-        held = spark.sparkContext.broadcast((part["query"].combine_chunks(), {t: np.array(x, np.int32) for t, x in lists.items()}, np.array([len(x) for x in found])))
-        source = rows.select("hit", F.coalesce("text", F.lit("")).alias("text"))
-        one_block = source.mapInArrow(_best_by_terms(held, k, terms, score, least), schema)
-        out = one_block if not b else out.unionByName(one_block)
-    if k is None:
-        return ranked(out, ["query"], [F.desc("score"), F.col("hit")])
-    return top_k(out, ["query"], [F.desc("score"), F.col("hit")], k)
-
-
-def _best_by_terms(held, k: int | None, terms, score, least: float):
-    def cut(query: np.ndarray, hit: pa.Array, value: np.ndarray) -> tuple:
-        """The k best of each query."""
-        place = np.argsort(np.argsort(hit.to_numpy(zero_copy_only=False), kind="stable"), kind="stable")
-        order = np.lexsort((place, -value, query))
-        starts = np.flatnonzero(np.diff(query[order], prepend=-1))
-        number = np.arange(len(order)) - np.repeat(starts, np.diff(np.append(starts, len(order))))
-        keep = order[number < k]
-        return query[keep], hit.take(pa.array(keep)), value[keep]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, postings, sizes = held.value
-        best = None
-        for batch in batches:
-            for at in range(0, batch.num_rows, SLICE):
-                part = batch.slice(at, SLICE)
-                queries, of, many = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], []
-                for i, text in enumerate(part.column(1).to_pylist()):
-                    found = terms(text)
-                    many.append(len(found))
-                    met = [postings[t] for t in found if t in postings]
-                    if met:
-                        shared = np.bincount(np.concatenate(met))
-                        queries.append(np.flatnonzero(shared))
-                        of.append(np.full(len(queries[-1]), i))
-                        queries[-1] = queries[-1] << 32 | shared[queries[-1]]
-                packed, row = np.concatenate(queries), np.concatenate(of)
-                query, shared = packed >> 32, packed & 0xFFFFFFFF
-                value = score(shared, sizes[query], np.array(many, np.int64)[row])
-                good = value >= least
-                now = query[good], part.column(0).take(pa.array(row[good])), value[good].astype(np.float64)
-                if k is None:
-                    yield pa.RecordBatch.from_arrays([names.take(pa.array(now[0])), now[1], pa.array(now[2])], names=["query", "hit", "score"])
-                    continue
-                if best is not None:
-                    now = np.concatenate([best[0], now[0]]), pa.concat_arrays([best[1], now[1]]), np.concatenate([best[2], now[2]])
-                best = cut(*now)
-        if best is not None:
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(best[0])), best[1], pa.array(best[2])], names=["query", "hit", "score"])
-
-    return run
-
-
 def overlapping(rows: DataFrame, key: str, tokens: str, least: int, share: float) -> DataFrame:
     """(a, b, n, overlap) of rows that share at least `least` tokens and this share of the smaller set.
 
@@ -167,34 +95,64 @@ def unit(vectors: pa.ListArray) -> np.ndarray:
 
 
 def vector_lane(queries: DataFrame, rows: DataFrame, k: int, threshold: float = -2.0, scope: str | None = None) -> DataFrame:
-    """Exact cosine search: (query, hit, score, rank). With a scope column, only rows of the
-    query's scope are searched.
+    """Exact cosine search: (query, hit, score, rank).
+
+    With a scope column, a query is answered only by rows of its scope, and its k best are the best among
+    those. Scopes are values, or arrays of strings of which one must be shared; a query whose array is null is
+    not restricted, and other nulls match nothing.
 
     Rows never move: each task keeps the k best of its batch for every query, and these are
     ranked. Queries are broadcast while they are few; beyond that they go in blocks of that size.
-    Vectors without a direction match nothing.
+    Vectors without a direction match nothing, nor do those of another length than most queries have.
     """
-    queries, rows = queries.filter(directed(F.col("vector"))), rows.filter(directed(F.col("vector")))
-    first = queries.select(F.size("vector").alias("d")).first()
+    queries = queries.filter(directed(F.col("vector"))).withColumn("_d", F.size("vector"))
     schema = f"query {queries.schema['query'].dataType.simpleString()}, hit {rows.schema['hit'].dataType.simpleString()}, score double"
-    if first is None:
+    lengths = queries.groupBy("_d").agg(F.count("*").alias("n")).orderBy(F.desc("n"), F.desc("_d")).first()
+    if lengths is None:
         return rows.sparkSession.createDataFrame([], f"{schema}, rank int")
-    per_block = max(1, BROADCAST_NUMBERS // max(1, first["d"]))
-    number = queries.count()
-    blocks = -(-number // per_block)
+    length, number = lengths["_d"], lengths["n"]
+    queries, rows = queries.filter(F.col("_d") == length), rows.filter((F.size("vector") == length) & directed(F.col("vector")))
+    blocks = -(-number // max(1, BROADCAST_NUMBERS // length))
     out = None
     for b in range(blocks):
         part = queries if blocks == 1 else queries.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)
         chosen = part.select("query", "vector", *([scope] if scope else [])).toArrow()
         if not chosen.num_rows:
             continue
-        held = rows.sparkSession.sparkContext.broadcast((chosen["query"].combine_chunks(), unit(chosen["vector"].combine_chunks()), chosen[scope].to_numpy() if scope else None))
-        found = rows.select("hit", "vector", *([scope] if scope else [])).mapInArrow(_nearest(held, k, threshold, scope is not None), schema)
+        held = rows.sparkSession.sparkContext.broadcast((chosen["query"].combine_chunks(), unit(chosen["vector"].combine_chunks()), Scopes(chosen[scope]) if scope else None))
+        found = rows.select("hit", "vector", *([scope] if scope else [])).mapInArrow(_nearest(held, k, threshold), schema)
         out = found if out is None else out.unionByName(found)
+    if out is None:
+        return rows.sparkSession.createDataFrame([], f"{schema}, rank int")
     return top_k(out, ["query"], [F.desc("score"), F.col("hit")], k)
 
 
-def _nearest(held, k: int, threshold: float, scoped: bool):
+class Scopes:
+    """Which queries a row may answer, by the values of a column."""
+
+    def __init__(self, column: pa.ChunkedArray):
+        self.listed = pa.types.is_list(column.type)
+        values = column.to_pylist()
+        self.free = np.array([self.listed and v is None for v in values], bool)
+        self.queries: dict = {}
+        for i, own in enumerate(values):
+            for v in (own or []) if self.listed else [] if own is None else [own]:
+                self.queries.setdefault(v, []).append(i)
+
+    def mask(self, column: pa.Array) -> np.ndarray:
+        """For each query and row, whether they may meet."""
+        out = np.repeat(self.free[:, None], len(column), axis=1)
+        at = column.value_parent_indices() if self.listed else pa.array(range(len(column)))
+        places: dict = {}
+        for row, v in zip(at.to_pylist(), (column.flatten() if self.listed else column).to_pylist(), strict=True):
+            if v in self.queries:
+                places.setdefault(v, []).append(row)
+        for v, own in places.items():
+            out[np.ix_(self.queries[v], own)] = True
+        return out
+
+
+def _nearest(held, k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, wanted, scopes = held.value
         for batch in batches:
@@ -203,8 +161,8 @@ def _nearest(held, k: int, threshold: float, scoped: bool):
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             have = unit(batch.column(1))
             score = np.round(wanted @ have.T, 6)
-            if scoped:
-                score[scopes[:, None] != batch.column(2).to_numpy(zero_copy_only=False)[None, :]] = -9.0
+            if scopes is not None:
+                score[~scopes.mask(batch.column(2))] = -9.0
             places = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
             order = np.lexsort((np.broadcast_to(places, score.shape), -score), axis=1)[:, :k]
             rows = np.repeat(np.arange(len(names)), order.shape[1])
@@ -250,16 +208,21 @@ def mutual(neighbours: DataFrame) -> DataFrame:
     return both.select(F.col("query").alias("u"), F.col("hit").alias("v"), F.col("score").alias("forward"), "backward", F.greatest("rank", "back_rank").alias("worst"))
 
 
+def tier(lane: Column) -> Column:
+    """The tier of authority of a lane; the least counts."""
+    out = F.lit(4)
+    for name, t in TIERS.items():
+        out = F.when(lane == name, t).otherwise(out)
+    return out
+
+
 def fused(hits: DataFrame, weights: dict[str, float] | None = None, k: int = FUSION_K) -> DataFrame:
     """Reciprocal-rank fusion of lanes (query, lane, hit, rank): (query, hit, tier, score, lanes,
     place). The tier of authority comes before the score."""
     weight = F.lit(1.0)
     for lane, w in (weights or {}).items():
         weight = F.when(F.col("lane") == lane, w).otherwise(weight)
-    tier = F.lit(4)
-    for lane, t in TIERS.items():
-        tier = F.when(F.col("lane") == lane, t).otherwise(tier)
-    out = hits.groupBy("query", "hit").agg(F.min(tier).alias("tier"), F.round(F.sum(weight / (k + F.col("rank"))), 9).alias("score"), F.count_distinct("lane").alias("lanes"))
+    out = hits.groupBy("query", "hit").agg(F.min(tier(F.col("lane"))).alias("tier"), F.round(F.sum(weight / (k + F.col("rank"))), 9).alias("score"), F.count_distinct("lane").alias("lanes"))
     return ranked(out, ["query"], [F.col("tier"), F.desc("score"), F.col("hit")], "place")
 
 

@@ -204,14 +204,43 @@ def outside_references(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "nation").select("n_nationkey", F.explode(found).alias("x")).select("n_nationkey", "x.type", "x.value")
 
 
+#: Concepts that turns and documents of these tables hold, by their phrases in two languages.
+_TOPICS = (("thing", "en", "things"), ("part.of", "en", "of the"), ("inside", "en", "in the"), ("part.of", "de", "von der"), ("inside", "de", "in der"), ("part.of", "fr", "de la"), ("inside", "fr", "dans le"), ("part.of", "es", "de la"))
+
+
+def _topics(spark: SparkSession) -> DataFrame:
+    return spark.range(1).select(F.inline(F.array(*[F.struct(*map(F.lit, t)) for t in _TOPICS]))).toDF("concept", "language", "phrase")
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "conversations").filter("role = 'user'").select(F.struct("conv_id", "turn").alias("query"), "text")
+
+
 @query()
 def planned_search(spark: SparkSession, d: str) -> DataFrame:
-    """Every part of the first user turns over documents, by lexical, vector and concept lanes."""
-    turns = table(spark, d, "conversations").filter("role = 'user' and turn <= 1").select(F.struct("conv_id", "turn").alias("query"), "text")
-    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("hit"), "text")
-    embedder = HashingEmbedder()
-    index = lanes.Index(docs, vectors=embedded(docs, embedder), embedder=embedder)
-    return lanes.searched(planner.planned(turns, "query", "text"), index, 5).select("query.conv_id", "query.turn", "part", "lane", "hit", "rank")
+    """Every part of every user turn over documents, by the lexical, vector and concept lanes that its plan has."""
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").alias("hit"), "text", "lang")
+    embedder, topics = HashingEmbedder(), F.broadcast(_topics(spark))
+    held = concepts.annotated(concepts.matched(docs.select("hit", F.col("lang").alias("language"), "text"), topics, "hit", "text"), "hit")
+    index = lanes.Index(docs.select("hit", "text"), concepts=held, surfaces=topics, vectors=embedded(docs.select("hit", "text"), embedder), embedder=embedder)
+    plans = planner.planned(_asked(spark, d), "query", "text", topics)
+    return lanes.searched(plans, index, 5).select("query.conv_id", "query.turn", "part", "lane", "hit", "rank")
+
+
+_WORDS = r"' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}]+', ' ', 'g')) || ' '"
+
+
+@query(f"""WITH t AS (SELECT conv_id, turn, {_WORDS} AS w FROM conversations WHERE role = 'user'),
+m AS (SELECT conv_id, turn, contains(w, ' of the ') AS a, contains(w, ' in the ') AS b, contains(w, ' things ') AS c, contains(w, ' thing ') OR contains(w, ' things ') AS l FROM t)
+SELECT conv_id, turn, CASE WHEN NOT (a OR b OR l) THEN 'GENERIC' WHEN (a OR b OR c) AND NOT (l AND NOT c) THEN 'CONCEPTUAL_EXACT' ELSE 'CONCEPTUAL_FUZZY' END AS kind FROM m""")
+def concept_plans(spark: SparkSession, d: str) -> DataFrame:
+    """The class of each user turn as a whole, by the English concepts that it holds word by word or by its lemmas.
+    Turns are taken as English, so that the class rests on the concepts alone."""
+    english = F.broadcast(_topics(spark).filter("language = 'en'"))
+    turns = _asked(spark, d).select("query", "text", F.lit("en").alias("language"))
+    found = concepts.analysed(turns, english)
+    kind = planner.query_class(F.lit(False), F.lit(True), F.col("confidence"), F.col("exact"))
+    return found.select("query.conv_id", "query.turn", kind.alias("kind"))
 
 
 @query()

@@ -38,6 +38,16 @@ def keyset_scan(spark: SparkSession, d: str) -> DataFrame:
     return S.keyset_page(table(spark, d, "events"), {"ts": "2024-01-15 00:00:00", "event_id": 0}, 100).select("event_id", "user_id", "event_type")
 
 
+@query("""SELECT l_orderkey AS document, year(l_shipdate) AS generation, l_linenumber AS chunk_index, row_number() OVER (PARTITION BY l_orderkey, year(l_shipdate) ORDER BY l_linenumber) AS ordinal
+FROM lineitem JOIN (SELECT l_orderkey AS o, max(year(l_shipdate)) AS g FROM lineitem GROUP BY 1) ON o = l_orderkey AND g = year(l_shipdate)""")
+def generation_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Orders are documents, the years of their lines generations: the lines of the newest one, in order."""
+    lines = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("document"), F.year("l_shipdate").cast("long").alias("generation"), F.col("l_linenumber").alias("chunk_index"))
+    newest = lines.groupBy("document").agg(F.max("generation").alias("generation"))
+    out = S.generation_scan(lines, newest, [F.col("chunk_index")])
+    return out.select("document", "generation", "chunk_index", F.col("ordinal").cast("long").alias("ordinal"))
+
+
 @query("""SELECT user_id, event_type, event_id, value FROM (
   SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
 def upsert_latest_wins(spark: SparkSession, d: str) -> DataFrame:

@@ -51,6 +51,24 @@ def lexical_topk(spark: SparkSession, d: str) -> DataFrame:
     return lexical_hits(spark, d).select("query", "hit", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+_IN = "CASE item_id % 4 WHEN 0 THEN NULL WHEN 1 THEN ['source:src' || item_id % 7] WHEN 2 THEN ['source:src' || item_id % 5, 'lang:de'] ELSE ['lang:en', 'source:none'] END"
+
+
+@query(f"""WITH q AS (SELECT item_id AS query, {_IN} AS scopes, len({_T}) AS n, unnest({_T}) AS t FROM benchmark), p AS (SELECT doc_id AS hit, ['source:' || source, 'lang:' || lang] AS within, unnest({_T}) AS t FROM documents)
+SELECT query, hit, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query ORDER BY score DESC, hit) AS rank FROM (
+  SELECT query, hit, count(*) / max(n) AS score FROM q JOIN p USING (t) WHERE scopes IS NULL OR list_has_any(scopes, within) GROUP BY query, hit)) WHERE rank <= 10""")
+def scoped_search(spark: SparkSession, d: str) -> DataFrame:
+    """Items asked of all documents, of one source, of a source or a language, or of a language: the ten best among these."""
+    k = F.col("item_id")
+    source = lambda n: F.concat(F.lit("source:src"), (k % n).cast("string"))
+    scopes = F.when(k % 4 == 1, F.array(source(7))).when(k % 4 == 2, F.array(source(5), F.lit("lang:de"))).when(k % 4 == 3, F.array(F.lit("lang:en"), F.lit("source:none")))
+    items = table(spark, d, "benchmark").select(k.alias("query"), "text", scopes.alias("scopes"))
+    within = F.array_compact(F.array(F.concat(F.lit("source:"), "source"), F.concat(F.lit("lang:"), "lang")))
+    docs = spread(table(spark, d, "documents").select(F.col("doc_id").alias("hit"), "text", within.alias("scopes")))
+    found = L.lexical_lane(items, docs, 10)
+    return found.select("query", "hit", F.round("score", 6).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query(f"WITH {_FUSED} SELECT query, hit, tier, lanes, score, place FROM fused WHERE place <= 5")
 def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     out = fused_hits(spark, d).filter("place <= 5")

@@ -36,6 +36,12 @@ def keyset_page(rows: DataFrame, after: dict[str, object], limit: int) -> DataFr
     return rows.filter(F.struct(*order) > mark).orderBy(*order).limit(limit)
 
 
+def generation_scan(rows: DataFrame, wanted: DataFrame, order: Sequence[Column]) -> DataFrame:
+    """The rows of the wanted (document, generation), each with its ordinal within its generation."""
+    met = rows.join(wanted.select("document", "generation").distinct(), ["document", "generation"], "left_semi")
+    return met.withColumn("ordinal", F.row_number().over(Window.partitionBy("document", "generation").orderBy(*order)))
+
+
 def latest(rows: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """One row per key, the first in the order (upsert: the latest wins)."""
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
