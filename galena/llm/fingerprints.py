@@ -28,6 +28,8 @@ CELLS, SEARCHES, SPARE, GROWTH, LARGEST = 48, 12, 32, 16, 3 << 55
 #: Code points of a paragraph's pieces at most; documents that one task orders; limit on the number
 #: of id ranges; digests of larger sketches that one task peels.
 PIECE, RANGE_ROWS, RANGES, TASK_DIGESTS = 240, 1000, 1 << 16, 100_000
+#: Texts of fewer code points have smaller pieces as well: half a text need not hold a paragraph.
+SHORT = 2 * PIECE
 
 
 def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -37,9 +39,18 @@ def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
 
 def digests(text: Column) -> Column:
     """Distinct digests of a text's paragraphs: lines, of which long ones are cut behind the last
-    sentence within PIECE code points, or there. The pieces joined are the text."""
+    sentence within PIECE code points, or there. The pieces joined are the text.
+
+    A text of fewer than SHORT code points also has digests of its pieces of two even sizes, an eighth of
+    its length to a quarter and half of that, as powers of two: a text and a version of at least half its
+    length have one of the sizes in common."""
     pieces = F.regexp_extract_all(text, F.lit(rf"[^\n]{{0,{PIECE - 1}}}[.!?][\t ]*\n*|[^\n]{{1,{PIECE}}}\n*|\n+"), F.lit(0))
-    return F.array_distinct(F.transform(pieces, lambda p: F.xxhash64(p)))
+    whole = F.transform(pieces, lambda p: F.xxhash64(p))
+    n = F.char_length(text)
+    step = F.pow(F.lit(2.0), F.floor(F.log2(F.greatest(n, F.lit(4)) / 4))).cast("int")
+    even = lambda p: F.transform(F.sequence(F.lit(0), F.floor((n - 1) / p).cast("int")), lambda i: F.xxhash64(F.substring(text, i * p + 1, p), p))
+    small = F.flatten(F.transform(F.array(step, F.greatest(F.lit(1), (step / 2).cast("int"))), even))
+    return F.array_distinct(F.when((n > 0) & (n < SHORT), F.concat(whole, small)).otherwise(whole))
 
 
 def _cell(digest: Column, third: int, cells: int | Column) -> Column:
@@ -174,25 +185,37 @@ def differences(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return out[0] if out else pairs.limit(0).select(*keys, F.lit(0).cast("long").alias("l"), F.lit(0).cast("long").alias("r"))
 
 
-def _in_ranges(docs: DataFrame, bounds: list, has_null: bool) -> DataFrame:
-    """Rows with their id range, and a second copy of each range's first rows for the range
-    before, so that every row meets the next one; the very first also follow the last."""
-    if len(bounds) > 1:
-        width = max(1, int(len(bounds) ** 0.5))
-        heads = bounds[::width]
-        head = F.size(F.filter(F.array(*map(F.lit, heads)), lambda x: x <= F.col("id"))) - 1
-        groups = F.array(*[F.array(*map(F.lit, bounds[i : i + width])) for i in range(0, len(bounds), width)])
-        inside = F.size(F.filter(F.get(groups, head), lambda x: x <= F.col("id"))) - 1
-        part = F.when(F.col("id").isNull() | (F.col("id") < F.lit(bounds[0])), 0).otherwise(head * width + inside)
-    else:
-        part = F.lit(0)
-    rows = docs.withColumn("own", part.cast("int"))
-    last = max(len(bounds) - 1, 0)
-    first = F.col("id").isNull() if has_null else F.col("id") == F.lit(bounds[0])
-    opens = (F.col("own") > 0) & (F.col("id") == F.get(F.get(groups, head), inside)) if len(bounds) > 1 else F.lit(False)
+def _range_of(value: Column, bounds: list) -> tuple[Column, Column]:
+    """The number of the range that a value is in, and whether it is the range's least value; bounds are these."""
+    if not bounds:
+        return F.lit(0), F.lit(False)
+    width = max(1, int(len(bounds) ** 0.5))
+    head = F.greatest(F.lit(0), F.size(F.filter(F.array(*map(F.lit, bounds[::width])), lambda x: x <= value)) - 1)
+    groups = F.array(*[F.array(*map(F.lit, bounds[i : i + width])) for i in range(0, len(bounds), width)])
+    inside = F.greatest(F.lit(0), F.size(F.filter(F.get(groups, head), lambda x: x <= value)) - 1)
+    return head * width + inside, value == F.get(F.get(groups, head), inside)
+
+
+def _in_ranges(docs: DataFrame, marks: list, bounds: list) -> DataFrame:
+    """Rows with their range, of the texts' hashes for null ids and of ids behind these, and a second copy
+    of each range's first rows for the range before, so that every row meets the next one; the very first
+    also follow the last."""
+    (by_mark, opens_mark), (by_id, opens_id) = _range_of(F.xxhash64("text"), marks), _range_of(F.col("id"), bounds)
+    null = F.col("id").isNull()
+    rows = docs.withColumn("own", F.when(null, by_mark).otherwise(len(marks) + by_id).cast("int")).withColumn("opens", F.when(null, opens_mark).otherwise(opens_id))
+    last = max(len(marks) + len(bounds) - 1, 0)
     none = F.lit(None).cast("int")
-    places = F.array(F.struct(F.col("own").alias("part"), F.lit(0).alias("extra")), F.struct(F.when(opens, F.col("own") - 1).otherwise(none).alias("part"), F.lit(1).alias("extra")), F.struct(F.when(first, F.lit(last)).otherwise(none).alias("part"), F.lit(2).alias("extra")))
-    return rows.withColumn("place", F.explode(F.filter(places, lambda p: p["part"].isNotNull()))).select("*", "place.part", "place.extra").drop("place", "own")
+    before, behind = F.when(F.col("opens") & (F.col("own") > 0), F.col("own") - 1).otherwise(none), F.when(F.col("opens") & (F.col("own") == 0), F.lit(last)).otherwise(none)
+    places = F.array(*[F.struct(part.alias("part"), F.lit(extra).alias("extra")) for extra, part in enumerate((F.col("own"), before, behind))])
+    return rows.withColumn("place", F.explode(F.filter(places, lambda p: p["part"].isNotNull()))).select("*", "place.part", "place.extra").drop("place", "own", "opens")
+
+
+def _bounds(keys: DataFrame, rows: int) -> list:
+    """The least keys (column k) of ranges of about RANGE_ROWS rows, RANGES at most."""
+    if not rows:
+        return []
+    dealt = keys.repartitionByRange(min(RANGES, math.ceil(rows / RANGE_ROWS)), "k")
+    return sorted({r["low"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min("k").alias("low")).collect()})
 
 
 def edited_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame | None:
@@ -206,10 +229,8 @@ def edited_versions(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     count = docs.agg(F.count("*").alias("n"), F.count("id").alias("filled")).first()
     if not count["n"]:
         return None
-    ranges = min(RANGES, max(1, math.ceil(count["n"] / RANGE_ROWS)))
-    dealt = docs.select("id").filter("id is not null").repartitionByRange(ranges, "id")
-    bounds = sorted({r["low"] for r in dealt.groupBy(F.spark_partition_id().alias("p")).agg(F.min("id").alias("low")).collect()})
-    rows = _in_ranges(docs, bounds, count["filled"] < count["n"]).withColumn("a", digests(F.col("text")))
+    marks = _bounds(docs.filter("id is null").select(F.xxhash64("text").alias("k")), count["n"] - count["filled"])
+    rows = _in_ranges(docs, marks, _bounds(docs.select(F.col("id").alias("k")).filter("k is not null"), count["filled"])).withColumn("a", digests(F.col("text")))
     order = Window.partitionBy("part").orderBy("extra", F.asc_nulls_first("id"), F.xxhash64("text"), "text")
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumns({"after": F.lead("text").over(order), "n": F.lead("a").over(order)}).filter("extra = 0").withColumn("n_chars", F.char_length("text").cast("long"))

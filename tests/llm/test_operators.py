@@ -9,6 +9,7 @@ import zlib
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from galena.llm import bpe, conversations, decontamination, fingerprints, langid, licenses, minhash, quality, suffixes, toxicity
 from galena.llm.queries import tokenizer_path
@@ -227,7 +228,11 @@ def test_suffixes_of_a_text_in_blocks(spark, monkeypatch):
 
 
 def pieces(t):
-    return set(re.findall(r"[^\n]{0,239}[.!?][\t ]*\n*|[^\n]{1,240}\n*|\n+", t))
+    out = set(re.findall(r"[^\n]{0,239}[.!?][\t ]*\n*|[^\n]{1,240}\n*|\n+", t))
+    if 0 < len(t) < 480:
+        step = 1 << (max(len(t), 4) // 4).bit_length() - 1
+        out |= {(p, t[i : i + p]) for p in (step, max(1, step // 2)) for i in range(0, len(t), p)}
+    return out
 
 
 def likeness(a, b):
@@ -258,6 +263,28 @@ def test_fingerprints_of_text_ids_in_several_ranges(spark, monkeypatch):
     fingerprints_are_right(rows, by_id(fingerprints.fingerprinted(frame)), rows)
 
 
+def test_fingerprints_of_null_ids_in_several_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_ROWS", 4)
+    texts = [prose(20 + i, 300 + i) for i in range(21)] + [None, "", "same", "same"]
+    frame = spark.createDataFrame([(None, t) for t in texts] + [(i, prose(9, i)) for i in range(9)], "doc_id long, text string").repartition(5)
+    marks = {r["text"]: r["m"] for r in frame.select("text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("m")).collect()}
+    order = sorted((t or "" for t in texts), key=lambda t: (marks[t], t)) + [prose(9, i) for i in range(9)]
+    want = []
+    for k, t in enumerate(order):
+        after = order[(k + 1) % len(order)]
+        want.append((len(t), hashlib.sha256((t[: len(t) - len(t) // 2] + after[: len(t) // 2]).encode()).hexdigest()))
+    assert sorted((r["n_chars"], r["edited_sha256"]) for r in fingerprints.fingerprinted(frame).collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 8, 17, 40, 85, 150, 239, 240, 300, 479, 480, 481, 700])
+def test_half_a_text_is_seen_at_every_length(spark, n):
+    rows = [(i, prose(300, 40 * n + i)[:m]) for i, m in enumerate((n, n, 3 * n, max(1, n // 3)))]
+    out = by_id(fingerprints.fingerprinted(spark.createDataFrame(rows, "doc_id long, text string")))
+    fingerprints_are_right(rows, out, rows)
+    if n >= 40:
+        assert all(out[i]["near_edited"] > out[i]["near_next"] for i in range(3))
+
+
 def cells_of(fingerprint):
     return [tuple(int(x, 16) - (int(x, 16) >> 63 << 64) for x in c.split(".")) for c in fingerprint.split("-")]
 
