@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from galena.functions import grounding
-from galena.operators import chunking, context
+from galena.operators import chunking, context, nearest
 from galena.operators import ranking as R
 from galena.operators import retrieval as L
 from galena.operators.graph import mutual_confidence
@@ -201,6 +201,29 @@ def mutual_knn(spark: SparkSession, d: str) -> DataFrame:
     return pairs.select("u", "v", F.round(mutual_confidence(F.col("forward"), F.col("backward"), F.col("worst"), 8), 9).alias("confidence"))
 
 
+def _enough(found: DataFrame, exact: DataFrame) -> DataFrame:
+    """(query, wanted, enough): how many hits a query should have, and whether 95 of 100 of all are found."""
+    per_query = nearest.recall(found, exact)
+    total = per_query.agg((F.sum("found") >= 0.95 * F.sum("wanted")).alias("enough"))
+    return per_query.crossJoin(total).select("query", "wanted", "enough")  # one row
+
+
+@query(f"WITH {_V} SELECT id AS query, least(5, (SELECT count(*) FROM v)) AS wanted, true AS enough FROM v WHERE id % 50 = 0")
+def ann_topk(spark: SparkSession, d: str) -> DataFrame:
+    """What the inverted file finds of the exact five nearest, in as many cells as its sample calls for."""
+    rows = _vectors(spark, d)
+    middle, probes = nearest.fitted(rows, 5)
+    return _enough(nearest.ann_lane(_vector_queries(spark, d), rows, middle, 5, probes), L.vector_lane(_vector_queries(spark, d), rows, 5))
+
+
+@query(f"WITH {_V}, s AS (SELECT label, count(*) - 1 AS n FROM v GROUP BY 1) SELECT id AS query, least(8, n) AS wanted, true AS enough FROM v JOIN s USING (label) WHERE n > 0")
+def ann_graph(spark: SparkSession, d: str) -> DataFrame:
+    """What the inverted file finds of the eight nearest others of every row within its label."""
+    rows = _vectors(spark, d)
+    middle, probes = nearest.fitted(rows, 8)
+    return _enough(nearest.ann_neighbours(rows, middle, 8, probes, "label"), L.nearest_in_scope(rows, "label", 8))
+
+
 @query()
 def chunk_documents(spark: SparkSession, d: str) -> DataFrame:
     return chunking.chunked(spread(table(spark, d, "documents")))

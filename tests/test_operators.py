@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from galena.functions import grounding, hashing, identifiers, text, tokens
-from galena.operators import chunking, concepts, context, discovery, graph, ingest, learning, lifecycle, postings, ranking, references, retrieval
+from galena.operators import chunking, concepts, context, discovery, graph, ingest, learning, lifecycle, nearest, postings, ranking, references, retrieval
 from galena.plans import ask, lanes, planner
 from galena.sources import lexicons, tables
 from galena.sources.embedders import HashingEmbedder, embedded
@@ -189,6 +189,36 @@ def test_scopes_restrict_before_the_cut(spark):
     assert {(x["query"], x["hit"]) for x in got.collect()} == {(1, 99), (2, 0), (2, 1)}
 
 
+def clustered(n, seed, length=16):
+    r = np.random.default_rng(seed)
+    middle = r.normal(size=(12, length)) * 3
+    return [(i, (middle[i % 12] + r.normal(size=length)).tolist(), i % 3) for i in range(n)]
+
+
+def test_inverted_file_finds_the_nearest(spark, monkeypatch):
+    data = clustered(900, 3)
+    frame = spark.createDataFrame(data + [(2000, None, 1), (2001, [0.0] * 16, 1), (2002, [1.0], 1), (2003, data[0][1], 0)], "hit long, vector array<double>, label int").repartition(3)
+    middle, probes = nearest.fitted(frame, 5)
+    asked = frame.filter("hit % 9 = 0").withColumnRenamed("hit", "query")
+    exact = retrieval.vector_lane(asked, frame, 5)
+    share = lambda found, of: nearest.recall(found, of).agg(F.sum("found") / F.sum("wanted")).first()[0]
+    found = nearest.ann_lane(asked, frame, middle, 5, probes)
+    assert probes < len(middle) / 2 and share(found, exact) >= 0.95
+    kept = nearest.in_cells(frame.select("hit", "vector"), middle)
+    assert sorted(map(tuple, nearest.ann_lane(asked, kept, middle, 5, probes).collect())) == sorted(map(tuple, found.collect()))
+    every = nearest.ann_lane(asked, frame, middle, 5, len(middle))
+    assert sorted(map(tuple, every.collect())) == sorted(map(tuple, exact.collect()))
+    # Cells in many blocks give the same; with all cells the result is exact.
+    others = retrieval.nearest_in_scope(frame.filter("hit < 2000 or hit = 2003"), "label", 4)
+    assert share(nearest.ann_neighbours(frame, middle, 4, probes, "label"), others) >= 0.95
+    whole = sorted(map(tuple, nearest.ann_neighbours(frame, middle, 4, len(middle), "label").collect()))
+    monkeypatch.setattr(nearest, "BLOCK", 7)
+    assert whole == sorted(map(tuple, nearest.ann_neighbours(frame, middle, 4, len(middle), "label").collect())) == sorted(map(tuple, others.collect()))
+    none = frame.limit(0)
+    middle, probes = nearest.fitted(none, 5)
+    assert nearest.ann_lane(asked, none, middle, 5, probes).collect() == [] == nearest.ann_neighbours(none, middle, 5, probes).collect()
+
+
 def test_vectors_of_another_length_match_nothing(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0]), (4, None), (5, [float("nan"), 1.0])], "hit int, vector array<double>")
     asked = rows.withColumnRenamed("hit", "query").union(spark.createDataFrame([(9, [0.5, 0.5])], "query int, vector array<double>"))
