@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from galena.functions import tokens as T
+from galena.sources.batches import bounded_batches, slices
 
 #: Estimated tokens of a chunk: least, aimed at, where a new unit opens a new chunk, never more; of a child.
 LEAST, TARGET, SOFT, HARD = 250, 550, 650, 900
@@ -87,9 +88,16 @@ class Measured:
 
     text: str
 
+    #: Stretches that are not cut unless they are longer than HARD.
+    whole: tuple[tuple[int, int], ...] = ()
+
     def __post_init__(self) -> None:
         self.sums = T.sums(self.text)
         self._ranks: np.ndarray | None = None
+        self.free = np.ones(len(self.text) + 1, bool)
+        for a, b in self.whole:
+            if self.tokens(a, b) <= HARD:
+                self.free[a + 1 : b] = False
 
     @property
     def ranks(self) -> np.ndarray:
@@ -111,18 +119,34 @@ class Measured:
         out = []
         while self.tokens(start, end) > budget:
             most = self._longest(start, budget)
-            cut = best_boundary(self.ranks, min(self._longest(start, least) + 1, most), most)
+            cut = self._cut(start, min(self._longest(start, least) + 1, most), most, end)
+            if cut >= end:
+                break
             out.append(trimmed(self.text, start, cut))
             start = trimmed(self.text, cut, end)[0]
         out.append((start, end))
         return [s for s in out if s[0] < s[1]]
 
+    def _cut(self, start: int, least: int, most: int, end: int) -> int:
+        """The best boundary within [least, most] that is in no whole stretch; else the nearest place before
+        that is in none, else the end of the stretch that begins where the piece does."""
+        places = np.flatnonzero(self.free[least : most + 1]) + least
+        if len(places) == most + 1 - least:
+            return best_boundary(self.ranks, least, most)
+        if len(places):
+            return int(places[self.ranks[places].argmax()])
+        before = np.flatnonzero(self.free[start + 1 : least])
+        if len(before):
+            return start + 1 + int(before[-1])
+        behind = np.flatnonzero(self.free[most + 1 : end])
+        return most + 1 + int(behind[0]) if len(behind) else end
+
     def halves(self, start: int, end: int, target: int, most: int, least: int) -> list[tuple[int, int]] | None:
         """Two pieces of at most `most` tokens, near the target, long enough and cut at a good
         boundary; null if there is no such cut."""
         places = np.arange(start + 1, end)
         left, right = ((self.sums[places] - self.sums[start]) * T.MARGIN / T.WHOLE, (self.sums[end] - self.sums[places]) * T.MARGIN / T.WHOLE)
-        fits = (left <= most) & (right <= most)
+        fits = (left <= most) & (right <= most) & self.free[places]
         if not fits.any():
             return None
         short = np.maximum(least - left, 0) + np.maximum(least - right, 0)
@@ -186,30 +210,67 @@ def grouped(measured: Measured, found: list[tuple[str, str, int, int]]) -> list[
     return out
 
 
-def chunks(text: str) -> list[tuple[int, int | None, str, str, str, int]]:
+def atomic_spans(text: str, found: list[tuple[str, str, int, int]], domain: str | None) -> list[tuple[int, int]]:
+    """The stretches of a text's units that stay whole: an exception with the unit right before it in its section,
+    which it restricts, and, in medicine, facts."""
+    out, last = [], ("", "", 0, 0)
+    if domain != "MEDICAL" and not _EXCEPTION.search(text.lower()):
+        return out
+    for section, kind, a, b in found:
+        name = unit_name(text[a:b], domain) if kind == "PARAGRAPH" or kind == "LIST_ITEM" else kind
+        if name == "EXCEPTION" and last[1] in EXCEPTED and last[0] == section:
+            out.append((last[2], b))
+        elif name in MEDICAL_FACTS:
+            out.append((a, b))
+        last = section, name, a, b
+    return out
+
+
+def joined_units(found: list[tuple[str, str, int, int]], whole: list[tuple[int, int]]) -> list[tuple[str, str, int, int]]:
+    """The units, those that a stretch spans joined to one, so that they come into one chunk."""
+    starts, out = dict(whole), []
+    for section, kind, a, b in found:
+        if out and b <= out[-1][3]:
+            continue
+        out.append((section, kind, a, starts.get(a, b)))
+    return out
+
+
+def chunks(text: str, domain: str | None = None) -> list[tuple[int, int | None, str, str, str, int]]:
     """(index, parent, role, section path, text, tokens): parents that are long have children, whose
-    indices follow all parents'."""
-    measured = Measured(text)
-    parents = [(path, " ".join(text[a:b] for a, b in held)) for path, held in grouped(measured, units(text))]
+    indices follow all parents'. Atomic stretches (see atomic_spans) are cut only where they are longer than HARD; a
+    child that holds one may be longer than CHILD_MOST."""
+    found = units(text)
+    whole = atomic_spans(text, found, domain)
+    measured = Measured(text, tuple(whole))
+    parents, spans = [], []
+    for path, held in grouped(measured, joined_units(found, whole)):
+        parents.append((path, " ".join(text[a:b] for a, b in held)))
+        at, inside = 0, []
+        for a, b in held:
+            inside += [(at + x - a, at + y - a) for x, y in whole if a <= x and y <= b] if whole else []
+            at += b - a + 1
+        spans.append(tuple(inside))
     sizes = [T.estimate(t) for _, t in parents]
     out = [(k, None, "PARENT" if n > CHILD_MOST else "STANDALONE", p, t, n) for k, ((p, t), n) in enumerate(zip(parents, sizes, strict=True))]
     for k, ((p, t), n) in enumerate(zip(parents, sizes, strict=True)):
         if n > CHILD_MOST:
-            body = Measured(t)
+            body = Measured(t, spans[k])
             for a, b in body.children():
                 out.append((len(out), k, "CHILD", p, t[a:b], body.tokens(a, b)))
     return out
 
 
-def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", domain_col: str | None = None) -> DataFrame:
     """Parents and children: id_col, chunk_index, parent_index, role, section_path, text, chunk_id,
-    tokens. Children follow their parents' greatest index. Null texts have no chunk."""
+    tokens. Children follow their parents' greatest index. Null texts have no chunk. Exceptions are not cut from what
+    they restrict, nor, where domain_col says MEDICAL, facts in two."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             at, rows = [], []
-            for i, body in enumerate(batch.column(1).to_pylist()):
-                made = chunks(body or "")
+            for i, (body, domain) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                made = chunks(body or "", domain)
                 rows.extend(made)
                 at.extend([i] * len(made))
             if rows:
@@ -217,7 +278,8 @@ def chunked(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                 ids = ["c2_" + hashlib.sha256(f"{len(p.encode())}:{p}{len(t.encode())}:{t}".encode()).hexdigest() for p, t in zip(cols[3], cols[4], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.int32()), pa.array(cols[2]), pa.array(cols[3]), pa.array(cols[4]), pa.array(ids), pa.array(cols[5], pa.int32())], names=["id", "chunk_index", "parent_index", "role", "section_path", "text", "chunk_id", "tokens"])
 
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    bounded_batches(docs.sparkSession)
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"), (F.col(domain_col) if domain_col else F.lit(None)).cast("string").alias("d"))
     out = source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, chunk_index int, parent_index int, role string, section_path string, text string, chunk_id string, tokens int")
     return out.withColumnRenamed("id", id_col)
 
@@ -226,12 +288,13 @@ def document_units(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """(id_col, position, section_path, kind, text): the units of each document in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows = [(i, k, path, kind, body[a:b]) for i, body in enumerate(batch.column(1).to_pylist()) if body for k, (path, kind, a, b) in enumerate(units(body))]
             if rows:
                 at, k, path, kind, text = zip(*rows, strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(k, pa.int32()), pa.array(path), pa.array(kind), pa.array(text)], names=["id", "position", "section_path", "kind", "text"])
 
+    bounded_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, position int, section_path string, kind string, text string").withColumnRenamed("id", id_col)
 
@@ -291,3 +354,13 @@ def unit_class(text: Column, domain: Column) -> Column:
         test = F.lower(text).rlike(rule)
         out = F.when(test & (domain == "MEDICAL") if medical else test, name).otherwise(out)
     return out
+
+
+_EXCEPTION = re.compile(next(rule for name, _, rule in UNIT_RULES if name == "EXCEPTION"))
+_RULES = tuple((name, medical, re.compile(rule)) for name, medical, rule in UNIT_RULES)
+
+
+def unit_name(text: str, domain: str | None) -> str:
+    """The class of one unit, as unit_class() has it."""
+    low = text.lower()
+    return next((name for name, medical, rule in _RULES if (domain == "MEDICAL" or not medical) and rule.search(low)), "PARAGRAPH")

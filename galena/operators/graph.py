@@ -115,3 +115,16 @@ def co_citations(context: DataFrame, limit: int = 32) -> DataFrame:
     right = first.select("request", F.col("chunk").alias("v"), F.col("cited").alias("cv"), F.col("fused").alias("fv"))
     pairs = left.join(right, "request").filter("u < v and (cu or cv)")
     return top_k(pairs.withColumn("score", F.col("fu") + F.col("fv")), ["request"], [F.desc(F.col("cu") & F.col("cv")), F.desc("score"), F.col("u"), F.col("v")], limit).select("request", "u", "v", "rank")
+
+
+def context_pairs(rows: DataFrame, request: str, item: str, order: list[Column], most: int = 8) -> DataFrame:
+    """(request, u, v), u < v: the pairs of the first `most` distinct items of each request.
+
+    A request is cut to its first items before it moves, so that one of any length costs what the bound allows: at
+    most most * (most - 1) / 2 pairs, made inside its row and not by a join. Null items are left out."""
+    first = rows.filter(F.col(item).isNotNull()).withColumn("_at", F.struct(*[c.alias(f"o{i}") for i, c in enumerate(order)]))
+    once = first.groupBy(request, item).agg(F.min("_at").alias("_at"))
+    kept = top_k(once, [request], [F.col("_at"), F.col(item)], most)
+    lists = kept.groupBy(request).agg(F.array_sort(F.collect_list(item)).alias("_items"))
+    pairs = F.flatten(F.transform("_items", lambda u, i: F.transform(F.filter("_items", lambda v, j: j > i), lambda v: F.struct(u.alias("u"), v.alias("v")))))
+    return lists.select(request, F.explode(pairs).alias("p")).select(request, "p.u", "p.v")

@@ -13,6 +13,7 @@ from galena.functions import hashing, identifiers, text
 from galena.operators import chunking, concepts, references
 from galena.operators.lifecycle import count_differences
 from galena.sources.embedders import Embedder, embedded
+from galena.sources.shared import stored
 
 #: A submitted document, version 1.
 CANONICAL = "version int, documentId string, title string, language string, domain string, accessLevel bigint, metadata map<string,string>, blocks array<struct<type:string,level:int,text:string,page:int>>"
@@ -73,7 +74,7 @@ def enriched(chunks: DataFrame, surfaces: DataFrame | None = None) -> DataFrame:
     none = F.array().cast("array<string>")
     if surfaces is None:
         return out.withColumn("concepts", none)
-    keyed = out.withColumn("_key", F.struct("document", "chunk"))
+    keyed = out.withColumn("_key", F.struct("document", *["generation"] * ("generation" in out.columns), "chunk"))
     found = concepts.annotated(concepts.matched(keyed.select("_key", "language", "text"), surfaces, "_key", "text"), "_key")
     return keyed.join(found, "_key", "left").withColumn("concepts", F.coalesce("concepts", none)).drop("_key")
 
@@ -94,9 +95,40 @@ def assembled(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     return embedded(rows, embedder, "content")
 
 
+def claimed(docs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Of documents (document, title, language, domain, access_level, text, perhaps seq) each distinct content once,
+    with its fingerprint and generation, and the claims on contents.
+
+    claims: document, fingerprint, generation, requests, status. Contents of a document are numbered behind its
+    greatest generation in `known` (document_id, generation, perhaps fingerprint) in order of their first seq, then
+    fingerprint; the last is CURRENT, those before it are SUPERSEDED. A content whose fingerprint is known is a
+    REPLAY under its old generation and is not returned again. Only documents that occur more than once move."""
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "language", "domain", "access_level", "text")]
+    keyed = docs.withColumn("fingerprint", hashing.content_id("f1_", *parts))
+    seq = F.min("seq") if "seq" in docs.columns else F.lit(0)
+    contents = keyed.groupBy("document", "fingerprint").agg(F.count("*").alias("requests"), seq.alias("_at"))
+    old = None
+    if known is not None:
+        old = known.select(F.col("document_id").alias("document"), "generation", (F.col("fingerprint") if "fingerprint" in known.columns else F.lit(None).cast("string")).alias("fingerprint"))
+        replayed = old.filter("fingerprint is not null").groupBy("document", "fingerprint").agg(F.max("generation").alias("_old"))
+        contents = contents.join(replayed, ["document", "fingerprint"], "left").join(old.groupBy("document").agg(F.max("generation").alias("_last")), "document", "left")
+    else:
+        contents = contents.withColumns({"_old": F.lit(None).cast("long"), "_last": F.lit(None).cast("long")})
+    new, by = F.col("_old").isNull(), Window.partitionBy("document")
+    number = F.sum(new.cast("long")).over(by.orderBy("_at", "fingerprint").rowsBetween(Window.unboundedPreceding, 0))
+    newest = F.max("_n").over(by)
+    claims = contents.withColumn("_n", number)
+    status = F.when(~new, "REPLAY").when(F.col("_n") == newest, "CURRENT").otherwise("SUPERSEDED")
+    claims = claims.select("document", "fingerprint", F.coalesce("_old", F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("long").alias("generation"), "requests", status.alias("status"))
+    often = keyed.groupBy("document").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("document")
+    once = keyed.join(often, "document", "left_anti").unionByName(keyed.join(often, "document", "left_semi").dropDuplicates(["document", "fingerprint"]))
+    fresh = claims.filter("status <> 'REPLAY'").select("document", "fingerprint", "generation", "status")
+    return once.join(fresh, ["document", "fingerprint"]), claims
+
+
 @dataclass
 class Ingested:
-    """Tables that an ingestion adds: what is searched, and the rows of its generation."""
+    """Tables that an ingestion adds: what is searched, the rows of its generations, and the claims on contents."""
 
     chunks: DataFrame
     identifiers: DataFrame
@@ -104,32 +136,34 @@ class Ingested:
     edges: DataFrame
     vectors: DataFrame
     generations: DataFrame
+    claims: DataFrame
 
 
 def ingested(docs: DataFrame, embedder: Embedder, known: DataFrame | None = None, surfaces: DataFrame | None = None) -> Ingested:
-    """The whole way for documents (document, title, language, domain, access_level, text).
-
-    A document's generation follows its greatest one in `known` (document_id, generation). It is
-    PUBLISHED if it has chunks and every searchable chunk has its vector, else FAILED. Nothing is
-    run here; the caller writes the tables, the generations last."""
-    numbered = docs.withColumn("generation", F.lit(1).cast("long"))
-    if known is not None:
-        last = known.groupBy(F.col("document_id").alias("document")).agg(F.max("generation").alias("_last"))
-        numbered = docs.join(last, "document", "left").withColumn("generation", (F.coalesce("_last", F.lit(0)) + 1).cast("long")).drop("_last")
-    heads = numbered.select("document", "title", "language", "domain", "access_level", "generation")
-    cut = chunking.chunked(numbered.select("document", "text"), "document").withColumnRenamed("chunk_id", "chunk")
+    """The whole way for documents (document, title, language, domain, access_level, text, perhaps seq).
+
+    Each distinct content of a document is one generation, see claimed(): a document that comes twice with one content
+    is chunked once. The newest is PUBLISHED if it has chunks and every searchable chunk has its vector, else FAILED;
+    older ones of the batch are SUPERSEDED. The contents are stored in the shared folder; the rest is run by the caller,
+    who writes the tables, the generations last."""
+    contents, claims = claimed(docs, known)
+    contents = stored(contents, "contents")
+    key = ["document", "generation"]
+    heads = contents.select(*key, "title", "language", "domain", "access_level", "status", "fingerprint")
+    cut = chunking.chunked(contents.select(F.struct(*key).alias("id"), "text", "domain"), "id", domain_col="domain").withColumnRenamed("chunk_id", "chunk").select("id.*", "*").drop("id")
     # The place is part of a chunk's name, as a document can hold a text twice.
-    cut = cut.withColumn("chunk", F.concat_ws("-", "chunk", "chunk_index")).join(heads, "document")
+    cut = cut.withColumn("chunk", F.concat_ws("-", "chunk", "chunk_index")).join(heads.drop("status", "fingerprint"), key)
     rich = enriched(cut, surfaces)
     vectors = assembled(rich, embedder)
-    found = rich.select("access_level", "document", "generation", "chunk", F.explode("identifiers").alias("x")).select("access_level", "document", "generation", "chunk", "x.*")
-    wanted = searchable(cut).groupBy("document").agg(F.count("*").alias("expected"))
-    wrong = count_differences(wanted, vectors.groupBy("document").agg(F.count("*").alias("stored")), "document").select("document", F.lit(True).alias("_wrong"))
-    counts = cut.groupBy("document").agg(F.count("*").alias("chunk_count"))
-    status = F.when(F.col("chunk_count").isNull() | F.col("_wrong"), "FAILED").otherwise("PUBLISHED")
-    generations = heads.join(counts, "document", "left").join(wrong, "document", "left").select(F.col("document").alias("document_id"), "generation", "access_level", status.alias("generation_status"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(embedder.profile).alias("profile"))
+    found = rich.select("access_level", *key, "chunk", F.explode("identifiers").alias("x")).select("access_level", *key, "chunk", "x.*")
+    both = F.struct(*key).alias("_both")
+    wanted = searchable(cut).groupBy(both).agg(F.count("*").alias("expected"))
+    wrong = count_differences(wanted, vectors.groupBy(both).agg(F.count("*").alias("stored")), "_both").select("_both.*", F.lit(True).alias("_wrong"))
+    counts = cut.groupBy(*key).agg(F.count("*").alias("chunk_count"))
+    status = F.when(F.col("chunk_count").isNull() | F.col("_wrong"), "FAILED").when(F.col("status") == "SUPERSEDED", "SUPERSEDED").otherwise("PUBLISHED")
+    generations = heads.join(counts, key, "left").join(wrong, key, "left").select(F.col("document").alias("document_id"), "generation", "access_level", status.alias("generation_status"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(embedder.profile).alias("profile"), "fingerprint")
     body = cut.filter("role <> 'CHILD'").select("document", "chunk", "text")
-    return Ingested(rich, found, references.anchors(body), references.edges(body), vectors, generations)
+    return Ingested(rich, found, references.anchors(body), references.edges(body), vectors, generations, claims)
 
 
 def admitted(requests: DataFrame, most: int) -> DataFrame:

@@ -32,6 +32,14 @@ def pair_mining(spark: SparkSession, d: str) -> DataFrame:
     return bought_together(spark, d)
 
 
+@query("""WITH f AS (SELECT l_orderkey, l_partkey, min(l_linenumber) AS n FROM lineitem GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY n, l_partkey) AS r FROM f QUALIFY r <= 4)
+SELECT a.l_partkey AS u, b.l_partkey AS v, count(*) AS requests FROM k a JOIN k b ON a.l_orderkey = b.l_orderkey AND a.l_partkey < b.l_partkey GROUP BY 1, 2""")
+def bounded_pairs(spark: SparkSession, d: str) -> DataFrame:
+    """How many orders hold two parts among their first four."""
+    pairs = G.context_pairs(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", [F.col("l_linenumber")], 4)
+    return pairs.groupBy("u", "v").agg(F.count("*").alias("requests"))
+
+
 _SCORED = f"""{_PAIRS}, scored AS (SELECT *, greatest(0, least(1, (0.45 * (1 - exp(-support / 5.0)) + 0.20 * (1 - exp(-citations / 5.0)) + 0.35 * 0.8) * power(0.5, (age % 60) / 30.0))) AS w FROM pairs)"""
 
 
@@ -164,6 +172,15 @@ def leader_clusters(spark: SparkSession, d: str) -> DataFrame:
     return learning.leader_clusters(rows, "scope")
 
 
+@query("SELECT CAST(label AS BIGINT) AS scope, vec_id AS id, true AS inside FROM embeddings")
+def split_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Every row's cluster by folds of at most 200 rows; its leader is of its scope, and does not come behind it."""
+    rows = table(spark, d, "embeddings").select(F.col("label").cast("long").alias("scope"), F.col("vec_id").alias("id"), F.col("vec_id").alias("seq"), F.col("embedding").alias("vector"))
+    found = learning.split_clusters(rows, "scope", 200)
+    leaders = rows.select(F.col("id").alias("cluster"), F.col("scope").alias("own"))
+    return found.join(leaders, "cluster", "left").select("scope", "id", F.coalesce((F.col("own") == F.col("scope")) & (F.col("cluster") <= F.col("id")), F.lit(False)).alias("inside"))
+
+
 _C = "c AS (SELECT label, list(x ORDER BY dim) AS centroid, max(n) AS support FROM (SELECT label, dim, avg(x) AS x, count(*) AS n FROM (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS dim FROM embeddings) GROUP BY 1, 2) GROUP BY 1)"
 
 

@@ -376,6 +376,64 @@ def test_ingestion_end_to_end(spark):
     assert {(r["document"], r["value"]) for r in out.anchors.collect()} == {("b", "3")} and {r["value"] for r in out.edges.collect()} == {"3"}
 
 
+def test_repeated_documents_are_one_generation(spark):
+    row = lambda document, text, seq: (document, "T", "en", "GENERAL", 1, text, seq)
+    docs = [row("a", "one", 3), row("a", "one", 1), row("a", "two", 2), row("b", "x", 5), row("b", "x", 5), row("c", None, 1), row("c", None, 2), row("d", "old", 1), row("d", "new", 2)]
+    frame = spark.createDataFrame(docs, "document string, title string, language string, domain string, access_level long, text string, seq long")
+    first = ingest.claimed(frame.filter("document = 'd' and text = 'old'"))[1].first()
+    known = spark.createDataFrame([("a", 7, None), ("d", 4, first["fingerprint"]), ("d", 5, "other")], "document_id string, generation long, fingerprint string")
+    out = ingest.ingested(frame, HashingEmbedder(8), known)
+    got = sorted((r["document"], r["generation"], r["requests"], r["status"]) for r in out.claims.collect())
+    assert got == [("a", 8, 2, "SUPERSEDED"), ("a", 9, 1, "CURRENT"), ("b", 1, 2, "CURRENT"), ("c", 1, 2, "CURRENT"), ("d", 4, 1, "REPLAY"), ("d", 6, 1, "CURRENT")]
+    chunks = sorted((r["document"], r["generation"], r["text"]) for r in out.chunks.collect())
+    assert chunks == [("a", 8, "one"), ("a", 9, "two"), ("b", 1, "x"), ("d", 6, "new")]
+    assert sorted((r["document_id"], r["generation"], r["generation_status"], r["chunk_count"]) for r in out.generations.collect()) == [("a", 8, "SUPERSEDED", 1), ("a", 9, "PUBLISHED", 1), ("b", 1, "PUBLISHED", 1), ("c", 1, "FAILED", 0), ("d", 6, "PUBLISHED", 1)]
+    assert len({r["vector_id"] for r in out.vectors.collect()}) == 4
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_no_atomic_stretch_is_cut(seed):
+    r = random.Random(seed)
+    kinds = ["The dosage is {} mg a day with {}.", "Members must pay {} within {}.", "Except {} and {} nobody is free.", "Plain words {} about {}.", "Unless {} holds, {} follows."]
+    text = ""
+    for _ in range(r.randint(20, 90)):
+        words = lambda: " ".join(f"word{r.randrange(99)}" for _ in range(int(r.paretovariate(0.9)) % 260))  # noqa: E731, B023
+        text += ("# Head\n" if r.random() < 0.05 else "") + r.choice(kinds).format(words(), words()) + r.choice([" ", "\n"])
+    for domain in ("MEDICAL", "LEGAL"):
+        found = chunking.units(text)
+        whole = chunking.atomic_spans(text, found, domain)
+        made = chunking.chunks(text, domain)
+        assert whole and "".join("".join(c[4].split()) for c in made if c[2] != "CHILD") == "".join("".join(text[a:b].split()) for _, _, a, b in found)
+        parents = {c[1] for c in made if c[2] == "CHILD"}
+        shown = [c for c in made if c[2] != "PARENT"]
+        for a, b in whole:
+            if tokens.estimate(text[a:b]) <= chunking.HARD - 5:
+                assert any(text[a:b] in c[4] for c in shown), (domain, text[a:b][:80])
+        assert all(c[5] <= chunking.HARD for c in made) and all(k in parents for k, *_ in [c for c in made if c[2] == "PARENT"])
+        for k in parents:
+            assert "".join("".join(c[4].split()) for c in made if c[1] == k) == "".join(made[k][4].split())
+
+
+def test_contexts_cost_what_their_bound_allows(spark):
+    long = spark.range(100_000).select(F.lit(1).alias("r"), (F.col("id") % 50_000).alias("i"), F.col("id").alias("p"))
+    few = spark.createDataFrame([(2, 9, 1), (2, 9, 2), (2, 7, 3), (2, None, 4), (3, 1, 1)], "r int, i long, p long")
+    pairs = graph.context_pairs(long.unionByName(few), "r", "i", [F.col("p")], 4)
+    assert rows(pairs) == [(1, u, v) for u in range(4) for v in range(u + 1, 4)] + [(2, 7, 9)]
+
+
+def test_split_clusters_agree_with_one_fold(spark):
+    data = clustered(1200, 8)
+    frame = spark.createDataFrame([(s, i, i, v) for i, v, s in data] + [(0, 5000 + k, 5000 + k, data[0][1]) for k in range(300)], "scope int, id long, seq long, vector array<double>")
+    one = {r["id"]: r["cluster"] for r in learning.leader_clusters(frame, "scope").collect()}
+    made = learning.split_clusters(frame, "scope", 60)
+    many = {r["id"]: r["cluster"] for r in made.collect()}
+    assert set(one) == set(many) and all(many[i] == many[0] for i in many if i >= 5000)
+    r, ids = random.Random(1), sorted(one)
+    pairs = [r.sample(ids, 2) for _ in range(4000)]
+    assert sum((one[a] == one[b]) == (many[a] == many[b]) for a, b in pairs) / len(pairs) > 0.95
+    assert all(many[c] == c and c <= i for i, c in many.items())
+
+
 def test_embedders_are_checked(spark):
     class Short:
         profile, dimensions = "short", 8
