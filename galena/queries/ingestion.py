@@ -14,6 +14,7 @@ from galena.sources import tables as S
 from galena.sources.embedders import HashingEmbedder, embedded
 from galena.sources.shared import shared_path
 from galena.sources.tables import spread, table
+from galena.streaming import ingestion as stream_ingestion
 
 
 def _block(kind: str, text: Column, level: int | None = None) -> Column:
@@ -133,7 +134,11 @@ def atomic_units(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _submitted(spark: SparkSession, d: str) -> DataFrame:
-    return spread(table(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("document"), F.col("source").alias("title"), F.col("lang").alias("language"), F.lit("GENERAL").alias("domain"), (F.col("doc_id") % 4 + 1).alias("access_level"), "text")
+    return _as_submitted(spread(table(spark, d, "documents")))
+
+
+def _as_submitted(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("string").alias("document"), F.col("source").alias("title"), F.col("lang").alias("language"), F.lit("GENERAL").alias("domain"), (F.col("doc_id") % 4 + 1).alias("access_level"), "text")
 
 
 @query("SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(1 AS BIGINT) AS generation, doc_id % 4 + 1 AS access_level, CASE WHEN text IS NULL OR trim(text, chr(9) || chr(10) || chr(13) || ' ') = '' THEN 'FAILED' ELSE 'PUBLISHED' END AS generation_status FROM documents")
@@ -141,6 +146,14 @@ def ingest_generations(spark: SparkSession, d: str) -> DataFrame:
     return ingest.ingested(_submitted(spark, d), HashingEmbedder()).generations.select("document_id", "generation", "access_level", "generation_status")
 
 
+@query("SELECT CAST(doc_id AS VARCHAR) AS document_id, CAST(1 AS BIGINT) AS generation, doc_id % 4 + 1 AS access_level, CASE WHEN text IS NULL OR trim(text, chr(9) || chr(10) || chr(13) || ' ') = '' THEN 'FAILED' ELSE 'PUBLISHED' END AS generation_status FROM documents")
+def stream_ingest(spark: SparkSession, d: str) -> DataFrame:
+    """The same from a stream of the documents' part files, two files a batch."""
+    folder = shared_path(spark, "stream-ingest")
+    stream_ingestion.run(_as_submitted(stream_ingestion.parquet_stream(spark, d, "documents", 2)), folder, HashingEmbedder())
+    return stream_ingestion.current(spark, folder).select("document_id", "generation", "access_level", "generation_status")
+
+
 @query()
 def ingest_vectors(spark: SparkSession, d: str) -> DataFrame:
     return ingest.ingested(_submitted(spark, d), HashingEmbedder()).vectors.select("document", "chunk", "vector_id", "content", "vector")
