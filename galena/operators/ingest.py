@@ -144,8 +144,8 @@ def ingested(docs: DataFrame, embedder: Embedder, known: DataFrame | None = None
 
     Each distinct content of a document is one generation, see claimed(): a document that comes twice with one content
     is chunked once. The newest is PUBLISHED if it has chunks and every searchable chunk has its vector, else FAILED;
-    older ones of the batch are SUPERSEDED. The contents are stored in the shared folder; the rest is run by the caller,
-    who writes the tables, the generations last."""
+    older ones of the batch are SUPERSEDED. The contents and their chunks are stored in the shared
+    folder; the rest is run by the caller, who writes the tables, the generations last."""
     contents, claims = claimed(docs, known)
     contents = stored(contents, "contents")
     key = ["document", "generation"]
@@ -153,7 +153,7 @@ def ingested(docs: DataFrame, embedder: Embedder, known: DataFrame | None = None
     cut = chunking.chunked(contents.select(F.struct(*key).alias("id"), "text", "domain"), "id", domain_col="domain").withColumnRenamed("chunk_id", "chunk").select("id.*", "*").drop("id")
     # The place is part of a chunk's name, as a document can hold a text twice.
     cut = cut.withColumn("chunk", F.concat_ws("-", "chunk", "chunk_index")).join(heads.drop("status", "fingerprint"), key)
-    rich = enriched(cut, surfaces)
+    cut = rich = stored(enriched(cut, surfaces), "chunks")
     vectors = assembled(rich, embedder)
     found = rich.select("access_level", *key, "chunk", F.explode("identifiers").alias("x")).select("access_level", *key, "chunk", "x.*")
     both = F.struct(*key).alias("_both")

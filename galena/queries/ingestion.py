@@ -260,10 +260,10 @@ def context_revalidation(spark: SparkSession, d: str) -> DataFrame:
     return eligibility.revalidated(valid, live, projected).select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
-@query("""SELECT p_partkey, contains(' ' || lower(regexp_replace(p_type, '[^A-Za-z]+', ' ', 'g')) || ' ', ' steel ') AS steel, contains(' ' || lower(p_type) || ' ', ' stee ') AS cut, list_slice(list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: length(x) >= 3)), 1, 8) IS NOT NULL AS termed FROM part""")
+@query("""SELECT p_partkey, contains(' ' || lower(regexp_replace(p_type, '[^A-Za-z]+', ' ', 'g')) || ' ', ' steel ') AS steel, contains(' ' || lower(p_type) || ' ', ' stee ') AS cut, least(8, len(list_distinct(list_filter(string_split(lower(p_name || ' ' || p_type), ' '), lambda x: length(x) >= 3)))) AS termed FROM part""")
 def phrase_containment(spark: SparkSession, d: str) -> DataFrame:
     have = text.lexical(F.col("p_type"))
-    return table(spark, d, "part").select("p_partkey", text.contains_phrase(have, F.lit("steel")).alias("steel"), text.contains_phrase(have, F.lit("stee")).alias("cut"), (F.size(text.search_terms(F.concat_ws(" ", "p_name", "p_type"))) >= 0).alias("termed"))
+    return table(spark, d, "part").select("p_partkey", text.contains_phrase(have, F.lit("steel")).alias("steel"), text.contains_phrase(have, F.lit("stee")).alias("cut"), F.size(text.search_terms(F.concat_ws(" ", "p_name", "p_type"))).cast("long").alias("termed"))
 
 
 @query("""SELECT o_orderkey, list_aggregate(list_distinct(list_filter([regexp_replace(lower(x), '^[^a-z0-9]+|[^a-z0-9]+$', '', 'g') for x in string_split(o_orderpriority || ' ' || o_orderstatus || ' (urgent!) ' || 'ab', ' ')], lambda t: length(t) >= 3)), 'count') AS n FROM orders""")
@@ -299,12 +299,17 @@ def settings_fingerprint(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", learning.settings_fingerprint(settings).alias("fingerprint"))
 
 
-@query("SELECT doc_id FROM documents")
+_SECRET = "0123456789abcdef0123456789abcdef"
+_INNER, _OUTER = ("'" + "".join(f"\\x{b ^ pad:02X}" for b in _SECRET.encode().ljust(64, b"\0")) + "'::BLOB" for pad in (0x36, 0x5C))
+
+
+@query(f"""WITH f AS (SELECT doc_id, sha256({_OUTER} || unhex(sha256({_INNER} || encode(coalesce(text, ''))))) AS fingerprint FROM documents)
+SELECT doc_id, fingerprint, CAST(CAST('0x' || fingerprint[1:4] AS INT) % 256 AS BIGINT) AS bucket FROM f""")
 def keyed_fingerprints(spark: SparkSession, d: str) -> DataFrame:
-    """Texts whose keyed fingerprint has a bucket of the sketch; a test compares the fingerprints with a library."""
-    fingerprint = hashing.keyed_fingerprint("0123456789abcdef0123456789abcdef")
-    rows = table(spark, d, "documents").select("doc_id", hashing.sketch_bucket(fingerprint(F.coalesce("text", F.lit("")))).alias("bucket"))
-    return rows.filter("bucket between 0 and 255").select("doc_id")
+    """Keyed fingerprints of the texts, and their buckets of the sketch."""
+    fingerprint = hashing.keyed_fingerprint(_SECRET)
+    rows = table(spark, d, "documents").select("doc_id", fingerprint(F.coalesce("text", F.lit(""))).alias("fingerprint"))
+    return rows.withColumn("bucket", hashing.sketch_bucket(F.col("fingerprint")).cast("long"))
 
 
 @query()

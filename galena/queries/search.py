@@ -238,13 +238,13 @@ _MARK = "'[SOURCE ' || {} || ']'"
 _MARKS = " || ' and ' || ".join(_MARK.format(x) for x in ("o_orderkey % 6", "o_custkey % 5"))
 
 
-@query(f"""SELECT o_orderkey, list_distinct(list_filter([CAST(o_orderkey % 6 AS INT), CAST(o_custkey % 5 AS INT)], lambda x: x BETWEEN 1 AND 3))::VARCHAR IS NOT NULL AS found, len(list_distinct(list_filter([o_orderkey % 6, o_custkey % 5], lambda x: x BETWEEN 1 AND 3))) AS n,
+@query(f"""SELECT o_orderkey, array_to_string(list_sort(list_distinct(list_filter([CAST(o_orderkey % 6 AS INT), CAST(o_custkey % 5 AS INT)], lambda x: x BETWEEN 1 AND 3))), ',') AS found, len(list_distinct(list_filter([o_orderkey % 6, o_custkey % 5], lambda x: x BETWEEN 1 AND 3))) AS n,
   trim(list_reduce(list_prepend('See ' || {_MARKS} || '.', list_transform(list_filter(list_distinct([o_orderkey % 6, o_custkey % 5]), lambda x: x NOT BETWEEN 1 AND 3), lambda x: {_MARK.format('x')})), lambda t, m: replace(t, m, ''))) AS clean FROM orders""")
 def citations(spark: SparkSession, d: str) -> DataFrame:
     mark = lambda c: F.concat(F.lit("[SOURCE "), c.cast("string"), F.lit("]"))
     answer = F.concat(F.lit("See "), mark(F.col("o_orderkey") % 6), F.lit(" and "), mark(F.col("o_custkey") % 5), F.lit("."))
     cited = grounding.citations(answer, F.lit(3))
-    return table(spark, d, "orders").select("o_orderkey", cited.isNotNull().alias("found"), F.size(cited).cast("long").alias("n"), grounding.without_invalid_citations(answer, F.lit(3)).alias("clean"))
+    return table(spark, d, "orders").select("o_orderkey", F.array_join(F.array_sort(cited), ",").alias("found"), F.size(cited).cast("long").alias("n"), grounding.without_invalid_citations(answer, F.lit(3)).alias("clean"))
 
 
 @query("""SELECT o_orderkey, o_orderkey % 900 + 1 <> 7 OR o_orderkey % 3 <> 0 AS supported, false AS reversed, o_orderkey % 3 <> 0 AS partly FROM orders""")
