@@ -13,12 +13,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from galena.sources import batches
+from galena.sources.batches import bounded_batches as small_batches
 from galena.sources.shared import shared_path
 
 #: Rows whose crc32(id as text) leaves this remainder modulo FOLDS are never learned from.
 FOLDS, HELD_OUT = 4, 2
-#: Bytes of a batch that goes to a Python worker, and of texts that one works on at once.
-BATCH_BYTES, CHUNK_BYTES = 8 << 20, 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,15 +55,6 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound the batches that go to Python workers by BATCH_BYTES, unless the session bounds them lower.
-
-    Rows hold whole texts, and a batch is held by the task, the worker and its results at once."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not 0 < int(spark.conf.get(name).rstrip("b")) <= BATCH_BYTES:
-        spark.conf.set(name, str(BATCH_BYTES))
-
-
 _LIBC = ctypes.CDLL(None)
 
 
@@ -76,15 +67,10 @@ def released() -> None:
         _LIBC.malloc_trim(0)
 
 
-def slices(batches: Iterator[pa.RecordBatch], at: int, size: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
-    """The batches cut so that column `at` holds about `size` bytes; one value may hold more."""
+def slices(texts: Iterator[pa.RecordBatch], at: int, size: int = batches.CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches cut so that column `at` holds about `size` bytes, in a task that has given back memory before."""
     released()
-    for batch in batches:
-        sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
-        group = np.cumsum(sizes, dtype=np.int64) // size
-        cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows] if batch.num_rows else []
-        for a, b in zip(cuts, cuts[1:], strict=False):
-            yield batch.slice(a, b - a)
+    return batches.slices(texts, at, size)
 
 
 def joined_sha256(df: DataFrame, key: str, order: list[str], separator: str) -> DataFrame:
