@@ -259,7 +259,8 @@ def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     done = F.col("pe.peeled") & F.col("pn.peeled")
     listed = [F.when(~done, F.col(c)).alias(c) for c in "aen"]
     sizes = [F.size(c).cast("long").alias(f"n{c}") for c in "aen"]
-    rows = stored(tried.select(F.monotonically_increasing_id().alias("uid"), "id", "n_chars", "edited_sha256", written(F.col("sa")).alias("fingerprint"), written(F.col("se")).alias("edited_fingerprint"), "pe", "pn", *sizes, *listed), "fingerprints")
+    # Cells are stored as numbers, which take half the room of their text.
+    rows = stored(tried.select(F.monotonically_increasing_id().alias("uid"), "id", "n_chars", "edited_sha256", "sa", "se", "pe", "pn", *sizes, *listed), "fingerprints")
     failed = F.filter(F.array(*[F.when(~F.col(f"p{c}.peeled"), F.struct(F.lit(c).alias("pair"), F.col(c).alias("b"))) for c in "en"]), lambda x: x.isNotNull())
     pairs = rows.filter(~done).select("uid", "a", F.explode(failed).alias("x")).select("uid", "x.pair", "a", "x.b")
     found = differences(pairs, ["uid", "pair"]).groupBy("uid").agg(*[F.sum(F.when(F.col("pair") == c, F.col(k))).alias(f"{k}{c}") for c in "en" for k in "lr"])
@@ -271,7 +272,7 @@ def fingerprinted(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     def result(of: DataFrame, larger: bool) -> DataFrame:
         left = {c: F.when(F.col(f"p{c}.peeled"), F.col(f"p{c}.l")).otherwise(F.coalesce(F.col(f"l{c}"), F.lit(0))) if larger else F.col(f"p{c}.l") for c in "en"}
-        return of.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", near("e", left["e"]).alias("near_edited"), near("n", left["n"]).alias("near_next"))
+        return of.select(F.col("id").alias(id_col), "n_chars", "edited_sha256", written(F.col("sa")).alias("fingerprint"), written(F.col("se")).alias("edited_fingerprint"), near("e", left["e"]).alias("near_edited"), near("n", left["n"]).alias("near_next"))
 
     open_rows = rows.filter(~done).drop(*"aen").hint("merge").join(found.hint("merge"), "uid", "left")
     return result(rows.filter(done), False).union(result(open_rows, True))
