@@ -94,7 +94,7 @@ class Measured:
     def __post_init__(self) -> None:
         self.sums = T.sums(self.text)
         self._ranks: np.ndarray | None = None
-        self.free = np.ones(len(self.text) + 1, bool)
+        self.free = np.ones(len(self.text) + 1, bool) if self.whole else None
         for a, b in self.whole:
             if self.tokens(a, b) <= HARD:
                 self.free[a + 1 : b] = False
@@ -130,6 +130,8 @@ class Measured:
     def _cut(self, start: int, least: int, most: int, end: int) -> int:
         """The best boundary within [least, most] that is in no whole stretch; else the nearest place before
         that is in none, else the end of the stretch that begins where the piece does."""
+        if self.free is None:
+            return best_boundary(self.ranks, least, most)
         places = np.flatnonzero(self.free[least : most + 1]) + least
         if len(places) == most + 1 - least:
             return best_boundary(self.ranks, least, most)
@@ -146,7 +148,7 @@ class Measured:
         boundary; null if there is no such cut."""
         places = np.arange(start + 1, end)
         left, right = ((self.sums[places] - self.sums[start]) * T.MARGIN / T.WHOLE, (self.sums[end] - self.sums[places]) * T.MARGIN / T.WHOLE)
-        fits = (left <= most) & (right <= most) & self.free[places]
+        fits = (left <= most) & (right <= most) & (True if self.free is None else self.free[places])
         if not fits.any():
             return None
         short = np.maximum(least - left, 0) + np.maximum(least - right, 0)

@@ -83,7 +83,12 @@ class Best:
         met = [self.queries[self.bounds[i] : self.bounds[i + 1]] for i in ids]
         met = np.concatenate(met) if met else np.zeros(0, np.int64)
         self.weighed += len(met)
-        queries, counts = np.unique(met, return_counts=True)
+        if 8 * len(met) > len(self.sizes):
+            counts = np.bincount(met)
+            queries = np.flatnonzero(counts)
+            counts = counts[queries]
+        else:
+            queries, counts = np.unique(met, return_counts=True)
         look = np.flatnonzero(~self.direct[queries])
         if len(look):
             sizes = self.sizes[queries[look]]
