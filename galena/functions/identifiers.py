@@ -32,18 +32,18 @@ def _typed(kind: str):
     return lambda v: F.struct(F.lit(kind).alias("type"), v.alias("raw"), identifier(v).alias("normalized"))
 
 
-def extracted(text: Column) -> Column:
-    """array<struct(type, raw, normalized)> of all identifiers, by type."""
+def extracted(text: Column, types: dict[str, str] = TYPES) -> Column:
+    """array<struct(type, raw, normalized)> of all identifiers, by type; types has a pattern of the words of each."""
     found = []
-    for kind, words in TYPES.items():
+    for kind, words in types.items():
         raw = F.transform(F.regexp_extract_all(text, F.lit(_pattern(words)), F.lit(1)), lambda v: F.regexp_replace(v, r"[.,;:!?]+$", ""))
         found.append(F.transform(raw, _typed(kind)))
     return F.filter(F.concat(*found), lambda x: x["normalized"] != "")
 
 
-def without_identifiers(text: Column) -> Column:
+def without_identifiers(text: Column, types: dict[str, str] = TYPES) -> Column:
     """What a query means besides the identifiers that it names."""
-    return F.trim(F.aggregate(extracted(text), text, lambda acc, x: F.replace(acc, x["raw"], F.lit(""))))
+    return F.trim(F.aggregate(extracted(text, types), text, lambda acc, x: F.replace(acc, x["raw"], F.lit(""))))
 
 
 def matched(postings: DataFrame, wanted: DataFrame, mode: str) -> DataFrame:

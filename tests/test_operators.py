@@ -294,6 +294,20 @@ def test_named_documents_are_found_however_many_others_are_better(spark):
     assert len([h for q, _, h in found if q == "d"]) == 3
 
 
+def test_lanes_and_types_of_the_caller(spark):
+    docs = spark.createDataFrame([(1, "ticket no. T-5 was closed"), (2, "the dose is five")], "hit long, text string")
+    types = {**identifiers.TYPES, "TICKET_NUMBER": "ticket"}
+    held = docs.select("hit", F.explode(identifiers.extracted(F.col("text"), types)).alias("x")).select("hit", "x.type", "x.normalized")
+    asked = spark.createDataFrame([("a", "What about ticket no. T-5?"), ("b", "what is the dose")], "query string, text string")
+    plans = planner.planned(asked, "query", "text", types=types, more=["TITLE"])
+
+    def titles(parts, index, k):
+        return parts.crossJoin(index.documents.filter("hit = 2")).select("query", "hit", F.lit(1).alias("rank"))
+
+    found = {(r["query"], r["lane"], r["hit"]) for r in lanes.searched(plans, lanes.Index(docs, identifiers=held), 3, {"TITLE": titles}).collect()}
+    assert {("a", "IDENTIFIER", 1), ("a", "TITLE", 2), ("b", "TITLE", 2), ("b", "LEXICAL", 2)} <= found and ("a", "LEXICAL", 2) not in found
+
+
 def test_concepts_decide_the_plan(spark):
     surfaces = spark.createDataFrame([("dose", "en", "daily dose"), ("term", "en", "term of notice")], "concept string, language string, phrase string")
     asked = [("exact", "What is the daily dose?"), ("fuzzy", "Which daily doses are there?"), ("plain", "Where is the house?"), ("only", "order no. AB-7"), ("named", "What is the daily dose in order no. AB-7?"), ("other", "Where is the house in order no. AB-7?"), ("none", "12 34")]
