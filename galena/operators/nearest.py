@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from galena.operators.ranking import top_k
-from galena.operators.retrieval import BROADCAST_NUMBERS, directed, unit
+from galena.operators.retrieval import BROADCAST_NUMBERS, PAIRS, TILE, Nearest, directed, firsts, unit
 from galena.sources.batches import bounded_batches
 
 #: Vectors that centres are learned from, rounds of learning, queries or rows that meet in a task at once.
@@ -86,13 +86,14 @@ def in_cells(rows: DataFrame, middle: np.ndarray, probes: int = 1) -> DataFrame:
     bounded_batches(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            near = unit(batch.column(at)) @ held.value.T
-            order = np.argsort(-near, axis=1, kind="stable")[:, :probes].astype(np.int32)
-            bounds = np.arange(0, order.size + 1, order.shape[1], dtype=np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(order.ravel()))], names=[*names, "cells"])
+        step = max(1, TILE // max(1, len(held.value)))
+        for whole in batches:
+            for a in range(0, whole.num_rows, step):
+                batch = whole.slice(a, step)
+                near = unit(batch.column(at)) @ held.value.T
+                order = (np.argmax(near, axis=1)[:, None] if probes == 1 else np.argsort(-near, axis=1, kind="stable")[:, :probes]).astype(np.int32)
+                bounds = np.arange(0, order.size + 1, order.shape[1], dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(bounds), pa.array(order.ravel()))], names=[*names, "cells"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     return rows.mapInArrow(run, f"{schema}, cells array<int>")
@@ -102,21 +103,25 @@ def ann_lane(queries: DataFrame, rows: DataFrame, middle: np.ndarray, k: int, pr
     """(query, hit, score, rank): of the rows in a query's `probes` nearest cells the k most similar.
 
     rows may have a column `cells` already (an index that in_cells() made and a table keeps); otherwise it is made
-    here. Rows never move: a task scores each of its rows against the queries that look into its cell. Queries go in
-    blocks of BROADCAST_NUMBERS numbers, each of which reads the rows again."""
+    here. Rows never move: a task scores each of its rows against the queries that look into its cell, and keeps the k best
+    of each. Queries go in blocks of BROADCAST_NUMBERS numbers, each of which reads the rows again."""
     spark = rows.sparkSession
     placed = rows if "cells" in rows.columns else in_cells(rows.select("hit", "vector"), middle)
     asked = in_cells(queries.select("query", "vector"), middle, probes)
     schema = f"query {queries.schema['query'].dataType.simpleString()}, hit {rows.schema['hit'].dataType.simpleString()}, score double"
     number = queries.count() if len(middle) else 0
-    blocks = -(-number // max(1, BROADCAST_NUMBERS // max(1, middle.shape[1] if len(middle) else 1)))
+    # A query's numbers are its vector's and its cells.
+    blocks = -(-number // max(1, BROADCAST_NUMBERS // (middle.shape[1] + min(probes, len(middle)) if len(middle) else 1)))
     out = spark.createDataFrame([], schema)
     for b in range(blocks):
         chosen = (asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).toArrow()
         if not chosen.num_rows:
             continue
-        cells = np.array(chosen["cells"].to_pylist())
-        by_cell = {c: np.flatnonzero((cells == c).any(axis=1)) for c in np.unique(cells).tolist()}
+        cells = chosen["cells"].combine_chunks()
+        at, owner = cells.flatten().to_numpy(), cells.value_parent_indices().to_numpy().astype(np.int32)
+        order = np.argsort(at, kind="stable")
+        found, starts = np.unique(at[order], return_index=True)
+        by_cell = dict(zip(found.tolist(), np.split(owner[order], starts[1:]), strict=True))
         held = spark.sparkContext.broadcast((chosen["query"].combine_chunks(), unit(chosen["vector"].combine_chunks()), by_cell))
         # Cells that no query looks into are left out where the rows are read.
         some = placed.filter(F.get("cells", F.lit(0)).isin(*by_cell)) if len(by_cell) <= 1000 else placed
@@ -144,15 +149,22 @@ def _best(wanted: np.ndarray, have: np.ndarray, ids: pa.Array, own: list | None,
 def _in_batch(held, k: int, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, wanted, by_cell = held.value
-        for batch in batches:
-            cells = batch.column(2).to_numpy(zero_copy_only=False)
+        best = Nearest(wanted, k, threshold)
+        for whole in batches:
+            cells = whole.column(2).to_numpy(zero_copy_only=False)
             for c in np.unique(cells).tolist():
                 queries = by_cell.get(c)
                 if queries is None:
                     continue
-                part = batch.filter(pa.array(cells == c))
-                q, h, score = _best(wanted[queries], unit(part.column(1)), part.column(0), None, k, threshold)
-                yield pa.RecordBatch.from_arrays([names.take(pa.array(queries[q])), part.column(0).take(pa.array(h)), pa.array(score)], names=["query", "hit", "score"])
+                part = whole.filter(pa.array(cells == c))
+                have = unit(part.column(1))
+                some = firsts(have, part.column(0), k)
+                best.offer(queries, have[some], part.column(0).take(pa.array(some)))
+            best.cut()
+        if best.best is not None:
+            query, hit, score = best.best
+            for at in range(0, len(query), PAIRS):
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(query[at : at + PAIRS])), hit.slice(at, PAIRS), pa.array(score[at : at + PAIRS])], names=["query", "hit", "score"])
 
     return run
 

@@ -219,6 +219,32 @@ def test_inverted_file_finds_the_nearest(spark, monkeypatch):
     assert nearest.ann_lane(asked, none, middle, 5, probes).collect() == [] == nearest.ann_neighbours(none, middle, 5, probes).collect()
 
 
+def test_many_queries_are_scored_in_bounded_memory():
+    """Pairs of queries and rows never stand in memory at once; equal rows, ties and scopes leave the result exact."""
+    import tracemalloc
+
+    r = np.random.default_rng(5)
+    have = retrieval.unit(pa.array(np.vstack([r.normal(size=(2500, 8)), np.ones((1500, 8))]).tolist()))
+    wanted = have[np.arange(0, 4000, 2)].repeat(4, axis=0)
+    ids, scopes = pa.array(r.permutation(4000)), pa.array((np.arange(4000) % 3).tolist())
+    batches = [pa.RecordBatch.from_arrays([ids.slice(a, 1000), pa.array(have[a : a + 1000].tolist()), scopes.slice(a, 1000)], names=["hit", "vector", "scope"]) for a in range(0, 4000, 1000)]
+    own = np.arange(8000) % 3
+    held = type("Held", (), {"value": (pa.array(range(8000)), wanted, retrieval.Scopes(pa.chunked_array([own.tolist()])))})
+    tracemalloc.start()
+    got = pa.Table.from_batches(list(retrieval._nearest(held, 3, 0.1)(iter(batches))))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 8000 * 1000 * 8  # one batch's matrix of scores in double
+    found = {}
+    for q, h, s in zip(*(got[c].to_pylist() for c in ("query", "hit", "score")), strict=True):
+        found.setdefault(q, []).append((-s, h))
+    names = ids.to_numpy()
+    for q in range(0, 8000, 97):
+        score = np.round(have @ wanted[q], 6)
+        want = sorted((-s, h) for s, h, c in zip(score.tolist(), names.tolist(), scopes.to_pylist(), strict=True) if s >= 0.1 and c == own[q])[:3]
+        assert [h for _, h in sorted(found.get(q, []))[:3]] == [h for _, h in want]
+
+
 def test_vectors_of_another_length_match_nothing(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 0.0, 0.0]), (3, [1.0]), (4, None), (5, [float("nan"), 1.0])], "hit int, vector array<double>")
     asked = rows.withColumnRenamed("hit", "query").union(spark.createDataFrame([(9, [0.5, 0.5])], "query int, vector array<double>"))
