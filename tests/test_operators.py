@@ -344,6 +344,19 @@ def test_concepts_decide_the_plan(spark):
     assert got["only"][0] == "IDENTIFIER_ONLY" or not got["only"][1]
 
 
+def test_concept_lane_makes_no_pairs_of_equal_rows(spark):
+    """Equal documents count as their first k, equal queries as one: the rows that meet do not grow with either."""
+    docs = spark.range(3000).select(F.col("id").alias("hit"), F.array(F.lit("a"), F.when(F.col("id") % 3 == 0, "b").otherwise("c")).alias("concepts"))
+    asked = spark.range(2000).select(F.col("id").alias("query"), F.when(F.col("id") % 2 == 0, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("c"), F.lit("none"))).alias("concepts"))
+    lane = concepts.concept_lane(asked, docs, 2)
+    got = {}
+    for r in lane.collect():
+        got.setdefault(r["query"], []).append((r["rank"], r["hit"], r["score"]))
+    assert len(got) == 2000
+    assert all(sorted(v) == ([(1, 0, 1.0), (2, 3, 1.0)] if q % 2 == 0 else [(1, 1, 0.5), (2, 2, 0.5)]) for q, v in got.items())
+    assert "Exchange hashpartitioning(c#" not in lane._jdf.queryExecution().executedPlan().toString()
+
+
 def test_answers_are_verified_before_they_are_given(spark):
     docs = spark.createDataFrame([(1, "d1", "The daily dose is 5 kg of grain. More follows."), (2, "d2", "The house has seven windows.")], "hit long, document string, text string")
     asked = spark.createDataFrame([("right", "What is the daily dose of grain?"), ("unit", "What is the daily dose of grain?"), ("uncited", "What is the daily dose of grain?"), ("nothing", "zzz qqq"), ("silent", "What is the daily dose of grain?"), ("against", "What is the daily dose of grain?")], "query string, text string")
