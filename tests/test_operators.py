@@ -357,6 +357,14 @@ def test_concept_lane_makes_no_pairs_of_equal_rows(spark):
     assert "Exchange hashpartitioning(c#" not in lane._jdf.queryExecution().executedPlan().toString()
 
 
+def test_plurals_are_no_verbs_and_function_words_have_no_forms(spark):
+    surfaces = spark.createDataFrame([("thing", "en", "things"), ("part", "en", "of the"), ("dose", "en", "daily dose")], "concept string, language string, phrase string")
+    asked = [(1, "a thing"), (2, "it thinged and was thinging"), (3, "one of thes"), (4, "daily doses"), (5, "most of theing"), (6, "the things of the day")]
+    rows = spark.createDataFrame([(i, "en", t) for i, t in asked], "id int, language string, t string")
+    got = {(r["id"], r["concept"], r["mode"]) for r in concepts.matched(rows, surfaces, "id", "t").collect()}
+    assert got == {(1, "thing", "LEMMA"), (4, "dose", "LEMMA"), (6, "thing", "EXACT"), (6, "part", "EXACT")}
+
+
 def test_answers_are_verified_before_they_are_given(spark):
     docs = spark.createDataFrame([(1, "d1", "The daily dose is 5 kg of grain. More follows."), (2, "d2", "The house has seven windows.")], "hit long, document string, text string")
     asked = spark.createDataFrame([("right", "What is the daily dose of grain?"), ("unit", "What is the daily dose of grain?"), ("uncited", "What is the daily dose of grain?"), ("nothing", "zzz qqq"), ("silent", "What is the daily dose of grain?"), ("against", "What is the daily dose of grain?")], "query string, text string")
