@@ -177,6 +177,25 @@ def test_rare_terms_stop_the_search_early():
     assert work["rare"] < 0.8 * work["frequent"]
 
 
+def test_many_queries_of_frequent_terms_wait_in_bounded_memory():
+    """What waits to be cut is bounded by pairs, however many queries a text meets."""
+    import tracemalloc
+
+    r = random.Random(3)
+    queries = [["the", f"w{i % 50}", f"v{i % 7}"] for i in range(20_000)]
+    texts = [["the", *(f"w{r.randint(0, 60)}" for _ in range(4)), f"v{r.randint(0, 9)}"] for _ in range(256)]
+    best = postings.Best(queries, 2, lambda shared, nq, nr: shared / nq, 0.2)
+    tracemalloc.start()
+    best.weigh(texts, pa.array(range(256)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 256 * 20_000 * 8
+    for i in range(0, 20_000, 1999):
+        want = sorted((-len(set(queries[i]) & set(t)) / 3, h) for h, t in enumerate(texts))[:2]
+        mine = best.best[0] == i
+        assert list(zip((-best.best[2][mine]).tolist(), best.best[1].filter(pa.array(mine)).to_pylist(), strict=True)) == want
+
+
 def test_scopes_restrict_before_the_cut(spark):
     docs = spark.createDataFrame([(i, "the dose is five", [1.0, 0.01 * i], ["other"]) for i in range(50)] + [(99, "order no. AB-7 has a dose", [0.0, 1.0], ["a", "b"]), (100, "the dose is five", [1.0, 0.0], None)], "hit long, text string, vector array<double>, scopes array<string>").repartition(3)
     asked = spark.createDataFrame([(1, "the dose is five", [1.0, 0.0], ["b"]), (2, "the dose is five", [1.0, 0.0], None), (3, "the dose is five", [1.0, 0.0], ["z"]), (4, "the dose is five", [1.0, 0.0], [])], "query long, text string, vector array<double>, scopes array<string>")
