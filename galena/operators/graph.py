@@ -31,10 +31,12 @@ def band_quota(band: Column) -> Column:
 
 
 def canonical_pairs(rows: DataFrame, by: Sequence[str], key: str) -> DataFrame:
-    """(by, u, v) with u < v of the keys that share a group: never a self-pair, never across groups."""
-    left = rows.select(*by, F.col(key).alias("u"))
-    right = rows.select(*by, F.col(key).alias("v"))
-    return left.join(right, list(by)).filter("u < v")
+    """(by, u, v, n) with u < v of the keys that share a group: never a self-pair, never across groups. n is how often rows of
+    both meet; rows of a key are one before they do, so that no pair is made twice. Rows stay dealt as they come, if by groups."""
+    once = rows.groupBy(*by, key).agg(F.count("*").alias("n"))
+    left = once.select(*by, F.col(key).alias("u"), F.col("n").alias("_m"))
+    right = once.select(*by, F.col(key).alias("v"), "n")
+    return left.join(right.hint("merge"), list(by)).filter("u < v").select(*by, "u", "v", (F.col("_m") * F.col("n")).alias("n"))
 
 
 def live_edges(edges: DataFrame, published: DataFrame, generations: DataFrame) -> DataFrame:
@@ -71,9 +73,10 @@ def next_band(band: Column, weight: Column, queries: Column, citations: Column,
 
 
 def symmetric(edges: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
-    """Each edge in both directions, so that both rows change or neither."""
+    """Each edge in both directions, so that both rows change or neither; edges are computed once."""
     rest = [c for c in edges.columns if c not in (u, v)]
-    return edges.select(u, v, *rest).union(edges.select(F.col(v).alias(u), F.col(u).alias(v), *rest))
+    ends = F.array(F.struct(F.col(u).alias("a"), F.col(v).alias("b")), F.struct(F.col(v).alias("a"), F.col(u).alias("b")))
+    return edges.select(F.explode(ends).alias("_ends"), *rest).select(F.col("_ends.a").alias(u), F.col("_ends.b").alias(v), *rest)
 
 
 def maintained(edges: DataFrame, by: Sequence[str] = ("src",), purge_days: int = 14) -> DataFrame:

@@ -11,7 +11,7 @@ from galena.operators import aggregates as A
 from galena.operators import ranking as R
 from galena.registry import query
 from galena.sources import tables as S
-from galena.sources.tables import table
+from galena.sources.tables import parts_for, table
 
 AS_OF = "2024-01-20 00:00:00"
 
@@ -175,7 +175,8 @@ FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <
 def canonical_pairs(spark: SparkSession, d: str) -> DataFrame:
     from galena.operators.graph import canonical_pairs as pairs
 
-    return pairs(table(spark, d, "lineitem"), ["l_orderkey"], "l_partkey").groupBy("l_orderkey", "u", "v").agg(F.count("*").alias("n"))
+    lines = table(spark, d, "lineitem")
+    return pairs(lines.select("l_orderkey", "l_partkey").repartition(parts_for(lines), "l_orderkey"), ["l_orderkey"], "l_partkey")
 
 
 @query("""SELECT count(*) FILTER (WHERE o_orderstatus IS DISTINCT FROM nullif(o_orderpriority, '1-URGENT')) AS n_different,

@@ -607,3 +607,14 @@ def test_spread_and_store(spark, sf):
 def test_text_normalization(spark):
     assert one(spark, text.normalized(F.lit(" a\r\n\r\n\r\n\r\nb \t c "))) == "a\n\nb c"
     assert one(spark, text.contains_phrase(F.lit("a bc d"), F.lit("bc"))) is True and one(spark, text.contains_phrase(F.lit("a bcd"), F.lit("bc"))) is False
+
+
+def test_pairs_are_made_once_and_dealt_by_size(spark, sf, monkeypatch):
+    from galena.queries import processes
+    from galena.sources import tables
+
+    lines = spark.createDataFrame([(1, 5), (1, 5), (1, 7), (2, 7), (1, 7), (1, 9), (None, 5), (None, 6)], "o int, p int")
+    assert rows(graph.canonical_pairs(lines, ["o"], "p")) == [(1, 5, 7, 4), (1, 5, 9, 2), (1, 7, 9, 2)]
+    monkeypatch.setattr(tables, "PART_BYTES", 10_000)
+    many = tables.parts_for(tables.table(spark, sf, "lineitem"))
+    assert many > 8 and processes.bought_together(spark, sf)._jdf.queryExecution().executedPlan().toString().count(f", {many}), "dealt by size"
