@@ -617,4 +617,13 @@ def test_pairs_are_made_once_and_dealt_by_size(spark, sf, monkeypatch):
     assert rows(graph.canonical_pairs(lines, ["o"], "p")) == [(1, 5, 7, 4), (1, 5, 9, 2), (1, 7, 9, 2)]
     monkeypatch.setattr(tables, "PART_BYTES", 10_000)
     many = tables.parts_for(tables.table(spark, sf, "lineitem"))
-    assert many > 8 and processes.bought_together(spark, sf)._jdf.queryExecution().executedPlan().toString().count(f", {many}), "dealt by size"
+    plan = processes.bought_together(spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert many > 8 and f", {many}), REPARTITION" in plan
+
+
+def test_a_text_of_many_chunks_is_read_once(spark):
+    chunks = spark.range(50).select(F.lit("d").alias("document"), F.col("id").alias("chunk"), F.when(F.col("id") < 49, "Article 1\nsee article 2").alias("text"))
+    texts = references.by_text(chunks, identifiers.declared(F.col("text")))
+    assert texts.count() == 49 and references.anchors(chunks).count() == 49
+    plan = texts._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("regexp_extract_all") < plan.index("Aggregate [_text")
