@@ -627,3 +627,10 @@ def test_a_text_of_many_chunks_is_read_once(spark):
     assert texts.count() == 49 and references.anchors(chunks).count() == 49
     plan = texts._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("regexp_extract_all") < plan.index("Aggregate [_text")
+
+
+def test_lanes_that_are_used_twice_are_run_once(spark, sf):
+    from galena.queries import knowledge, search
+
+    for query in (knowledge.stage_attribution, search.context_envelope):
+        assert "term_lane" not in (plan := query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()) and plan.count("MapInArrow run") == 0
