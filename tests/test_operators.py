@@ -289,6 +289,20 @@ def test_overlap_equals_brute_force(spark):
     assert {(r["a"], r["b"]) for r in out.collect()} == want and want
 
 
+def test_overlap_moves_no_pairs(spark):
+    r = random.Random(5)
+    sets = [(i, [f"t{min(int(r.expovariate(0.02)), 400)}" for _ in range(r.randint(3, 90))]) for i in range(300)]
+    sets += [(1000 + i, t[: len(t) - i % 9]) for i, t in sets]
+    out = retrieval.overlapping(spark.createDataFrame(sets, "k long, ts array<string>"), "k", "ts", 3, 0.66)
+    assert "Join" not in out._jdf.queryExecution().executedPlan().toString()
+    first = {}
+    for k, t in sets:
+        first.setdefault(frozenset(t), k)
+    distinct = [(k, t) for t, k in first.items() if len(t) >= 3]
+    want = {(a, b, len(x & y), len(x & y) / min(len(x), len(y))) for a, x in distinct for b, y in distinct if a < b and len(x & y) >= 3 and len(x & y) / min(len(x), len(y)) >= 0.66}
+    assert {tuple(r) for r in out.select("a", "b", "n", "overlap").collect()} == want and want
+
+
 def test_vectors_without_direction_match_nothing(spark):
     vectors = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [float("nan"), 1.0]), (5, [2.0, 0.1])]
     frame = spark.createDataFrame(vectors, "hit long, vector array<double>")
