@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +16,13 @@ TYPES = {
     "CASE_NUMBER": "дел(?:о|а|у|ом|е)|case",
     "DOCUMENT_NUMBER": "документ(?:а|у|ом|е|ы|ов)?|document",
 }
+# What a text holds, cases folded, wherever the words of TYPES, REFERENCES and NAMED_OBJECTS can fit; as it stands, for EXTERNAL.
+TYPE_STEMS = {"CONTRACT_NUMBER": "договор contract", "ORDER_NUMBER": "заказ order", "INVOICE_NUMBER": "счет счёт invoice", "APPLICATION_NUMBER": "заявк application", "CASE_NUMBER": "дел case", "DOCUMENT_NUMBER": "документ document"}
+REFERENCE_STEMS = {"ARTICLE": "artic art. artik artíc artig madde стат ст. бап άρθρ", "CLAUSE": "clause", "PARAGRAPH": "paragraphe apartado comm fikra пункт п. тармақ παράγραφο", "SUBPARAGRAPH": "тармақша", "SECTION": "sec abschnitt seç sezion bölüm раздел ενότητ", "CHAPTER": "chapter kapitel chapitre capítulo capitol глав κεφάλαι", "PART": "part teil част kisim μέρ"}
+OBJECT_STEMS = {"APPENDIX": "appendix annex anhang anlage anexo allegato приложени", "TABLE": "tabl tabel таблиц", "FIGURE": "figur fig. abbildung рисун"}
+EXTERNAL_STEMS = {"STANDARD": "ISO IEC EN DIN ГОСТ", "RFC": "RFC", "LAW": "Regulation Directive"}
+#: Signs that patterns take for another one's lower case, though their own is not.
+_FOLDS = {"İ": "i"} | {c: x for c in map(chr, range(0x80, 0x3000)) if (x := c.upper().lower()) != c.lower() and len(c.upper()) == len(x) == 1}
 _VALUE = r"[\p{L}0-9][\p{L}0-9./_-]{1,499}"
 
 
@@ -32,13 +41,32 @@ def _typed(kind: str):
     return lambda v: F.struct(F.lit(kind).alias("type"), v.alias("raw"), identifier(v).alias("normalized"))
 
 
+def _with_folded(text: Column, made: Callable[[Column], Column]) -> Column:
+    """made() of the text with cases folded as patterns fold them, which is computed once."""
+    return F.transform(F.array(F.lower(F.translate(text, "".join(_FOLDS), "".join(_FOLDS.values())))), made)[0]
+
+
+def _where(text: Column, stems: str | None, raw: Column) -> Column:
+    """The strings that a pattern finds; it is not run where the text holds none of the stems. Null for a null text."""
+    if stems is None:
+        return raw
+    some = F.lit(False)
+    for stem in stems.split():
+        some = some | F.contains(text, F.lit(stem))
+    return F.when(~some, F.array().cast("array<string>")).otherwise(raw)
+
+
 def extracted(text: Column, types: dict[str, str] = TYPES) -> Column:
     """array<struct(type, raw, normalized)> of all identifiers, by type; types has a pattern of the words of each."""
-    found = []
-    for kind, words in types.items():
-        raw = F.transform(F.regexp_extract_all(text, F.lit(_pattern(words)), F.lit(1)), lambda v: F.regexp_replace(v, r"[.,;:!?]+$", ""))
-        found.append(F.transform(raw, _typed(kind)))
-    return F.filter(F.concat(*found), lambda x: x["normalized"] != "")
+
+    def made(folded: Column) -> Column:
+        found = []
+        for kind, words in types.items():
+            raw = _where(folded, TYPE_STEMS[kind] if TYPES.get(kind) == words else None, F.regexp_extract_all(text, F.lit(_pattern(words)), F.lit(1)))
+            found.append(F.transform(F.transform(raw, lambda v: F.regexp_replace(v, r"[.,;:!?]+$", "")), _typed(kind)))
+        return F.filter(F.concat(*found), lambda x: x["normalized"] != "")
+
+    return _with_folded(text, made)
 
 
 def without_identifiers(text: Column, types: dict[str, str] = TYPES) -> Column:
@@ -84,14 +112,23 @@ def _reference(kind: str):
     return made
 
 
+def _by_words(text: Column, pattern: Callable[[str, str], str]) -> Column:
+    """Distinct references that patterns of the words of REFERENCES and a number find."""
+
+    def made(folded: Column) -> Column:
+        found = []
+        for kind, words in REFERENCES.items():
+            number = r"\d+(?:\.\d+)*" + (r"|[IVXLCDMivxlcdm]+(?![\p{L}\p{N}])" if kind in ROMAN_TYPES else "")
+            raw = F.regexp_extract_all(text, F.lit(pattern(words, number)), F.lit(1))
+            found.append(F.transform(_where(folded, REFERENCE_STEMS[kind], raw), _reference(kind)))
+        return F.array_distinct(F.filter(F.concat(*found), lambda x: x["value"].isNotNull()))
+
+    return _with_folded(text, made)
+
+
 def references(text: Column) -> Column:
     """Distinct array<struct(type, value)> of typed references; dotted parts lose leading zeros."""
-    found = []
-    for kind, words in REFERENCES.items():
-        number = r"\d+(?:\.\d+)*" + (r"|[IVXLCDMivxlcdm]+(?![\p{L}\p{N}])" if kind in ROMAN_TYPES else "")
-        raw = F.regexp_extract_all(text, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{words})\s*({number})"), F.lit(1))
-        found.append(F.transform(raw, _reference(kind)))
-    return F.array_distinct(F.filter(F.concat(*found), lambda x: x["value"].isNotNull()))
+    return _by_words(text, lambda words, number: rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{words})\s*({number})")
 
 
 # Digits and units of Chinese numerals, and the words of Chinese references.
@@ -124,8 +161,8 @@ def chinese_references(text: Column) -> Column:
     number = f"[0-9{''.join(CHINESE_DIGITS)}{''.join(CHINESE_UNITS)}]+"
     found = []
     for word, kind in CHINESE_REFERENCES.items():
-        one = F.regexp_extract_all(text, F.lit(f"第({number}){word}"), F.lit(1))
-        wide = F.regexp_extract_all(text, F.lit(f"第({number}[至到]第?{number}){word}"), F.lit(1))
+        one = _where(text, "第", F.regexp_extract_all(text, F.lit(f"第({number}){word}"), F.lit(1)))
+        wide = _where(text, "第", F.regexp_extract_all(text, F.lit(f"第({number}[至到]第?{number}){word}"), F.lit(1)))
         ends = F.transform(wide, lambda w: F.transform(F.split(w, "[至到]第?"), lambda x: chinese_number(x)))
         spread = F.flatten(F.transform(F.filter(ends, lambda e: (e[0] <= e[1]) & (e[1] - e[0] < 100)), lambda e: F.sequence(e[0], e[1])))
         values = F.concat(F.transform(one, lambda x: chinese_number(x)), spread)
@@ -139,11 +176,15 @@ def _typed_values(values: Column, kind: str) -> Column:
 
 def named_objects(text: Column) -> Column:
     """Distinct array<struct(type, value)> of appendices, tables and figures that a text names."""
-    found = []
-    for kind, words in NAMED_OBJECTS.items():
-        raw = F.regexp_extract_all(text, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{words})\s*(?:№|no\.)?\s*(\d+(?:\.\d+)*|[A-Z](?![\p{{L}}\p{{N}}]))"), F.lit(1))
-        found.append(_typed_values(F.transform(raw, lambda v: F.upper(v)), kind))
-    return F.array_distinct(F.concat(*found))
+
+    def made(folded: Column) -> Column:
+        found = []
+        for kind, words in NAMED_OBJECTS.items():
+            raw = F.regexp_extract_all(text, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{words})\s*(?:№|no\.)?\s*(\d+(?:\.\d+)*|[A-Z](?![\p{{L}}\p{{N}}]))"), F.lit(1))
+            found.append(_typed_values(F.transform(_where(folded, OBJECT_STEMS[kind], raw), lambda v: F.upper(v)), kind))
+        return F.array_distinct(F.concat(*found))
+
+    return _with_folded(text, made)
 
 
 def external_references(text: Column) -> Column:
@@ -151,7 +192,7 @@ def external_references(text: Column) -> Column:
     stands between their words."""
     found = []
     for kind, pattern in EXTERNAL.items():
-        raw = F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])({pattern})(?![\p{{L}}\p{{N}}])"), F.lit(1))
+        raw = _where(text, EXTERNAL_STEMS[kind], F.regexp_extract_all(text, F.lit(rf"(?<![\p{{L}}\p{{N}}])({pattern})(?![\p{{L}}\p{{N}}])"), F.lit(1)))
         found.append(_typed_values(F.transform(raw, lambda v: F.regexp_replace(v, r"(?<=\p{L}) ?(?=\d)", " ")), kind))
     return F.array_distinct(F.concat(*found))
 
@@ -159,9 +200,4 @@ def external_references(text: Column) -> Column:
 def declared(text: Column) -> Column:
     """Distinct array<struct(type, value)> that a text declares: references that open a line, behind
     heading marks at most. They are anchors, and no references of the text itself."""
-    found = []
-    for kind, words in REFERENCES.items():
-        number = r"\d+(?:\.\d+)*" + (r"|[IVXLCDMivxlcdm]+(?![\p{L}\p{N}])" if kind in ROMAN_TYPES else "")
-        raw = F.regexp_extract_all(text, F.lit(rf"(?ium)^[ \t#]*(?:{words})\s*({number})"), F.lit(1))
-        found.append(F.transform(raw, _reference(kind)))
-    return F.array_distinct(F.filter(F.concat(*found), lambda x: x["value"].isNotNull()))
+    return _by_words(text, lambda words, number: rf"(?ium)^[ \t#]*(?:{words})\s*({number})")

@@ -153,9 +153,11 @@ def ingested(docs: DataFrame, embedder: Embedder, known: DataFrame | None = None
     cut = chunking.chunked(contents.select(F.struct(*key).alias("id"), "text", "domain"), "id", domain_col="domain").withColumnRenamed("chunk_id", "chunk").select("id.*", "*").drop("id")
     # The place is part of a chunk's name, as a document can hold a text twice.
     cut = cut.withColumn("chunk", F.concat_ws("-", "chunk", "chunk_index")).join(heads.drop("status", "fingerprint"), key)
-    cut = rich = stored(enriched(cut, surfaces), "chunks")
-    vectors = assembled(rich, embedder)
-    found = rich.select("access_level", *key, "chunk", F.explode("identifiers").alias("x")).select("access_level", *key, "chunk", "x.*")
+    cut = stored(cut, "chunks")
+    # A table reads of a chunk's text only what it needs; concepts are joined for the chunks alone.
+    rich, plain = enriched(cut, surfaces), enriched(cut)
+    vectors = assembled(plain, embedder)
+    found = plain.select("access_level", *key, "chunk", F.explode("identifiers").alias("x")).select("access_level", *key, "chunk", "x.*")
     both = F.struct(*key).alias("_both")
     wanted = searchable(cut).groupBy(both).agg(F.count("*").alias("expected"))
     wrong = count_differences(wanted, vectors.groupBy(both).agg(F.count("*").alias("stored")), "_both").select("_both.*", F.lit(True).alias("_wrong"))

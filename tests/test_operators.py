@@ -648,3 +648,27 @@ def test_lanes_that_are_used_twice_are_run_once(spark, sf):
 
     for query in (knowledge.stage_attribution, search.context_envelope):
         assert "term_lane" not in (plan := query(spark, sf)._jdf.queryExecution().optimizedPlan().toString()) and plan.count("MapInArrow run") == 0
+
+
+def test_stems_are_found_wherever_patterns_fit(spark):
+    from galena.functions import identifiers
+
+    words = "caſe 12|FİGURA 3|KIſIM IV|fıkra 7|ſection II|ΠΑΡΆΓΡΑΦΟΣ 4|µέρος 5|Заказ № А-1|СЧЁТ 97|Bölüm 2".split("|")
+    rows = spark.createDataFrame(list(enumerate(words)) + [(99, None)], "k int, text string")
+    body = F.col("text")
+    out = rows.select("k", identifiers.extracted(body).alias("a"), F.concat(identifiers.references(body), identifiers.named_objects(body)).alias("b"), identifiers.declared(body).alias("c")).orderBy("k").collect()
+    assert [[x["type"] for x in r["a"] or []] for r in out[:10]] == [["CASE_NUMBER"], [], [], [], [], [], [], ["ORDER_NUMBER"], ["INVOICE_NUMBER"], []]
+    assert [[x["type"] for x in r["b"]] for r in out[:10]] == [[], ["FIGURE"], ["PART"], ["PARAGRAPH"], ["SECTION"], ["PARAGRAPH"], ["PART"], [], [], ["SECTION"]]
+    assert [[x["type"] for x in r["c"]] for r in out[:7]] == [[], [], ["PART"], ["PARAGRAPH"], ["SECTION"], ["PARAGRAPH"], ["PART"]]
+    assert out[10]["a"] is None and out[10]["b"] is None and out[10]["c"] is None
+
+
+def test_texts_are_enriched_only_where_that_is_asked_for(spark):
+    from galena.operators import ingest
+    from galena.sources.embedders import HashingEmbedder
+
+    docs = spark.createDataFrame([("d", "t", "en", "GENERAL", 1, "See article 3 of contract no. 7.")], "document string, title string, language string, domain string, access_level long, text string")
+    made = ingest.ingested(docs, HashingEmbedder())
+    plan = made.generations._jdf.queryExecution().executedPlan().toString()
+    assert "regexp_extract_all" not in plan and [r["generation_status"] for r in made.generations.collect()] == ["PUBLISHED"]
+    assert made.identifiers.count() == 1 and made.chunks.first()["references"][0]["value"] == "3"
