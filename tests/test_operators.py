@@ -672,3 +672,18 @@ def test_texts_are_enriched_only_where_that_is_asked_for(spark):
     plan = made.generations._jdf.queryExecution().executedPlan().toString()
     assert "regexp_extract_all" not in plan and [r["generation_status"] for r in made.generations.collect()] == ["PUBLISHED"]
     assert made.identifiers.count() == 1 and made.chunks.first()["references"][0]["value"] == "3"
+
+
+def test_long_texts_are_matched_in_proportion(spark):
+    import time
+
+    from galena.operators import concepts
+
+    surfaces = spark.createDataFrame([("a", "en", "mit license")], "concept string, language string, phrase string")
+    docs = spark.createDataFrame([(1, "en", " ".join(f"w{i}" for i in range(40_000)) + " MIT licenses")], "k long, language string, text string")
+    began = time.time()
+    assert [(r["concept"], r["mode"]) for r in concepts.matched(docs, surfaces, "k", "text").collect()] == [("a", "LEMMA")]
+    assert time.time() - began < 60
+    words = F.split("text", " ")
+    plan = docs.select(concepts._grams(words, [1, 2], words))._jdf.queryExecution().optimizedPlan().toString()
+    assert "array_distinct" not in plan
