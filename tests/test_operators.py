@@ -687,3 +687,14 @@ def test_long_texts_are_matched_in_proportion(spark):
     words = F.split("text", " ")
     plan = docs.select(concepts._grams(words, [1, 2], words))._jdf.queryExecution().optimizedPlan().toString()
     assert "array_distinct" not in plan
+
+
+def test_backfill_searches_once(spark):
+    import __spark_entry__
+    from pathlib import Path
+
+    folder = "/root/testdata/sf0.001"
+    if not Path(folder).exists():
+        pytest.skip("no test data")
+    out = __spark_entry__.queries()["select_backfill"](spark, folder)
+    assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
