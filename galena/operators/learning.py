@@ -70,7 +70,7 @@ def split_clusters(rows: DataFrame, scope: str, most: int = 5000, cells: int | N
     folded = stored(leader_clusters(dealt.select("part", "id", "seq", "vector"), "part").select(F.col(f"part.{scope}").alias(scope), "id", "cluster"), "folded")
     leaders = placed.join(folded.filter("id = cluster").select("id"), "id", "left_semi").select(scope, F.col("id").alias("hit"), "seq", "vector")
     leaders = stored(leaders, "leaders")
-    near = nearest.ann_neighbours(leaders, middle, 16, max(2, probes), scope).filter(F.col("score") >= LIKENESS)
+    near = nearest.ann_neighbours(leaders, middle, 16, max(2, probes), scope, LIKENESS)
     order = lambda seq, name: F.struct(F.col(seq).alias("seq"), F.col(name).alias("id"))
     named = near.join(leaders.select(F.col("hit").alias("query"), F.col("seq").alias("q_seq")), "query").join(leaders.select("hit", "seq"), "hit")
     earlier = named.filter(order("seq", "hit") < order("q_seq", "query"))

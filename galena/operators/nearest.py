@@ -169,9 +169,9 @@ def _in_batch(held, k: int, threshold: float):
     return run
 
 
-def ann_neighbours(rows: DataFrame, middle: np.ndarray, k: int, probes: int = 8, scope: str | None = None) -> DataFrame:
+def ann_neighbours(rows: DataFrame, middle: np.ndarray, k: int, probes: int = 8, scope: str | None = None, threshold: float = -2.0) -> DataFrame:
     """(query, hit, score, rank): of every row the k most similar others in its `probes` nearest cells, of its
-    scope if one is named; a null scope has no neighbours.
+    scope if one is named, of at least the score `threshold`; a null scope has no neighbours.
 
     1 + probes copies of a row travel. A cell of more than BLOCK rows, or looked into by more, is cut into blocks by
     hash, and every two blocks meet in one task, so that no task grows; copies then grow with the blocks of that cell."""
@@ -195,7 +195,7 @@ def ann_neighbours(rows: DataFrame, middle: np.ndarray, k: int, probes: int = 8,
         ids = table.schema.field("hit").type
         if not a.num_rows or not b.num_rows:
             return pa.table({"query": pa.array([], ids), "hit": pa.array([], ids), "score": pa.array([], pa.float64())})
-        q, h, score = _best(unit(a["vector"].combine_chunks()), unit(b["vector"].combine_chunks()), b["hit"].combine_chunks(), a["hit"].to_pylist(), k, -2.0)
+        q, h, score = _best(unit(a["vector"].combine_chunks()), unit(b["vector"].combine_chunks()), b["hit"].combine_chunks(), a["hit"].to_pylist(), k, threshold)
         return pa.table({"query": a["hit"].take(pa.array(q)), "hit": b["hit"].take(pa.array(h)), "score": pa.array(score)})
 
     found = left.union(right).groupBy(*keys, "i", "j").applyInArrow(run, f"query {kind}, hit {kind}, score double")

@@ -698,3 +698,13 @@ def test_backfill_searches_once(spark):
         pytest.skip("no test data")
     out = __spark_entry__.queries()["select_backfill"](spark, folder)
     assert "MapInArrow" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_neighbours_of_a_least_score(spark):
+    from galena.operators import nearest
+
+    r = np.random.default_rng(3)
+    vectors = spark.createDataFrame([(i, [float(x) for x in r.normal(size=4)]) for i in range(120)], "hit long, vector array<double>")
+    middle, _ = nearest.fitted(vectors, 1, 4)
+    whole = nearest.ann_neighbours(vectors, middle, 5, 2).filter("score >= 0.9").select("query", "hit", "score")
+    assert rows(nearest.ann_neighbours(vectors, middle, 5, 2, threshold=0.9).select("query", "hit", "score")) == rows(whole) and whole.count()
