@@ -5,7 +5,7 @@ task keeps the k best texts of every query. Once a query has k texts in a task,
 terms as the worst of them; one that misses all of the query's rarest terms, as many as can be missed
 and some more, holds as many as these are more. Only those rarest terms have postings, so that frequent terms are seldom
 looked at. What is rare is what the task has met least, or without k what the fewest queries have, which only decides how
-much is skipped.
+much is skipped. Few queries of few terms have no postings: all their terms are counted for many texts at once.
 """
 
 from __future__ import annotations
@@ -25,8 +25,20 @@ from galena.sources.batches import bounded_batches, slices
 BROADCAST_TEXT, SLICE, PAIRS = 16 << 20, 256, 1 << 18
 #: Of the terms that a text needs, the share that it must hold among a query's rarest ones before all are looked at.
 FIRST = 0.15
+#: Queries times their distinct terms, and the larger of both, up to which all are counted for every text.
+CELLS, SIDE = 1 << 22, 1 << 14
 
-Terms = Callable[[str], Iterable[str]]
+#: A text's terms: any values, or an array of distinct numbers in rising order.
+Terms = Callable[[str], Iterable]
+
+
+def share(shared: np.ndarray, nq: np.ndarray, nr: np.ndarray) -> np.ndarray:
+    """The share of a query's terms."""
+    return shared / nq
+
+
+def _set(terms: Iterable) -> set:
+    return terms if isinstance(terms, set) else set(terms.tolist() if isinstance(terms, np.ndarray) else terms)
 
 
 class Best:
@@ -34,9 +46,9 @@ class Best:
 
     score(shared, query's terms, text's terms) must not exceed the share of the query's terms."""
 
-    def __init__(self, queries: list[Iterable[str]], k: int | None, score, least: float, scopes: list[list[str] | None] | None = None):
+    def __init__(self, queries: list[Iterable], k: int | None, score, least: float, scopes: list[list[str] | None] | None = None):
         self.k, self.score, self.least = k, score, least
-        found = [list(dict.fromkeys(q)) for q in queries]
+        found = [list(_set(q)) if isinstance(q, np.ndarray) else list(dict.fromkeys(q)) for q in queries]
         self.vocabulary: dict[str, int] = {}
         self.flat = np.array([self.vocabulary.setdefault(t, len(self.vocabulary)) for q in found for t in q], np.int64)
         self.sizes = np.array([len(q) for q in found], np.int64)
@@ -118,24 +130,32 @@ class Best:
         self.last = ends["max"].as_py()
         return after
 
-    def weigh(self, texts: list[Iterable[str]], hits: pa.Array, scopes: list[list[str] | None] | None = None) -> tuple:
-        """(query, hit, score) of the texts that score enough; they are kept if k is given."""
-        if self.k is not None and self.rising and not self._follows(hits):
-            self.rising = False
-            self._index()
-        waiting, count = [], 0
+    def _met(self, texts: list[Iterable], scopes: list[list[str] | None] | None) -> Iterator[tuple[np.ndarray, ...]]:
+        """(text, query, shared terms, the text's terms) of pairs that may meet and score enough, for a text at a time."""
         for i, found in enumerate(texts):
-            found = set(found)
+            found = _set(found)
             ids = [j for j in map(self.vocabulary.get, found) if j is not None]
             self.met[ids] += 1
             q, n = self._shared(ids)
             if not self.free.all() and len(q):
-                named = [j for s in (scopes[i] if scopes and scopes[i] else []) for j in self.by_scope.get(s, ())]
-                may = self.free[q] | np.isin(q, named)
+                may = self.free[q] | np.isin(q, self._named(scopes, i))
                 q, n = q[may], n[may]
-            value = self.score(n, self.sizes[q], np.full(len(q), len(found))).astype(np.float64)
+            yield np.full(len(q), i), q, n, np.full(len(q), len(found))
+
+    def _named(self, scopes: list[list[str] | None] | None, i: int) -> list[int]:
+        """The queries that a text's scopes name."""
+        return [j for s in (scopes[i] if scopes and scopes[i] else []) for j in self.by_scope.get(s, ())]
+
+    def weigh(self, texts: list[Iterable], hits: pa.Array, scopes: list[list[str] | None] | None = None) -> tuple:
+        """(query, hit, score) of the texts that score enough; they are kept if k is given."""
+        if self.k is not None and self.rising and not self._follows(hits):
+            self.rising = False
+            self._index()
+        waiting, count = [], 0
+        for row, q, n, size in self._met(texts, scopes):
+            value = self.score(n, self.sizes[q], size).astype(np.float64)
             good = value >= self.needed[q]
-            waiting.append((q[good].astype(np.int32), np.full(int(good.sum()), i, np.int32), value[good]))
+            waiting.append((q[good].astype(np.int32), row[good].astype(np.int32), value[good]))
             count += len(waiting[-1][0])
             if self.k is not None and count >= max(PAIRS, len(self.sizes)):
                 self._keep(waiting, hits)
@@ -170,20 +190,88 @@ class Best:
         return query[keep], hit.take(pa.array(keep)), value[keep]
 
 
+class Dense(Best):
+    """Best for few queries of few terms: these are counted for many texts at once, by a product of matrices.
+
+    A text costs what the queries' cells cost, whatever it holds; while these are few, that is less than its look at postings."""
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in super().__getstate__().items() if k not in ("asks", "numbers", "places")}
+
+    def _index(self) -> None:
+        if hasattr(self, "asks"):
+            return
+        self.asks = np.zeros((len(self.vocabulary), len(self.sizes)), np.float32)
+        self.asks[self.flat, self.owner] = 1
+        if all(isinstance(t, int) for t in self.vocabulary):
+            numbers = np.array(list(self.vocabulary), np.int64)
+            self.places = np.argsort(numbers)
+            self.numbers = numbers[self.places]
+
+    def _held(self, texts: list[Iterable]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, term) of the vocabulary's terms in texts, and how many terms these have."""
+        if all(isinstance(t, np.ndarray) for t in texts):
+            sizes, found = np.array([len(t) for t in texts], np.int64), np.concatenate(texts)
+            at = np.minimum(np.searchsorted(self.numbers, found), len(self.numbers) - 1)
+            met = self.numbers[at] == found
+            return np.repeat(np.arange(len(texts)), sizes)[met], self.places[at[met]], sizes
+        texts, known = [_set(t) for t in texts], set(self.vocabulary)
+        met = [[self.vocabulary[t] for t in known & own] for own in texts]
+        return np.repeat(np.arange(len(texts)), [len(m) for m in met]), np.array([j for m in met for j in m], np.int64), np.array([len(t) for t in texts], np.int64)
+
+    def _met(self, texts: list[Iterable], scopes: list[list[str] | None] | None) -> Iterator[tuple[np.ndarray, ...]]:
+        if not self.vocabulary:
+            return
+        step = max(1, PAIRS // max(self.asks.shape))
+        for at in range(0, len(texts), step):
+            row, term, sizes = self._held(texts[at : at + step])
+            have = np.zeros((len(sizes), len(self.vocabulary)), np.float32)
+            have[row, term] = 1
+            shared = have @ self.asks  # whole numbers, exact in single precision
+            if not self.free.all():
+                for i in range(len(sizes)):
+                    may = self.free.copy()
+                    may[self._named(scopes, at + i)] = True
+                    shared[i, ~may] = 0
+            row, q = np.nonzero(shared)
+            yield row + at, q, shared[row, q].astype(np.int64), sizes[row]
+
+
+def _best(queries: list[Iterable], *more) -> Best:
+    """The cheaper way for these queries."""
+    sides = len(queries), len(set().union(*map(_set, queries)))
+    return (Dense if sides[0] * sides[1] <= CELLS and max(sides) <= SIDE else Best)(queries, *more)
+
+
 def _joined(parts: list[tuple]) -> tuple[np.ndarray, ...]:
     none = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0))
     return tuple(np.concatenate(x) for x in zip(none, *parts, strict=True))
 
 
-def term_lane(queries: DataFrame, rows: DataFrame, k: int | None, terms: Terms, score=lambda shared, nq, nr: shared / nq, least: float = 0.0) -> DataFrame:
+def term_lane(queries: DataFrame, rows: DataFrame, k: int | None, terms: Terms, score=share, least: float = 0.0) -> DataFrame:
     """(query, hit, score, rank): texts (hit, text) scored against queries (query, text) by their shared terms.
 
     If both have a column `scopes` (array of strings), a query with scopes is answered only by texts that share
     one, and its k best are the best among those; a null of scopes does not restrict, an empty array matches
     nothing. Without k, all texts of at least the score `least`. Ties end in the hit. Null texts have no terms.
     Queries beyond BROADCAST_TEXT go in blocks of that size, each of which reads the rows again."""
+    out = _hits(queries, rows, k, [(terms, score)], least).drop("lane")
+    if k is None:
+        return ranked(out, ["query"], [F.desc("score"), F.col("hit")])
+    return top_k(out, ["query"], [F.desc("score"), F.col("hit")], k)
+
+
+def term_lanes(queries: DataFrame, rows: DataFrame, k: int, lanes: dict[str, tuple[Terms, Callable]], least: float = 0.0) -> DataFrame:
+    """(lane, query, hit, score, rank): `term_lane` by several kinds of terms, each with its score, in one reading of the rows."""
+    out = _hits(queries, rows, k, list(lanes.values()), least)
+    named = out.withColumn("lane", F.element_at(F.array(*[F.lit(n) for n in lanes]), F.col("lane") + 1))
+    return top_k(named, ["lane", "query"], [F.desc("score"), F.col("hit")], k)
+
+
+def _hits(queries: DataFrame, rows: DataFrame, k: int | None, lanes: list[tuple[Terms, Callable]], least: float) -> DataFrame:
+    """(lane's number, query, hit, score): what each task keeps."""
     spark, kinds = rows.sparkSession, [d.schema[c].dataType.simpleString() for d, c in ((queries, "query"), (rows, "hit"))]
-    schema = f"query {kinds[0]}, hit {kinds[1]}, score double"
+    schema = f"lane int, query {kinds[0]}, hit {kinds[1]}, score double"
     scoped = "scopes" in queries.columns
     own = lambda df: [F.col("scopes") if "scopes" in df.columns else F.array().cast("array<string>").alias("scopes")] * scoped
     wanted = queries.select("query", F.coalesce("text", F.lit("")).alias("text"), *own(queries))
@@ -194,29 +282,34 @@ def term_lane(queries: DataFrame, rows: DataFrame, k: int | None, terms: Terms,
     source = rows.select("hit", F.coalesce("text", F.lit("")).alias("text"), *own(rows))
     for b in range(blocks):
         part = (wanted if blocks == 1 else wanted.filter(F.pmod(F.xxhash64("query"), F.lit(blocks)) == b)).toArrow()
-        best = Best([terms(t) for t in part["text"].to_pylist()], k, score, least, part["scopes"].to_pylist() if scoped else None)
+        texts, scopes = part["text"].to_pylist(), part["scopes"].to_pylist() if scoped else None
+        best = [_best([terms(t) for t in texts], k, score, least, scopes) for terms, score in lanes]
         held = spark.sparkContext.broadcast((part["query"].combine_chunks(), best))
-        one_block = source.mapInArrow(_scored(held, terms, score, scoped), schema)
+        one_block = source.mapInArrow(_scored(held, lanes, scoped), schema)
         out = one_block if not b else out.unionByName(one_block)
-    if k is None:
-        return ranked(out, ["query"], [F.desc("score"), F.col("hit")])
-    return top_k(out, ["query"], [F.desc("score"), F.col("hit")], k)
+    return out
 
 
-def _scored(held, terms: Terms, score, scoped: bool):
+def _scored(held, lanes: list[tuple[Terms, Callable]], scoped: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, best = held.value
-        best.score = score
-        best.begin()
-        named = lambda x: pa.RecordBatch.from_arrays([names.take(pa.array(x[0])), x[1], pa.array(x[2])], names=["query", "hit", "score"])
+        for own, (_, score) in zip(best, lanes, strict=True):
+            own.score = score
+            own.begin()
+        k, queries = best[0].k, len(best[0].sizes)
+        named = lambda i, x: pa.RecordBatch.from_arrays([pa.array(np.full(len(x[0]), i, np.int32)), names.take(pa.array(x[0])), x[1], pa.array(x[2])], names=["lane", "query", "hit", "score"])
         for batch in slices(batches, 1):
-            step = SLICE if best.k is not None else max(1, min(SLICE, PAIRS // max(1, len(best.sizes))))
+            step = SLICE if k is not None else max(1, min(SLICE, PAIRS // max(1, queries)))
             for at in range(0, batch.num_rows, step):
                 part = batch.slice(at, step)
-                now = best.weigh([terms(t) for t in part.column(1).to_pylist()], part.column(0), part.column(2).to_pylist() if scoped else None)
-                if best.k is None:
-                    yield named(now)
-        if best.best is not None:
-            yield named(best.best)
+                texts = zip(*([terms(t) for terms, _ in lanes] for t in part.column(1).to_pylist()), strict=True)
+                scopes = part.column(2).to_pylist() if scoped else None
+                for i, found in enumerate(texts):
+                    now = best[i].weigh(list(found), part.column(0), scopes)
+                    if k is None:
+                        yield named(i, now)
+        for i, own in enumerate(best):
+            if own.best is not None:
+                yield named(i, own.best)
 
     return run

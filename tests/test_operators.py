@@ -177,6 +177,56 @@ def test_rare_terms_stop_the_search_early():
     assert work["rare"] < 0.8 * work["frequent"]
 
 
+def test_trigrams_are_those_of_padded_words(monkeypatch):
+    """As numbers they are those made word by word; pieces, odd letters and empty texts change nothing."""
+    r = random.Random(4)
+    odd = ["", "  ", "a", "x_y__z", "a\u0000b", "İstanbul ΣΑΣ ﬁ ß", "漢字 テスト", "\U0001f600 \U00020000\U00020001", "² Ⅷ ½ e\u0301te", "ab" * 40 + " c"]
+    monkeypatch.setattr(retrieval, "PIECE", 7)
+    for text in odd + ["".join(chr(r.choice([32, r.randint(33, 700), r.randint(0x3000, 0x9000)])) for _ in range(60)) for _ in range(200)]:
+        words = set(re.findall(r"[^\W_]+", text.lower()))
+        assert retrieval.words_of(text) == words
+        made = {f"  {w} "[i : i + 3] for w in words for i in range(len(w) + 1)}
+        numbers = retrieval.trigram_numbers(text).tolist()
+        assert numbers == sorted(ord(a) << 42 | ord(b) << 21 | ord(c) for a, b, c in made)
+
+
+@pytest.mark.parametrize("side", [postings.SIDE, 0])
+def test_lanes_in_one_reading_equal_each_alone(spark, side, monkeypatch):
+    """Counting all terms and looking at the rarest find the same, also with scopes, equal scores and no words at all."""
+    r = random.Random(6)
+    vocabulary = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(r.choices(vocabulary, k=r.randint(0, n)))
+    scope = lambda: r.choice([None, [], ["a"], ["a", "b"]])
+    docs, items = [(i, text(25), scope()) for i in range(400)] + [(900, None, ["a"])], [(i, text(8), scope()) for i in range(25)]
+    queries, frame = (spark.createDataFrame(x, f"{n} long, text string, scopes array<string>").repartition(2) for x, n in ((items, "query"), (docs, "hit")))
+    monkeypatch.setattr(postings, "SIDE", side)
+    both = retrieval.lexical_and_trigram_lanes(queries, frame, 4)
+    assert both._jdf.queryExecution().optimizedPlan().toString().count("MapInArrow run") == 1
+    want = set()
+    for lane, find, whole in (("LEXICAL", retrieval.words_of, False), ("TRIGRAM", retrieval.trigrams_of, True)):
+        for q, wanted, own in items:
+            mine, scored = find(wanted), []
+            for h, body, within in docs:
+                other = find(body or "")
+                if (shared := len(mine & other)) and (own is None or set(own) & set(within or [])):
+                    scored.append((-shared / (len(mine | other) if whole else len(mine)), h))
+            want |= {(lane, q, h, -s, n + 1) for n, (s, h) in enumerate(sorted(scored)[:4])}
+    assert {(x["lane"], x["query"], x["hit"], x["score"], x["rank"]) for x in both.collect()} == want
+
+
+def test_few_queries_are_counted_without_postings():
+    """A text of many terms costs no look at each of them; the k best are those of the postings."""
+    r = random.Random(5)
+    queries = [[*r.sample(range(300), 60)] for _ in range(50)]
+    texts = [np.unique(r.choices(range(900), k=400)) for _ in range(600)]
+    every, found = pa.array(range(600)), []
+    for kind in (postings._best([np.unique(q) for q in queries], 5, retrieval.jaccard, 0.0), postings.Best(queries, 5, retrieval.jaccard, 0.0)):
+        for at in range(0, 600, 100):
+            kind.weigh(texts[at : at + 100], every.slice(at, 100))
+        found.append((kind.weighed, [x.tolist() for x in (kind.best[0], kind.best[1].to_numpy(), kind.best[2])]))
+    assert found[0][1] == found[1][1] and found[0][0] == 0 < found[1][0]
+
+
 def test_many_queries_of_frequent_terms_wait_in_bounded_memory():
     """What waits to be cut is bounded by pairs, however many queries a text meets."""
     import tracemalloc
