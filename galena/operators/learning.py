@@ -54,28 +54,25 @@ def split_clusters(rows: DataFrame, scope: str, most: int = 5000, cells: int | N
 
     Equal vectors are one row. Vectors are dealt to the cells of an inverted file, and cells of more than `most` rows
     are dealt further by hash, so that no task folds more than about `most` rows; each folds in order of `seq`. The
-    leaders found then join: each points to the leader before it, in order, that is nearest and like enough,
-    and pointers are followed to their end. Centroids move inside a fold only, so that clusters can differ from
-    those of one fold over the scope where rows lie between two leaders."""
+    leaders found then join: each points to the leader before it, in order, that is nearest and like enough among all of
+    its scope, and pointers are followed to their end. Centroids move inside a fold only, so that clusters can differ from
+    those of one fold over the scope where rows lie between two leaders. Rows without a scope are a scope of their own."""
     from galena.operators import nearest
     from galena.operators.retrieval import directed
 
-    kept = rows.select(scope, "id", "seq", "vector").filter(directed(F.col("vector")))
-    same = kept.groupBy(scope, "vector").agg(F.min(F.struct("seq", "id")).alias("f")).select(scope, "vector", F.col("f.seq").alias("seq"), F.col("f.id").alias("id"))
+    # A struct of a null is equal to another one, where a null is not.
+    kept = rows.select(F.struct(F.col(scope).alias("s")).alias("scope"), "id", "seq", "vector").filter(directed(F.col("vector")))
+    same = kept.groupBy("scope", "vector").agg(F.min(F.struct("seq", "id")).alias("f")).select("scope", "vector", F.col("f.seq").alias("seq"), F.col("f.id").alias("id"))
     same = stored(same, "distinct")
-    middle, probes = nearest.fitted(same.select(F.col("id").alias("hit"), "vector"), 1, cells)
-    placed = stored(nearest.in_cells(same, middle).select(scope, "id", "seq", "vector", F.get("cells", F.lit(0)).alias("cell")), "cells")
-    sizes = placed.groupBy(scope, "cell").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
-    dealt = placed.join(sizes, [scope, "cell"]).withColumn("part", F.struct(scope, "cell", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).alias("lot")))
-    folded = stored(leader_clusters(dealt.select("part", "id", "seq", "vector"), "part").select(F.col(f"part.{scope}").alias(scope), "id", "cluster"), "folded")
-    leaders = placed.join(folded.filter("id = cluster").select("id"), "id", "left_semi").select(scope, F.col("id").alias("hit"), "seq", "vector")
+    middle, _ = nearest.fitted(same.select(F.col("id").alias("hit"), "vector"), 1, cells)
+    placed = stored(nearest.in_cells(same, middle).select("scope", "id", "seq", "vector", F.get("cells", F.lit(0)).alias("cell")), "cells")
+    sizes = placed.groupBy("scope", "cell").agg(F.ceil(F.count("*") / most).cast("int").alias("parts"))
+    dealt = placed.join(sizes, ["scope", "cell"]).withColumn("part", F.struct("scope", "cell", F.pmod(F.xxhash64("id"), F.col("parts").cast("long")).alias("lot")))
+    folded = stored(leader_clusters(dealt.select("part", "id", "seq", "vector"), "part").select("id", "cluster"), "folded")
+    leaders = placed.join(folded.filter("id = cluster").select("id"), "id", "left_semi").select("scope", F.col("id").alias("hit"), "seq", "vector")
     leaders = stored(leaders, "leaders")
-    near = nearest.ann_neighbours(leaders, middle, 16, max(2, probes), scope, LIKENESS)
-    order = lambda seq, name: F.struct(F.col(seq).alias("seq"), F.col(name).alias("id"))
-    named = near.join(leaders.select(F.col("hit").alias("query"), F.col("seq").alias("q_seq")), "query").join(leaders.select("hit", "seq"), "hit")
-    earlier = named.filter(order("seq", "hit") < order("q_seq", "query"))
-    points = earlier.groupBy("query").agg(F.max(F.struct("score", (-F.col("seq")).alias("s"), "hit")).alias("b")).select(F.col("query").alias("id"), F.col("b.hit").alias("to"))
-    points = stored(points, "points")
+    block = max(1, nearest.BLOCK_NUMBERS // (middle.shape[1] if len(middle) else 1))
+    points = stored(nearest.nearest_earlier(leaders, "scope", LIKENESS, block).select(F.col("query").alias("id"), F.col("hit").alias("to")), "points")
     while True:
         # Pointers lead to earlier leaders, so that they end; each round halves the way.
         further = points.join(points.select(F.col("id").alias("to"), F.col("to").alias("next")), "to", "left")
@@ -83,9 +80,9 @@ def split_clusters(rows: DataFrame, scope: str, most: int = 5000, cells: int | N
         points = moved.select("id", "to")
         if moved.filter("moved").isEmpty():
             break
-    roots = folded.join(points.select(F.col("id").alias("cluster"), "to"), "cluster", "left").select(scope, "id", F.coalesce("to", "cluster").alias("cluster"))
-    firsts = same.join(roots.drop(scope), "id").select(F.col(scope).alias("_s"), F.col("vector").alias("_v"), "cluster")
-    return kept.join(firsts, F.col(scope).eqNullSafe(F.col("_s")) & (F.col("vector") == F.col("_v"))).select(scope, "id", "cluster")
+    roots = folded.join(points.select(F.col("id").alias("cluster"), "to"), "cluster", "left").select("id", F.coalesce("to", "cluster").alias("cluster"))
+    firsts = same.join(roots, "id").select("scope", "vector", "cluster")
+    return kept.join(firsts, ["scope", "vector"]).select(F.col("scope.s").alias(scope), "id", "cluster")
 
 
 def router_samples(events: DataFrame, window_seconds: int, cap: int) -> DataFrame:

@@ -12,6 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +22,8 @@ from galena.sources.batches import bounded_batches
 
 #: Vectors that centres are learned from, rounds of learning, queries or rows that meet in a task at once.
 SAMPLE, ROUNDS, BLOCK = 20_000, 12, 4096
+#: Numbers of the vectors of a block of rows that meet all others of their scope.
+BLOCK_NUMBERS = 1 << 20
 #: Share of the nearest that is to be found.
 RECALL = 0.98
 
@@ -202,6 +205,48 @@ def ann_neighbours(rows: DataFrame, middle: np.ndarray, k: int, probes: int = 8,
     return top_k(found, ["query"], [F.desc("score"), F.col("hit")], k)
 
 
+def nearest_earlier(rows: DataFrame, scope: str, threshold: float = -2.0, block: int = BLOCK) -> DataFrame:
+    """(query, hit, score): of every row (hit, seq, vector) the most similar of all rows of its scope that come before it by
+    (seq, hit), of at least the score `threshold`; of equals the first. Rows without such a one are left out.
+
+    Exact: a scope is cut into blocks of about `block` rows by hash, and every two blocks meet once, in one task that bounds its
+    memory by TILE pairs. A row travels once for each block of its scope. All vectors have a direction and one length."""
+    sizes = rows.groupBy(scope).agg(F.ceil(F.count("*") / block).cast("int").alias("n"))
+    dealt = rows.select(scope, "hit", "seq", "vector").join(sizes, scope).withColumn("own", F.pmod(F.xxhash64("hit"), F.col("n").cast("long")).cast("int"))
+    met = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
+    met = met.select(scope, "hit", "seq", "vector", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
+    kinds = dict(rows.dtypes)
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.take(pc.sort_indices(table, sort_keys=[("seq", "ascending"), ("hit", "ascending")], null_placement="at_start"))
+        have, own = unit(table["vector"].combine_chunks()), table["own"].to_numpy()
+        query, hit, score = [], [], []
+        sides = [np.flatnonzero(own == b) for b in np.unique(own)]
+        if table.num_rows and table["i"][0] != table["j"][0]:
+            pairs = [(sides[0], sides[1]), (sides[1], sides[0])] if len(sides) == 2 else []
+        else:
+            pairs = [(one, one) for one in sides]
+        for a, b in pairs:
+            step = max(1, TILE // len(b))
+            for at in range(0, len(a), step):
+                some = a[at : at + step]
+                likeness = np.round(have[some] @ have[b].T, 6)
+                likeness[b[None, :] >= some[:, None]] = -9.0
+                best = np.argmax(likeness, axis=1)
+                value = likeness[np.arange(len(some)), best]
+                good = value >= max(threshold, -2.0)
+                query.append(some[good])
+                hit.append(b[best[good]])
+                score.append(value[good])
+        none = [np.zeros(0, np.int64)]
+        query, hit = (pa.array(np.concatenate(none + x)) for x in (query, hit))
+        return pa.table({"query": table["hit"].take(query), "hit": table["hit"].take(hit), "seq": table["seq"].take(hit), "score": pa.array(np.concatenate([np.zeros(0), *score]))})
+
+    found = met.groupBy(scope, "i", "j").applyInArrow(run, f"query {kinds['hit']}, hit {kinds['hit']}, seq {kinds['seq']}, score double")
+    first = found.groupBy("query").agg(F.min(F.struct((-F.col("score")).alias("s"), "seq", "hit")).alias("b"))
+    return first.select("query", "b.hit", (-F.col("b.s")).alias("score"))
+
+
 def recall(found: DataFrame, exact: DataFrame) -> DataFrame:
     """(query, wanted, found): how many of a query's exact hits were found."""
     same = exact.select("query", "hit").join(found.select("query", "hit", F.lit(1).alias("there")), ["query", "hit"], "left")

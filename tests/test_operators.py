@@ -578,6 +578,30 @@ def test_split_clusters_agree_with_one_fold(spark):
     assert all(many[c] == c and c <= i for i, c in many.items())
 
 
+def test_split_clusters_lose_no_earlier_leader(spark):
+    """A leader joins the one before it, however many that come behind it are nearer; rows without a scope are clustered too."""
+    turn = lambda degrees: [float(np.cos(np.radians(degrees))), float(np.sin(np.radians(degrees)))]
+    data = [(s, 100 * k + i, turn(0 if i == 0 else 29 + 0.1 * i)) for k, s in enumerate((1, None)) for i in range(41)]
+    frame = spark.createDataFrame([(s, i, i, v) for s, i, v in data], "scope int, id long, seq long, vector array<double>")
+    made = {(r["scope"], r["id"]): r["cluster"] for r in learning.split_clusters(frame, "scope", 1, 1).collect()}
+    assert made == {(s, i): 100 * (s is None) for s, i, _ in data}
+
+
+def test_nearest_earlier_is_exact_in_blocks(spark):
+    r = np.random.default_rng(4)
+    data = [(i % 2, i, int(r.integers(0, 40)), r.integers(-2, 3, 4).astype(float).tolist()) for i in range(150)]
+    data = [x for x in data if any(x[3])]
+    frame = spark.createDataFrame(data, "scope int, hit long, seq long, vector array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for _, i, _, v in data}
+    want = []
+    for s, i, q, _ in data:
+        found = [(-round(float(unit[i] @ unit[j]), 6), p, j) for t, j, p, _ in data if t == s and (p, j) < (q, i)]
+        if found and -min(found)[0] >= 0.5:
+            want.append((i, min(found)[2], -min(found)[0]))
+    for block in (7, 1000):
+        assert sorted(map(tuple, nearest.nearest_earlier(frame, "scope", 0.5, block).collect())) == sorted(want)
+
+
 def test_embedders_are_checked(spark):
     class Short:
         profile, dimensions = "short", 8
