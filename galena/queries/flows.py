@@ -9,7 +9,7 @@ from galena.functions import morphology
 from galena.operators import concepts
 from galena.plans import ask, planner
 from galena.registry import query
-from galena.sources.tables import table
+from galena.sources.tables import spread, table
 from galena.streaming import events as E
 
 
@@ -60,7 +60,7 @@ SELECT doc_id, 'license.mit' AS concept, 'EXACT' AS mode FROM t WHERE contains(t
 UNION ALL SELECT doc_id, 'license.gpl', 'EXACT' FROM t WHERE contains(t, ' general public license ')""")
 def concept_match(spark: SparkSession, d: str) -> DataFrame:
     surfaces = spark.createDataFrame([(c, "en", p) for c, p in _SURFACES], "concept string, language string, phrase string")
-    docs = table(spark, d, "documents").select("doc_id", "text", F.lit("en").alias("language"))
+    docs = spread(table(spark, d, "documents")).select("doc_id", "text", F.lit("en").alias("language"))
     return concepts.matched(docs, F.broadcast(surfaces), "doc_id", "text").select("doc_id", "concept", "mode")
 
 

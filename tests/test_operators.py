@@ -782,3 +782,42 @@ def test_neighbours_of_a_least_score(spark):
     middle, _ = nearest.fitted(vectors, 1, 4)
     whole = nearest.ann_neighbours(vectors, middle, 5, 2).filter("score >= 0.9").select("query", "hit", "score")
     assert rows(nearest.ann_neighbours(vectors, middle, 5, 2, threshold=0.9).select("query", "hit", "score")) == rows(whole) and whole.count()
+
+
+def test_phrases_are_inflected_instead_of_texts(spark):
+    """Every word is among the sources of its lemma and stem, matches are those of all words' forms, and no text's word gets a form."""
+    from galena.functions import morphology
+
+    r, language = random.Random(7), F.col("language")
+    ends = ["", "s", "es", "ies", "ied", "ing", "ed", "ss", "us"] + [e for listed in (morphology.FIRST, morphology.SECOND, *morphology.SUFFIXES.values()) for e in listed]
+    bases = ["", "a", "t", "ad", "add", "tie", "box", "bus", "plan", "planning", "relat", "nation", "kind", "hopef", "schön", "дом"]
+    made = [(la, b + e + t) for la in ("en", "de", "ru", "xx") for b in bases for e in ends for t in ("", "s", "ly", "ing") if b + e + t]
+    words = spark.createDataFrame(made, "language string, word string").distinct()
+    held = [F.array_contains(morphology.lemma_sources(morphology.english_lemma(F.col("word"))), F.col("word")), F.array_contains(morphology.stem_sources(morphology.stem(F.col("word"), language), language), F.col("word"))]
+    assert words.filter(~held[0] | ~held[1]).count() == 0
+
+    some = [w for la, w in made if la == "en" and r.random() < 0.02][:40] + ["the", "of", "thes", "inning"]
+    surfaces = [(f"c{i % 5}", r.choice(["en", "de"]), " ".join(r.choices(some, k=r.randint(1, 3)))) for i in range(25)] + [("none", "en", "!"), ("c0", "en", "The Of"), ("c0", "en", "the of"), ("stemmed", "en", "kind relat")]
+    texts = [(i, r.choice(["en", "de", None]), " ".join(r.choices(some + [w + "s" for w in some] + [w + "ing" for w in some], k=r.randint(0, 40)))) for i in range(120)] + [(900, "en", None), (901, "en", "some kindness relatly")]
+    forms = {}
+    every = sorted({w for _, _, t in surfaces + texts for w in (t or "").lower().replace("!", "").split()})
+    frame = spark.createDataFrame([(la, w) for la in ("en", "de") for w in every], "language string, word string")
+    for m, _ in concepts.MODES:
+        forms |= {(m, x["language"], x["word"]): x["f"] for x in frame.withColumn("f", concepts._form(F.col("word"), m, language)).collect()}
+    change = lambda w, f: "-" if w == f else "s" if w.endswith("s") else "v"
+    want = {}
+    for i, la, t in texts:
+        have = (t or "").lower().split()
+        for c, sl, p in surfaces:
+            ws = p.lower().replace("!", "").split()
+            for m, confidence in concepts.MODES:
+                if sl != la or not ws or (m == "STEM" and len(ws) < 2):
+                    continue
+                same = lambda a, b: forms[m, la, a] == forms[m, la, b] and not (m == "LEMMA" and change(a, forms[m, la, a]) == "s" and change(b, forms[m, la, b]) == "v")  # noqa: E731, B023
+                if any(all(map(same, ws, have[at : at + len(ws)])) for at in range(len(have) - len(ws) + 1)):
+                    want[i, c] = max(want.get((i, c), (0.0,)), (confidence, len(ws) * confidence, m))
+    docs = spark.createDataFrame(texts, "k int, language string, t string")
+    found = concepts.matched(docs, spark.createDataFrame(surfaces, "concept string, language string, phrase string"), "k", "t")
+    assert {(x["k"], x["concept"]): (x["confidence"], x["weight"], x["mode"]) for x in found.collect()} == want and len({v[2] for v in want.values()}) == 3
+    assert "ies$" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert concepts.matched(docs, spark.createDataFrame([], "concept string, language string, phrase string"), "k", "t").collect() == []
