@@ -821,3 +821,30 @@ def test_phrases_are_inflected_instead_of_texts(spark):
     assert {(x["k"], x["concept"]): (x["confidence"], x["weight"], x["mode"]) for x in found.collect()} == want and len({v[2] for v in want.values()}) == 3
     assert "ies$" not in found._jdf.queryExecution().optimizedPlan().toString()
     assert concepts.matched(docs, spark.createDataFrame([], "concept string, language string, phrase string"), "k", "t").collect() == []
+
+
+def test_hits_wait_before_they_are_cut(monkeypatch):
+    """The best of all queries are not sorted for every slice; equal scores behind them do not wait at all."""
+    r, cuts = random.Random(3), []
+    cut = postings.Best._cut
+    monkeypatch.setattr(postings.Best, "_cut", lambda self, *a: cuts.append(1) or cut(self, *a))
+    words = [f"w{i}" for i in range(30)]
+    queries, texts = [r.sample(words, 3) for _ in range(50)], [r.sample(words, 12) for _ in range(1024)]
+    hits = pa.array(range(1024))
+    best = postings.Best(queries, 3, postings.share, 0.2)
+    for at in range(0, 1024, 8):
+        best.offer(texts[at : at + 8], hits.slice(at, 8))
+    waiting = best.count
+    best.cut()
+    assert len(cuts) <= 4 and waiting <= 50
+    for i, q in enumerate(queries):
+        mine = best.best[0] == i
+        want = sorted((-len({*q} & {*t}) / 3, h) for h, t in enumerate(texts))[:3]
+        assert list(zip((-best.best[2][mine]).tolist(), best.best[1].filter(pa.array(mine)).to_pylist(), strict=True)) == want
+
+
+def test_parts_are_analysed_once(spark):
+    surfaces = spark.createDataFrame([("dose", "en", "daily dose")], "concept string, language string, phrase string")
+    asked = spark.createDataFrame([(1, "What is the daily dose? Where is it")], "query int, text string")
+    plan = planner.planned(asked, "query", "text", surfaces)
+    assert "posexplode" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() == 3
