@@ -3,8 +3,12 @@ the reference graph, and the rows that publish a generation. Each step is a plan
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
+from functools import lru_cache
 
+from pyspark import SparkContext, inheritable_thread_target
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,6 +18,7 @@ from galena.operators import chunking, concepts, references
 from galena.operators.lifecycle import count_differences
 from galena.sources.embedders import Embedder, embedded
 from galena.sources.shared import stored
+from galena.sources.tables import spread
 
 #: A submitted document, version 1.
 CANONICAL = "version int, documentId string, title string, language string, domain string, accessLevel bigint, metadata map<string,string>, blocks array<struct<type:string,level:int,text:string,page:int>>"
@@ -66,11 +71,17 @@ def canonical_units(docs: DataFrame) -> DataFrame:
     return rows.select("document", "position", "kind", F.concat_ws(" > ", *path).alias("section_path"), "text", "page")
 
 
+@lru_cache(maxsize=4)  # a stream asks for them in each batch, and to make them takes seconds
+def _enrichment(context: SparkContext, marked: bool) -> dict[str, Column]:
+    body, marks = F.col("text"), F.col("marks") if marked else None
+    found = F.concat(identifiers.references(body, marks), identifiers.chinese_references(body, marks), identifiers.named_objects(body, marks))
+    return {"identifiers": identifiers.extracted(body, marks=marks), "references": F.array_distinct(found), "unit": chunking.unit_class(body, F.col("domain"), marks)}
+
+
 def enriched(chunks: DataFrame, surfaces: DataFrame | None = None) -> DataFrame:
-    """Chunks (document, chunk, language, domain, text, ...) with identifiers, references, the class
+    """Chunks (document, chunk, language, domain, text, perhaps marks, ...) with identifiers, references, the class
     of the unit, and at most twelve concepts."""
-    body = F.col("text")
-    out = chunks.withColumns({"identifiers": identifiers.extracted(body), "references": F.array_distinct(F.concat(identifiers.references(body), identifiers.chinese_references(body), identifiers.named_objects(body))), "unit": chunking.unit_class(body, F.col("domain"))})
+    out = chunks.withColumns(_enrichment(chunks.sparkSession.sparkContext, "marks" in chunks.columns))
     none = F.array().cast("array<string>")
     if surfaces is None:
         return out.withColumn("concepts", none)
@@ -95,14 +106,28 @@ def assembled(chunks: DataFrame, embedder: Embedder) -> DataFrame:
     return embedded(rows, embedder, "content")
 
 
-def claimed(docs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+#: What writes a table under its name and gives back what was written.
+Keep = Callable[[str, DataFrame], DataFrame]
+
+
+def _kept(tables: dict[str, DataFrame], keep: Keep | None) -> dict[str, DataFrame]:
+    """Tables that do not need each other, written at the same time."""
+    if keep is None:
+        return tables
+    with ThreadPoolExecutor(len(tables)) as pool:
+        writes = {name: pool.submit(inheritable_thread_target(rows.sparkSession)(keep), name, rows) for name, rows in tables.items()}
+        return {name: write.result() for name, write in writes.items()}
+
+
+def claimed(docs: DataFrame, known: DataFrame | None = None, keep: Keep | None = None) -> tuple[DataFrame, DataFrame]:
     """Of documents (document, title, language, domain, access_level, text, perhaps seq) each distinct content once,
     with its fingerprint and generation, and the claims on contents.
 
     claims: document, fingerprint, generation, requests, status. Contents of a document are numbered behind its
     greatest generation in `known` (document_id, generation, perhaps fingerprint) in order of their first seq, then
     fingerprint; the last is CURRENT, those before it are SUPERSEDED. A content whose fingerprint is known is a
-    REPLAY under its old generation and is not returned again. Only documents that occur more than once move."""
+    REPLAY under its old generation and is not returned again. Only contents that occur more than once move. With `keep`
+    the claims are written here, and the contents made from what was written."""
     parts = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "language", "domain", "access_level", "text")]
     keyed = docs.withColumn("fingerprint", hashing.content_id("f1_", *parts))
     seq = F.min("seq") if "seq" in docs.columns else F.lit(0)
@@ -120,10 +145,10 @@ def claimed(docs: DataFrame, known: DataFrame | None = None) -> tuple[DataFrame,
     claims = contents.withColumn("_n", number)
     status = F.when(~new, "REPLAY").when(F.col("_n") == newest, "CURRENT").otherwise("SUPERSEDED")
     claims = claims.select("document", "fingerprint", F.coalesce("_old", F.coalesce("_last", F.lit(0)) + F.col("_n")).cast("long").alias("generation"), "requests", status.alias("status"))
-    often = keyed.groupBy("document").agg(F.count("*").alias("_rows")).filter("_rows > 1").select("document")
-    once = keyed.join(often, "document", "left_anti").unionByName(keyed.join(often, "document", "left_semi").dropDuplicates(["document", "fingerprint"]))
-    fresh = claims.filter("status <> 'REPLAY'").select("document", "fingerprint", "generation", "status")
-    return once.join(fresh, ["document", "fingerprint"]), claims
+    claims = claims if keep is None else keep("claims", claims)
+    fresh = keyed.join(claims.filter("status <> 'REPLAY'"), ["document", "fingerprint"])
+    once = fresh.filter("requests = 1").unionByName(fresh.filter("requests > 1").dropDuplicates(["document", "fingerprint"]))
+    return once.drop("requests"), claims
 
 
 @dataclass
@@ -139,33 +164,42 @@ class Ingested:
     claims: DataFrame
 
 
-def ingested(docs: DataFrame, embedder: Embedder, known: DataFrame | None = None, surfaces: DataFrame | None = None) -> Ingested:
+def ingested(docs: DataFrame, embedder: Embedder, known: DataFrame | None = None, surfaces: DataFrame | None = None, keep: Keep | None = None) -> Ingested:
     """The whole way for documents (document, title, language, domain, access_level, text, perhaps seq).
 
     Each distinct content of a document is one generation, see claimed(): a document that comes twice with one content
     is chunked once. The newest is PUBLISHED if it has chunks and every searchable chunk has its vector, else FAILED;
     older ones of the batch are SUPERSEDED. The contents and their chunks are stored in the shared
-    folder; the rest is run by the caller, who writes the tables, the generations last."""
-    contents, claims = claimed(docs, known)
+    folder; the rest is run by the caller, who writes the tables, the generations last. With `keep` the tables are written
+    here: claims, chunks, then what is made of these, the generations last, each from those written before it, so that
+    nothing is found or embedded twice."""
+    contents, claims = claimed(docs, known, keep)
     contents = stored(contents, "contents")
     key = ["document", "generation"]
-    heads = contents.select(*key, "title", "language", "domain", "access_level", "status", "fingerprint")
-    cut = chunking.chunked(contents.select(F.struct(*key).alias("id"), "text", "domain"), "id", domain_col="domain").withColumnRenamed("chunk_id", "chunk").select("id.*", "*").drop("id")
+    own = [*key, "title", "language", "domain", "access_level"]
+    heads = contents.select(*own, "status", "fingerprint")
+    # What chunks have of their document goes with it, so that none is joined.
+    cut = chunking.chunked(spread(contents.select(F.struct(*own).alias("id"), "text", "domain")), "id", domain_col="domain", marked=True).withColumnRenamed("chunk_id", "chunk").select("id.*", "*").drop("id")
     # The place is part of a chunk's name, as a document can hold a text twice.
-    cut = cut.withColumn("chunk", F.concat_ws("-", "chunk", "chunk_index")).join(heads.drop("status", "fingerprint"), key)
-    cut = stored(cut, "chunks")
+    cut = cut.withColumn("chunk", F.concat_ws("-", "chunk", "chunk_index"))
+    if keep is None or surfaces is not None:
+        cut = stored(cut, "chunks")
     # A table reads of a chunk's text only what it needs; concepts are joined for the chunks alone.
-    rich, plain = enriched(cut, surfaces), enriched(cut)
-    vectors = assembled(plain, embedder)
+    rich = enriched(cut, surfaces)
+    plain = rich if surfaces is None else enriched(cut)
+    if keep is not None:
+        rich = plain = cut = keep("chunks", rich)
     found = plain.select("access_level", *key, "chunk", F.explode("identifiers").alias("x")).select("access_level", *key, "chunk", "x.*")
+    body = cut.filter("role <> 'CHILD'").select("document", "chunk", "text", "marks")
+    made = _kept({"identifiers": found, "anchors": references.anchors(body), "edges": references.edges(body), "vectors": assembled(plain, embedder)}, keep)
+    vectors = made["vectors"]
     both = F.struct(*key).alias("_both")
     wanted = searchable(cut).groupBy(both).agg(F.count("*").alias("expected"))
     wrong = count_differences(wanted, vectors.groupBy(both).agg(F.count("*").alias("stored")), "_both").select("_both.*", F.lit(True).alias("_wrong"))
     counts = cut.groupBy(*key).agg(F.count("*").alias("chunk_count"))
     status = F.when(F.col("chunk_count").isNull() | F.col("_wrong"), "FAILED").when(F.col("status") == "SUPERSEDED", "SUPERSEDED").otherwise("PUBLISHED")
     generations = heads.join(counts, key, "left").join(wrong, key, "left").select(F.col("document").alias("document_id"), "generation", "access_level", status.alias("generation_status"), F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(embedder.profile).alias("profile"), "fingerprint")
-    body = cut.filter("role <> 'CHILD'").select("document", "chunk", "text")
-    return Ingested(rich, found, references.anchors(body), references.edges(body), vectors, generations, claims)
+    return Ingested(rich, **made, generations=generations if keep is None else keep("generations", generations), claims=claims)
 
 
 def admitted(requests: DataFrame, most: int) -> DataFrame:

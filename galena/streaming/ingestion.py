@@ -15,9 +15,6 @@ from pyspark.sql.window import Window
 from galena.operators import ingest
 from galena.sources.embedders import Embedder
 
-#: In the order in which they are written.
-TABLES = ("chunks", "identifiers", "anchors", "edges", "vectors", "claims", "generations")
-
 
 def parquet_stream(spark: SparkSession, folder: str, name: str, files: int | None = None) -> DataFrame:
     """A table, one file or a directory of part files, as a stream of at most so many files a batch."""
@@ -61,9 +58,12 @@ def batch_writer(folder: str, embedder: Embedder, surfaces: DataFrame | None = N
         if _there(spark, f"{folder}/generations"):
             before = spark.read.parquet(f"{folder}/generations").filter(F.col("batch") < number)
             known = before.select("document_id", "generation", "fingerprint")
-        made = ingest.ingested(batch, embedder, known, surfaces)
-        for name in TABLES:
-            getattr(made, name).write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
+        def keep(name: str, rows: DataFrame) -> DataFrame:
+            place = f"{folder}/{name}/batch={number}"
+            rows.write.mode("overwrite").parquet(place)
+            return spark.read.schema(rows.schema).parquet(place)
+
+        ingest.ingested(batch, embedder, known, surfaces, keep)
 
     return write
 

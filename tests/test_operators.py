@@ -848,3 +848,35 @@ def test_parts_are_analysed_once(spark):
     asked = spark.createDataFrame([(1, "What is the daily dose? Where is it")], "query int, text string")
     plan = planner.planned(asked, "query", "text", surfaces)
     assert "posexplode" not in plan._jdf.queryExecution().optimizedPlan().toString() and plan.count() == 3
+
+
+def test_marks_rule_nothing_out_that_is_there(spark):
+    r = random.Random(5)
+    stems = [x for group in (identifiers.TYPE_STEMS, identifiers.REFERENCE_STEMS, identifiers.OBJECT_STEMS, identifiers.EXTERNAL_STEMS) for listed in group.values() for x in listed.split()]
+    whole = "article Articles section part clause capítulo kısım KISIM bölüm статья table Annex figure RFC ISO GOST ГОСТ Regulation 第三条 第三至五条 order contract заказ СЧЁТ must shall may unless dose within is".split()
+    ends = ["", " 4", " IV", "№ 7", " no. A-1", " (EU) 2016/679", " not", " prohibited", "ı 3", "ς 2", "\n"]
+    texts = ["".join(f"{r.choice([x, x.upper(), x.title()])}{r.choice(ends)} " for x in r.choices(stems + whole * 3 + ["plain", "words"], k=r.randint(0, 6))) for _ in range(1500)]
+    frame = spark.createDataFrame([(t, chunking.marks(t)) for t in texts], "text string, marks int")
+    body, marks, domain = F.col("text"), F.col("marks"), F.lit("MEDICAL")
+    both = [(f(body), f(body, marks=marks)) for f in (identifiers.extracted, identifiers.references, identifiers.declared, identifiers.named_objects, identifiers.chinese_references, identifiers.external_references)]
+    both.append((chunking.unit_class(body, domain), chunking.unit_class(body, domain, marks)))
+    for a, b in both:
+        assert frame.filter(~a.eqNullSafe(b)).count() == 0 and frame.select(a.alias("x")).distinct().count() >= 3
+    assert frame.filter("marks = 0").count() > 5
+
+
+def test_kept_tables_are_made_from_those_before(spark, tmp_path):
+    docs = spark.createDataFrame([(f"d{i}", "t", "en", "GENERAL", 1, f"Article {i}. See section {i + 1} and table 2. The buyer shall pay order no. A-{i}/7.") for i in range(40)] + [("d1", "t", "en", "GENERAL", 1, "Other"), ("d2", "t", "en", "GENERAL", 1, " ")], "document string, title string, language string, domain string, access_level int, text string")
+    docs = docs.unionByName(docs.filter("document = 'd3'"))
+    plans = {}
+
+    def keep(name, rows):
+        plans[name] = rows._jdf.queryExecution().optimizedPlan().toString()
+        rows.write.parquet(f"{tmp_path}/{name}")
+        return spark.read.schema(rows.schema).parquet(f"{tmp_path}/{name}")
+
+    lazy, kept = ingest.ingested(docs, HashingEmbedder(8)), ingest.ingested(docs, HashingEmbedder(8), keep=keep)
+    show = lambda df: sorted(str([r[c] for c in sorted(df.columns)]) for r in df.collect())
+    for name in ("chunks", "identifiers", "anchors", "edges", "vectors", "claims", "generations"):
+        assert show(getattr(lazy, name)) == show(getattr(kept, name)) and show(getattr(kept, name)), name
+    assert "Join" not in plans["chunks"] and "MapInArrow" not in plans["generations"] + plans["identifiers"] + plans["edges"]
