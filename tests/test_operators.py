@@ -880,3 +880,9 @@ def test_kept_tables_are_made_from_those_before(spark, tmp_path):
     for name in ("chunks", "identifiers", "anchors", "edges", "vectors", "claims", "generations"):
         assert show(getattr(lazy, name)) == show(getattr(kept, name)) and show(getattr(kept, name)), name
     assert "Join" not in plans["chunks"] and "MapInArrow" not in plans["generations"] + plans["identifiers"] + plans["edges"]
+
+
+def test_rules_begin_with_their_phrases():
+    begins = {name: chunking._begins(rule) for name, _, rule in chunking.UNIT_RULES}
+    assert "is" not in {b for listed in begins.values() for b in listed} and all(b for listed in begins.values() for b in listed)
+    assert chunking.marks("this is plain and has an age") == 0
